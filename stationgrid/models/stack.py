@@ -18,7 +18,7 @@ from stationgrid.operators.evaluate import (
     summarise_importance,
     with_trend_rows,
 )
-from stationgrid.operators.kriging import KrigingModel
+from stationgrid.operators.kriging import KrigingModel, clamp_residual
 from stationgrid.operators.split import bag
 from stationgrid.session import shared_dir
 
@@ -86,9 +86,7 @@ class StackModel:
         total = self.trend.column(df) + F.col("_t")
         if self.kriging is not None:
             scored = self.kriging.predict(scored, "_k", id_col)
-            limit = self.config.kriging_clamp
-            finite = F.when(~F.isnan("_k"), F.col("_k"))
-            total = total + F.coalesce(F.greatest(F.least(finite, F.lit(limit)), F.lit(-limit)), F.lit(0.0))
+            total = total + clamp_residual(F.col("_k"), self.config.kriging_clamp)
         return scored.withColumn(name, total).drop("_t", "_k")
 
     def importance(self) -> list[tuple[str, float]]:

@@ -16,9 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationgrid.config import AnalysisConfig
-from stationgrid.functions.hashing import key_uniform
+from stationgrid.functions.hashing import key_number, key_uniform
 from stationgrid.functions.stats import value_at_rank
-from stationgrid.functions.hashing import key_number
 from stationgrid.operators.knn import nearest
 from stationgrid.operators.sizes import at_most
 from stationgrid.operators.variogram import Variogram, fitted_variogram
@@ -119,6 +118,12 @@ def local_predictions(targets: DataFrame, points: DataFrame, value: str, model:
     return rows.mapInPandas(score, f"{target_id} {id_type}, kriged double")
 
 
+def clamp_residual(kriged: Column, limit: float) -> Column:
+    """Kriged residuals held within ``±limit``; NaN and NULL count as no correction."""
+    finite = F.when(~F.isnan(kriged), kriged)
+    return F.coalesce(F.greatest(F.least(finite, F.lit(limit)), F.lit(-limit)), F.lit(0.0))
+
+
 def sample_points(points: DataFrame, cap: int, seed: int, id_col: str = "station_id") -> DataFrame:
     """The ``cap`` points with the smallest seeded key number; all of them when fewer."""
     if at_most(points, cap):
