@@ -1 +1,99 @@
-"""Registered queries."""
+"""Trend, trees, kriging, the stack, the ensemble and the whole analysis."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from registry import query
+from registry.fields import raster_set
+from registry.fixtures import bands, grid_spec, metas, metric_stations, r, ring_edges, stations, unique_stations
+from stationgrid.config import AnalysisConfig, TreeConfig
+from stationgrid.functions.hashing import key_uniform
+from stationgrid.functions.stats import medians
+from stationgrid.models.stack import Ensemble, StackModel
+from stationgrid.models.trend import HuberTrend
+from stationgrid.operators.features import RasterSet
+from stationgrid.operators.kriging import KrigingBaseline, KrigingModel, local_predictions
+from stationgrid.operators.variogram import fitted_variogram
+from stationgrid.plans.analysis import analyse
+
+# Twenty boosting rounds instead of two hundred: the check is about the steps.
+CONFIG = AnalysisConfig(trees=TreeConfig(rounds=20), buffer_km=2.0, terrain_windows=(3, 9))
+ENV = ["slope_x", "wave"]
+
+
+def training(spark, sf):
+    """Stations with heights, positions and two further features."""
+    return metric_stations(spark, sf).withColumns({
+        "slope_x": F.sin(F.col("x_pl") / 50_000.0), "wave": key_uniform(F.col("station_id"), 7),
+    })
+
+
+@query("MOD1")
+def trend(spark, sf):
+    rows = training(spark, sf)
+    names = list(CONFIG.trend_features)
+    model = HuberTrend.fit(rows, names, medians(rows, names), CONFIG.huber_epsilon, rows.count())
+    return rows.select("station_id", "temp", F.round(model.column(rows), 4).alias("trend"))
+
+
+def _stack(spark, sf, **changes):
+    from dataclasses import replace
+
+    rows = training(spark, sf)
+    return rows, StackModel.fit(rows, ENV, replace(CONFIG, **changes), 42)
+
+
+@query("MOD2")
+def trees(spark, sf):
+    rows, model = _stack(spark, sf, residual_kriging=False)
+    return model.predict(rows, "predicted").select("station_id", "temp", r("predicted", 4))
+
+
+@query("MOD3")
+def importance(spark, sf):
+    rows, model = _stack(spark, sf, residual_kriging=False)
+    return spark.createDataFrame(model.importance(), "feature string, importance double").select("feature", r("importance", 4))
+
+
+@query("KRG1")
+def baseline(spark, sf):
+    rows = training(spark, sf)
+    fitted = KrigingBaseline(CONFIG).fit(rows)
+    return fitted.predict(rows, "predicted").select("station_id", "temp", r("predicted", 4))
+
+
+@query("KRG2")
+def residual_kriging(spark, sf):
+    rows = training(spark, sf).withColumn("resid", F.col("temp") - 18.0 + 0.0065 * F.col("dem"))
+    model = KrigingModel.fit(rows, "resid", CONFIG.residual_variogram, CONFIG.residual_lags, CONFIG, 42, sample=True)
+    return model.predict(rows, "kriged").select("station_id", r("kriged", 4))
+
+
+@query("KRG4")
+def local_kriging(spark, sf):
+    rows = training(spark, sf).select("station_id", "x_pl", "y_pl", "temp")
+    model = fitted_variogram(rows, "temp", "spherical", CONFIG.baseline_lags)
+    targets = rows.select("station_id", (F.col("x_pl") + 500.0).alias("x_pl"), (F.col("y_pl") - 500.0).alias("y_pl"))
+    return local_predictions(targets, rows, "temp", model, CONFIG.kriging_neighbors).select("station_id", r("kriged", 4))
+
+
+@query("STK1")
+def stack(spark, sf):
+    rows, model = _stack(spark, sf)
+    return model.predict(rows, "predicted").select("station_id", "temp", r("predicted", 4))
+
+
+@query("ENS1")
+def ensemble(spark, sf):
+    rows = training(spark, sf)
+    fitted = Ensemble.fit(rows, ENV, CONFIG)
+    return fitted.predict(rows).select("station_id", "temp", r("predicted", 4), r("iqr_sigma", 4))
+
+
+@query("PIP1")
+def whole_analysis(spark, sf):
+    """Stations and rasters to a smoothed field of temperature and uncertainty."""
+    rasters = RasterSet.prepare(bands(spark, sf), metas(spark, sf), CONFIG)
+    result = analyse(stations(spark, sf).drop("dem"), rasters, ring_edges(spark), grid_spec(spark, sf), CONFIG)
+    return result.field.select("r", "c", r("temperature", 4), r("uncertainty", 4))
