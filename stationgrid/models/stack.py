@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +21,7 @@ from stationgrid.operators.evaluate import (
     with_trend_rows,
 )
 from stationgrid.operators.kriging import KrigingModel, clamp_residual
+from stationgrid.operators.sizes import sized_for_iteration
 from stationgrid.operators.split import bag
 from stationgrid.session import shared_dir
 
@@ -51,7 +54,7 @@ class StackModel:
         if env:
             settings = config.trees
             shared_dir(df.sparkSession)  # boosting cuts its lineage there
-            data = _assemble(rows, env, fills).select(_VECTOR, "resid1").persist()
+            data = sized_for_iteration(_assemble(rows, env, fills).select(_VECTOR, "resid1"), n).persist()
             trees = GBTRegressor(
                 featuresCol=_VECTOR, labelCol="resid1", maxIter=settings.rounds, stepSize=settings.step,
                 maxDepth=settings.max_depth, minInstancesPerNode=settings.min_leaf_rows,
@@ -114,12 +117,17 @@ class Ensemble:
 
     @staticmethod
     def fit(df: DataFrame, env: Sequence[str], config: AnalysisConfig, id_col: str = "station_id") -> Ensemble:
+        """Members are independent jobs, so they are submitted side by side."""
         rows = df.persist()
         n = rows.count()
-        members = [
-            StackModel.fit(bag(rows, seed, config.bag_fraction, id_col, n), env, config, seed, id_col)
-            for seed in config.ensemble_seeds
-        ]
+        spark = df.sparkSession
+        shared_dir(spark)
+
+        def member(seed: int) -> StackModel:
+            return StackModel.fit(bag(rows, seed, config.bag_fraction, id_col, n), env, config, seed, id_col)
+
+        with ThreadPoolExecutor(max_workers=len(config.ensemble_seeds)) as pool:
+            members = list(pool.map(inheritable_thread_target(spark)(member), config.ensemble_seeds))
         return Ensemble(config, tuple(env), members)
 
     def predict(self, df: DataFrame, name: str = "predicted", sigma: str = "iqr_sigma",

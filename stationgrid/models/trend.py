@@ -10,6 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationgrid.functions.stats import exact_quantiles
+from stationgrid.operators.sizes import sized_for_iteration
 
 ALPHA = 1e-4  # weight of the squared coefficients in the summed objective
 
@@ -55,7 +56,7 @@ class HuberTrend:
         data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
         model = LinearRegression(
             loss="huber", epsilon=epsilon, maxIter=max_iter, regParam=ALPHA / max(n, 1), standardization=False
-        ).fit(data.select("features", "label"))
+        ).fit(sized_for_iteration(data.select("features", "label"), n))
         return HuberTrend(tuple(features), dict(fills), scale, tuple(map(float, model.coefficients)), float(model.intercept))
 
     def column(self, df: DataFrame) -> Column:

@@ -49,9 +49,10 @@ def sample_layers(points: DataFrame, layers: DataFrame, meta: RasterMeta, column
     """Add the named layer columns of a wide ``(r, c, ...)`` table sharing one grid."""
     r, c, inside = pixel_of(meta)
     keyed = points.drop(*[n for n in columns if n in points.columns]).withColumns(
-        {"r": F.when(inside, r), "c": F.when(inside, c)}
+        {"_pr": F.when(inside, r), "_pc": F.when(inside, c)}
     )
-    return keyed.join(layers.select("r", "c", *columns), ["r", "c"], "left").drop("r", "c")
+    pixels = layers.select(F.col("r").alias("_pr"), F.col("c").alias("_pc"), *columns)
+    return keyed.join(pixels, ["_pr", "_pc"], "left").drop("_pr", "_pc")
 
 
 def regrid_to_degrees(
