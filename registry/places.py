@@ -51,7 +51,7 @@ def unprojected(spark, sf):
 
 @query("PRJ2_roundtrip", f"{WITH_UNIQUE} SELECT station_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM uniq")
 def projection_round_trip(spark, sf):
-    lon, lat = to_degrees(F.col("x_pl"), F.col("y_pl"))
+    lon, lat = to_degrees("x_pl", "y_pl")
     return metric_stations(spark, sf).select("station_id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
 
 

@@ -45,46 +45,41 @@ LATITUDE = (
 ECCENTRICITY = _E
 
 
-def _total(terms: list[Column]) -> Column:
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
-
-
-def to_metres(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Geographic degrees to (easting, northing) in metres."""
-    sin_lat = F.sin(F.radians(lat))
-    dlon = F.radians(lon - F.lit(CENTRAL_MERIDIAN))
-    t = F.sinh(F.atanh(sin_lat) - F.lit(_E) * F.atanh(F.lit(_E) * sin_lat))
-    xi = F.atan2(t, F.cos(dlon))
-    eta = F.atanh(F.sin(dlon) / F.sqrt(F.lit(1.0) + t * t))
+def to_metres(lon: str, lat: str) -> tuple[Column, Column]:
+    """(easting, northing) in metres of geographic degrees given as SQL expressions.
+
+    The series are written as SQL text: one parsed expression instead of some
+    hundred nested Column calls.
+    """
+    sine, dlon = f"sin(radians({lat}))", f"radians(({lon}) - {CENTRAL_MERIDIAN}D)"
+    t = f"sinh(atanh({sine}) - {_E!r}D * atanh({_E!r}D * {sine}))"
+    xi = f"atan2({t}, cos({dlon}))"
+    eta = f"atanh(sin({dlon}) / sqrt(1D + {t} * {t}))"
     orders = list(enumerate(FORWARD, start=1))
-    east = _total([eta] + [F.lit(a) * F.cos(xi * (2.0 * j)) * F.sinh(eta * (2.0 * j)) for j, a in orders])
-    north = _total([xi] + [F.lit(a) * F.sin(xi * (2.0 * j)) * F.cosh(eta * (2.0 * j)) for j, a in orders])
-    return F.lit(FALSE_EASTING) + F.lit(RADIUS) * east, F.lit(FALSE_NORTHING) + F.lit(RADIUS) * north
+    east = " + ".join([eta] + [f"{a!r}D * cos({2 * j}D * {xi}) * sinh({2 * j}D * {eta})" for j, a in orders])
+    north = " + ".join([xi] + [f"{a!r}D * sin({2 * j}D * {xi}) * cosh({2 * j}D * {eta})" for j, a in orders])
+    return F.expr(f"{FALSE_EASTING}D + {RADIUS!r}D * ({east})"), F.expr(f"{FALSE_NORTHING}D + {RADIUS!r}D * ({north})")
 
 
-def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
-    """(easting, northing) in metres to geographic (lon, lat) degrees."""
-    xi0 = (y - F.lit(FALSE_NORTHING)) / F.lit(RADIUS)
-    eta0 = (x - F.lit(FALSE_EASTING)) / F.lit(RADIUS)
+def to_degrees(x: str, y: str) -> tuple[Column, Column]:
+    """Geographic (lon, lat) of metres given as SQL expressions."""
+    xi0 = f"((({y}) - {FALSE_NORTHING}D) / {RADIUS!r}D)"
+    eta0 = f"((({x}) - {FALSE_EASTING}D) / {RADIUS!r}D)"
     orders = list(enumerate(INVERSE, start=1))
-    xi = _total([xi0] + [F.lit(-b) * F.sin(xi0 * (2.0 * j)) * F.cosh(eta0 * (2.0 * j)) for j, b in orders])
-    eta = _total([eta0] + [F.lit(-b) * F.cos(xi0 * (2.0 * j)) * F.sinh(eta0 * (2.0 * j)) for j, b in orders])
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    lat = _total([chi] + [F.lit(d) * F.sin(chi * (2.0 * j)) for j, d in enumerate(LATITUDE, start=1)])
-    lon = F.lit(CENTRAL_MERIDIAN) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
-    return lon, F.degrees(lat)
+    xi = "(" + " - ".join([xi0] + [f"{b!r}D * sin({2 * j}D * {xi0}) * cosh({2 * j}D * {eta0})" for j, b in orders]) + ")"
+    eta = "(" + " - ".join([eta0] + [f"{b!r}D * cos({2 * j}D * {xi0}) * sinh({2 * j}D * {eta0})" for j, b in orders]) + ")"
+    chi = f"asin(sin({xi}) / cosh({eta}))"
+    lat = " + ".join([chi] + [f"{d!r}D * sin({2 * j}D * {chi})" for j, d in enumerate(LATITUDE, start=1)])
+    return F.expr(f"{CENTRAL_MERIDIAN}D + degrees(atan2(sinh({eta}), cos({xi})))"), F.expr(f"degrees({lat})")
 
 
 def with_metres(df, lon: str = "lon", lat: str = "lat"):
     """Attach ``x_pl, y_pl``."""
-    x, y = to_metres(F.col(lon), F.col(lat))
+    x, y = to_metres(lon, lat)
     return df.withColumns({"x_pl": x, "y_pl": y})
 
 
 def with_degrees(df, x: str = "x", y: str = "y"):
     """Attach ``lon, lat``."""
-    lon, lat = to_degrees(F.col(x), F.col(y))
+    lon, lat = to_degrees(x, y)
     return df.withColumns({"lon": lon, "lat": lat})

@@ -6,11 +6,13 @@ Instead:
 1. Base points are counted per quadtree cell (cells adapt: a cell with more than
    ``leaf_rows`` points is split, so a dense city becomes many small leaves and no
    leaf grows with the data).
-2. Each query walks down the tree, a few levels per step. A step joins its
-   candidate cells with their children and keeps those whose nearest edge is not
-   beyond the distance within which k points are already guaranteed. That leaves a
-   handful of leaves per query whatever the distribution of either side.
-3. Surviving (query, leaf) rows meet the base points of the leaf in one equi-join
+2. Queries are grouped by the finest cell they lie in, and each group's bounding
+   box walks down the tree, a few levels per step. A step joins its candidate cells
+   with their children and keeps those not beyond the distance within which k
+   points are already guaranteed. Walking per group keeps this small.
+3. Each query takes over its group's leaves and applies the same bound to itself,
+   which leaves a handful of leaves whatever the distribution of either side.
+4. Surviving (query, leaf) rows meet the base points of the leaf in one equi-join
    and the k smallest distances per query remain (ties by neighbour id). Spark
    prunes to k rows per query before that last shuffle.
 
@@ -21,7 +23,6 @@ restricts neighbours to the same group (for example the same snapshot).
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,25 +39,32 @@ class _Tree:
 
     def __init__(self, x0: float, y0: float, side: float, depth: int):
         self.x0, self.y0, self.side, self.depth = x0, y0, side, depth
-        self.levels = list(range(0, depth + 1, STEP))
+        self.levels = sorted({0, *range(depth, 0, -STEP)})
         self.slack = side * 1e-9
 
-    def finest(self, x: Column, y: Column) -> dict[str, Column]:
-        cells = 2**self.depth
-        cell = lambda v, o: F.floor((v - F.lit(o)) * F.lit(cells / self.side)).cast("bigint")
-        clip = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(cells - 1))
-        return {"_gx": clip(cell(x, self.x0)), "_gy": clip(cell(y, self.y0))}
-
-    def near_and_far(self, x: Column, y: Column, level: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
-        """Squared bounds of the distance from a point to anything in the cell."""
-        size = F.lit(self.side) / F.pow(F.lit(2.0), level)
-        west, south = F.lit(self.x0) + cx * size, F.lit(self.y0) + cy * size
-        gap = lambda v, a: F.greatest(a - v, v - (a + size), F.lit(0.0))
-        reach = lambda v, a: F.greatest(F.abs(v - a), F.abs(v - (a + size)))
-        near_x, near_y = gap(x, west), gap(y, south)
-        far_x, far_y = reach(x, west) + self.slack, reach(y, south) + self.slack
-        near_x, near_y = F.greatest(near_x - self.slack, F.lit(0.0)), F.greatest(near_y - self.slack, F.lit(0.0))
-        return near_x * near_x + near_y * near_y, far_x * far_x + far_y * far_y
+    def cell(self, x: str, y: str) -> list[str]:
+        """Finest cell of a position, which may lie outside the square."""
+        scale = f"{2**self.depth / self.side!r}D"
+        return [
+            f"CAST(floor(({v} - ({o!r}D)) * {scale}) AS BIGINT) AS {name}"
+            for v, o, name in ((x, self.x0, "_gx"), (y, self.y0, "_gy"))
+        ]
+
+    def finest(self, x: str, y: str) -> list[str]:
+        """Finest cell of a base point, held inside the square against rounding."""
+        last = 2**self.depth - 1
+        return [f"least(greatest({text}, 0), {last}) AS {name}" for text, name in
+                (c.rsplit(" AS ", 1) for c in self.cell(x, y))]
+
+    def near_and_far(self, x: tuple[str, str], y: tuple[str, str]) -> tuple[Column, Column]:
+        """Squared bounds of the distance from a box to anything in cell (level, cx, cy)."""
+        size, slack = f"({self.side!r}D / power(2D, level))", f"{self.slack!r}D"
+        near, far = [], []
+        for (low, high), origin, index in ((x, self.x0, "cx"), (y, self.y0, "cy")):
+            edge = f"({origin!r}D + {index} * {size})"
+            near.append(f"power(greatest({edge} - {high}, {low} - ({edge} + {size}), {slack}) - {slack}, 2)")
+            far.append(f"power(greatest({high} - {edge}, {edge} + {size} - {low}) + {slack}, 2)")
+        return F.expr(" + ".join(near)), F.expr(" + ".join(far))
 
 
 def _plan_tree(base: DataFrame, by: list[str], leaf_rows: int) -> _Tree | None:
@@ -70,16 +78,16 @@ def _plan_tree(base: DataFrame, by: list[str], leaf_rows: int) -> _Tree | None:
     if not n:
         return None
     side = max(x1 - x0, y1 - y0, 1e-6) * (1.0 + 1e-9)
-    depth = 0 if n <= leaf_rows else STEP * max(1, math.ceil(math.log(n / leaf_rows, 4) / STEP))
+    depth = 0 if n <= leaf_rows else math.ceil(math.log(n / leaf_rows, 4))
     while depth < MAX_DEPTH and n > leaf_rows:
         tree = _Tree(x0, y0, side, depth)
         fullest = (
-            base.groupBy(*by, *[c.alias(a) for a, c in tree.finest(F.col("_x"), F.col("_y")).items()])
+            base.selectExpr(*by, *tree.finest("_x", "_y")).groupBy(*by, "_gx", "_gy")
             .count().agg(F.max("count")).first()[0]
         )
         if fullest <= 4 * leaf_rows:
             break
-        depth += STEP * max(1, math.ceil(math.log(fullest / (4 * leaf_rows), 4) / STEP))
+        depth += math.ceil(math.log(fullest / (4 * leaf_rows), 4)) + 1
     return _Tree(x0, y0, side, min(depth, MAX_DEPTH))
 
 
@@ -120,29 +128,35 @@ def nearest(
     if tree is None:
         empty = asked.limit(0).join(points, by or F.lit(False)).withColumn("_d2", F.lit(0.0))
         return _ranked(empty, by, k, query_id, payload)
-    points = points.withColumns(tree.finest(F.col("_x"), F.col("_y")))
+    points = points.selectExpr("*", *tree.finest("_x", "_y"))
 
     # counts of every cell on every used level, from the finest counts upwards
     finest = points.groupBy(*by, "_gx", "_gy").agg(F.count("*").alias("_n"))
-    up = lambda c, level: F.shiftright(c, tree.depth - level)
-    levels = F.explode(F.array(*[
-        F.struct(F.lit(lv).alias("level"), up(F.col("_gx"), lv).alias("cx"), up(F.col("_gy"), lv).alias("cy"))
+    levels = F.expr("inline(array(" + ", ".join(
+        f"named_struct('level', {lv}, 'cx', shiftright(_gx, {tree.depth - lv}), 'cy', shiftright(_gy, {tree.depth - lv}))"
         for lv in tree.levels
-    ])).alias("cell")
+    ) + "))")
     nodes = (
-        finest.select(*by, "_n", "_gx", "_gy", levels)
-        .groupBy(*by, "cell.level", "cell.cx", "cell.cy").agg(F.sum("_n").alias("n"))
+        finest.select(*by, "_n", levels)
+        .groupBy(*by, "level", "cx", "cy").agg(F.sum("_n").alias("n"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    small = nodes.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = nodes.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
 
-    frontier = _descend(asked, nodes, tree, by, need, leaf_rows, hint)
+    asked = asked.selectExpr("*", *tree.cell("_qx", "_qy"))
+    groups = asked.groupBy(*by, "_gx", "_gy").agg(
+        F.min("_qx").alias("_x0"), F.max("_qx").alias("_x1"), F.min("_qy").alias("_y0"), F.max("_qy").alias("_y1")
+    )
+    leaves = _descend(groups, nodes, tree, by, need, leaf_rows, hint)
+    own = asked.join(leaves, [*by, "_gx", "_gy"])
+    near, far = tree.near_and_far(("_qx", "_qx"), ("_qy", "_qy"))
+    frontier = _within_bound(own, near, far, [*by, "_qid"], need)
 
     # each base point belongs to exactly one leaf: its coarsest cell that is small enough
     leaf = (F.col("n") <= leaf_rows) | (F.col("level") == tree.depth)
     leaf_nodes = nodes.filter(leaf).select(*by, "level", "cx", "cy")
-    finest_cells = finest.select(*by, "_gx", "_gy", levels).select(*by, "_gx", "_gy", "cell.*")
+    finest_cells = finest.select(*by, "_gx", "_gy", levels)
     leaf_level = (
         finest_cells.join(hint(leaf_nodes), [*by, "level", "cx", "cy"])
         .groupBy(*by, "_gx", "_gy").agg(F.min("level").alias("level"))
@@ -162,40 +176,47 @@ def nearest(
     return _ranked(pairs.filter(wanted), by, k, query_id, payload)
 
 
-def _descend(asked, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: int, hint) -> DataFrame:
-    """(query, leaf, bound) rows: every leaf that can hold one of the k nearest."""
-    frontier = asked.withColumns({
-        "level": F.lit(0), "cx": F.lit(0).cast("bigint"), "cy": F.lit(0).cast("bigint"),
-        "n": F.lit(None).cast("bigint"), "_bound": F.lit(None).cast("double"),
-    })
-    per_query = Window.partitionBy(*by, "_qid")
+def _within_bound(cells: DataFrame, near: Column, far: Column, owner: list[str], need: int) -> DataFrame:
+    """Cells of each owner that can hold one of its ``need`` nearest points.
+
+    Taking cells by their far edge, ``_bound`` is the distance at which they hold
+    ``need`` points for certain; a cell that starts beyond it is of no use.
+    """
+    everything = Window.partitionBy(*owner)
+    by_reach = everything.orderBy("_far", "level", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        cells.withColumns({"_near": near, "_far": far})
+        .withColumn("_cum", F.sum("n").over(by_reach))
+        .withColumn("_bound", F.min(F.when(F.col("_cum") >= need, F.col("_far"))).over(everything))
+        .filter(F.coalesce(F.col("_near") <= F.col("_bound"), F.lit(True)))
+        .drop("_near", "_far", "_cum")
+    )
+
+
+def _descend(groups, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: int, hint) -> DataFrame:
+    """(group, leaf) rows: every leaf that can matter to a query in the group's box."""
+    box = ("_x0", "_x1", "_y0", "_y1")
+    frontier = groups.selectExpr("*", "0 AS level", "0L AS cx", "0L AS cy", "CAST(NULL AS BIGINT) AS n")
+    if len(tree.levels) == 1:  # the root is the only leaf
+        root = hint(nodes.select(*by, "cx", "cy", F.col("n").alias("_rn")))
+        frontier = frontier.join(root, [*by, "cx", "cy"]).withColumn("n", F.col("_rn")).drop("_rn")
     for parent, child in zip(tree.levels, tree.levels[1:]):
-        children = hint(nodes.filter(F.col("level") == child).select(
-            *by, F.shiftright("cx", child - parent).alias("_px"), F.shiftright("cy", child - parent).alias("_py"),
-            F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("n").alias("_cn"),
+        up = child - parent
+        children = hint(nodes.filter(f"level = {child}").selectExpr(
+            *by, f"shiftright(cx, {up}) AS _px", f"shiftright(cy, {up}) AS _py", "cx AS _cx", "cy AS _cy", "n AS _cn",
         ))
         # cells already small enough keep their row: a NULL key finds no children
-        splits = (F.col("level") == parent) & (F.col("n").isNull() | (F.col("n") > leaf_rows))
-        joined = frontier.withColumns({
-            "_px": F.when(splits, F.col("cx")), "_py": F.when(splits, F.col("cy")),
-        }).join(children, [*by, "_px", "_py"], "left")
-        found = F.col("_cn").isNotNull()
-        cells = joined.select(
-            *by, "_qid", "_qx", "_qy",
-            F.when(found, F.lit(child)).otherwise(F.col("level")).alias("level"),
-            F.coalesce("_cx", "cx").alias("cx"), F.coalesce("_cy", "cy").alias("cy"),
-            F.coalesce("_cn", "n").alias("n"),
-        )
-        near, far = tree.near_and_far(*map(F.col, ("_qx", "_qy", "level", "cx", "cy")))
-        by_reach = per_query.orderBy("_far", "level", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)
-        frontier = (
-            cells.withColumns({"_near": near, "_far": far})
-            .withColumn("_cum", F.sum("n").over(by_reach))
-            .withColumn("_bound", F.min(F.when(F.col("_cum") >= need, F.col("_far"))).over(per_query))
-            .filter(F.coalesce(F.col("_near") <= F.col("_bound"), F.lit(True)))
-            .drop("_near", "_far", "_cum")
+        splits = f"level = {parent} AND (n IS NULL OR n > {leaf_rows})"
+        joined = frontier.selectExpr(
+            "*", f"CASE WHEN {splits} THEN cx END AS _px", f"CASE WHEN {splits} THEN cy END AS _py"
+        ).join(children, [*by, "_px", "_py"], "left")
+        cells = joined.selectExpr(
+            *by, "_gx", "_gy", *box, f"CASE WHEN _cn IS NULL THEN level ELSE {child} END AS level",
+            "coalesce(_cx, cx) AS cx", "coalesce(_cy, cy) AS cy", "coalesce(_cn, n) AS n",
         )
-    return frontier
+        near, far = tree.near_and_far(("_x0", "_x1"), ("_y0", "_y1"))
+        frontier = _within_bound(cells, near, far, [*by, "_gx", "_gy"], need).drop("_bound")
+    return frontier.drop(*box)
 
 
 def _ranked(pairs: DataFrame, by: list[str], k: int, query_id: str, payload) -> DataFrame:

@@ -80,7 +80,7 @@ def regrid_to_degrees(
         .groupBy("q.qr", "q.qc")
         .agg(*[F.max(F.when(F.col("q.k") == k, F.col("v"))).alias(f"v{k}") for k in range(4)])
     )
-    x, y = to_metres(F.col("lon"), F.col("lat"))
+    x, y = to_metres("lon", "lat")
     placed = target.withColumns({"_fr": (F.lit(origin_y) - y) / step, "_fc": (x - F.lit(origin_x)) / step})
     placed = placed.withColumns({"qr": F.floor("_fr").cast("int"), "qc": F.floor("_fc").cast("int")})
     a, b = F.col("_fr") - F.col("qr"), F.col("_fc") - F.col("qc")

@@ -56,7 +56,7 @@ def boundary_edges(vertices: DataFrame, projected: bool = True) -> DataFrame:
     equi-join on ``(ring_id, seq)``, which spreads even one enormous ring.
     """
     if projected:
-        x, y = to_metres(F.col("lon"), F.col("lat"))
+        x, y = to_metres("lon", "lat")
     else:
         x, y = F.col("lon"), F.col("lat")
     points = vertices.select("ring_id", "seq", x.alias("x"), y.alias("y"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from stationgrid.config import AnalysisConfig, BoundingBox
 from stationgrid.functions.cleaning import ascii_fold, clean_station_name, clean_temperature
-from stationgrid.functions.crs import to_degrees, to_metres
+from stationgrid.functions.crs import to_metres, with_degrees, with_metres
 from stationgrid.operators.boundary import mark_inside
 from stationgrid.operators.colors import class_bounds, color_index
 from stationgrid.operators.stations import dedupe_locations, order_by_priority
@@ -35,11 +35,12 @@ def test_names(spark):
 
 
 def test_projection_check_values(spark):
-    x, y = to_metres(F.lit(21.0122), F.lit(52.2297))
+    x, y = to_metres("21.0122D", "52.2297D")
     assert one(spark, x) == pytest.approx(637382.204, abs=1e-3) and one(spark, y) == pytest.approx(486757.209, abs=1e-3)
-    assert one(spark, to_metres(F.lit(19.0), F.lit(52.0))[1]) == pytest.approx(459309.2094, abs=1e-4)
-    lon, lat = to_degrees(x, y)
-    assert one(spark, lon) == pytest.approx(21.0122, abs=1e-10) and one(spark, lat) == pytest.approx(52.2297, abs=1e-10)
+    assert one(spark, to_metres("19D", "52D")[1]) == pytest.approx(459309.2094, abs=1e-4)
+    place = spark.range(1).selectExpr("21.0122D AS lon", "52.2297D AS lat")
+    back = with_degrees(with_metres(place).drop("lon", "lat"), "x_pl", "y_pl").first()
+    assert back["lon"] == pytest.approx(21.0122, abs=1e-10) and back["lat"] == pytest.approx(52.2297, abs=1e-10)
 
 
 def test_crowd_epochs_compare_as_numbers(spark):
@@ -110,7 +111,7 @@ def test_landing_stream_parses_new_files_once(spark):
 
 def test_latest_reading_per_window_is_the_same_on_a_stream(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    readings = lambda df: df.selectExpr("user_id AS station_id", "ts", "value AS temp")
+    readings = lambda df: df.selectExpr("user_id AS station_id", "CAST(ts AS TIMESTAMP) AS ts", "value AS temp")
     expected = {tuple(r) for r in latest_readings(readings(events)).collect()}
     source = scratch_path(spark, "events")
     events.write.parquet(source)
