@@ -152,7 +152,7 @@ def _knn_sql(k: int) -> str:
 @query("JN5", f"{WITH_METRIC}, {_knn_sql(10)} SELECT station_id, nbr_id, CAST(rank AS INT) AS rank, round(distance, 3) AS distance FROM near")
 def ten_nearest(spark, sf):
     s = metric_stations(spark, sf)
-    return nearest(s, s, 10, exclude_self=True).select("station_id", "nbr_id", "rank", r("distance", 3))
+    return nearest(s, s, 10, exclude_self=True, distinct_base=True).select("station_id", "nbr_id", "rank", r("distance", 3))
 
 
 _MOUNTAINS = f"""{SQL_BANDS}, high AS (SELECT 14E0 + (c + 0.5E0) * 0.2E0 AS lon, 55E0 + (r + 0.5E0) * (-0.15E0) AS lat FROM bands WHERE band = 'dem' AND value > 800),

@@ -32,6 +32,7 @@ from stationgrid.operators.sizes import BROADCAST_ROWS
 LEAF_ROWS = 48
 MAX_DEPTH = 28
 STEP = 2  # tree levels per descent step: 16 children per cell
+WIDE_STEP = 3  # for shallow trees, where fewer steps matter more than fewer rows
 
 
 class _Tree:
@@ -39,7 +40,8 @@ class _Tree:
 
     def __init__(self, x0: float, y0: float, side: float, depth: int):
         self.x0, self.y0, self.side, self.depth = x0, y0, side, depth
-        self.levels = sorted({0, *range(depth, 0, -STEP)})
+        step = WIDE_STEP if depth <= 2 * WIDE_STEP else STEP
+        self.levels = sorted({0, *range(depth, 0, -step)})
         self.slack = side * 1e-9
 
     def cell(self, x: str, y: str) -> list[str]:
@@ -56,6 +58,13 @@ class _Tree:
         return [f"least(greatest({text}, 0), {last}) AS {name}" for text, name in
                 (c.rsplit(" AS ", 1) for c in self.cell(x, y))]
 
+    def ancestors(self, gx: str, gy: str) -> str:
+        """A finest cell's cell on every used level, one row each."""
+        return "inline(array(" + ", ".join(
+            f"named_struct('level', {lv}, 'cx', shiftright({gx}, {self.depth - lv}), 'cy', shiftright({gy}, {self.depth - lv}))"
+            for lv in self.levels
+        ) + "))"
+
     def near_and_far(self, x: tuple[str, str], y: tuple[str, str]) -> tuple[Column, Column]:
         """Squared bounds of the distance from a box to anything in cell (level, cx, cy)."""
         size, slack = f"({self.side!r}D / power(2D, level))", f"{self.slack!r}D"
@@ -67,28 +76,37 @@ class _Tree:
         return F.expr(" + ".join(near)), F.expr(" + ".join(far))
 
 
-def _plan_tree(base: DataFrame, by: list[str], leaf_rows: int) -> _Tree | None:
-    """Choose extent and depth from one-row aggregates."""
-    per_group = base.groupBy(*by).agg(
+def _count_cells(points: DataFrame, by: list[str], tree: _Tree) -> DataFrame:
+    """``(by..., level, cx, cy, n)`` of every occupied cell on every used level."""
+    finest = points.selectExpr(*by, *tree.finest("_x", "_y")).groupBy(*by, "_gx", "_gy").agg(F.count("*").alias("_n"))
+    return finest.selectExpr(*by, "_n", tree.ancestors("_gx", "_gy")).groupBy(*by, "level", "cx", "cy").agg(
+        F.sum("_n").alias("n")
+    )
+
+
+def _build_tree(points: DataFrame, by: list[str], leaf_rows: int) -> tuple[_Tree, DataFrame, int] | None:
+    """The tree, its persisted cells and their number; None without points.
+
+    Extent and depth follow from one-row aggregates. A depth at which some cell is
+    still crowded is refined, so the depth suits the densest place.
+    """
+    per_group = points.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("_x").alias("x0"), F.max("_x").alias("x1"),
         F.min("_y").alias("y0"), F.max("_y").alias("y1"),
     )
-    row = per_group.agg(F.max("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
-    n, x0, x1, y0, y1 = row
+    n, x0, x1, y0, y1 = per_group.agg(F.max("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
     if not n:
         return None
     side = max(x1 - x0, y1 - y0, 1e-6) * (1.0 + 1e-9)
     depth = 0 if n <= leaf_rows else math.ceil(math.log(n / leaf_rows, 4))
-    while depth < MAX_DEPTH and n > leaf_rows:
-        tree = _Tree(x0, y0, side, depth)
-        fullest = (
-            base.selectExpr(*by, *tree.finest("_x", "_y")).groupBy(*by, "_gx", "_gy")
-            .count().agg(F.max("count")).first()[0]
-        )
-        if fullest <= 4 * leaf_rows:
-            break
+    while True:
+        tree = _Tree(x0, y0, side, min(depth, MAX_DEPTH))
+        cells = _count_cells(points, by, tree).persist(StorageLevel.MEMORY_AND_DISK)
+        total, fullest = cells.agg(F.count("*"), F.max(F.when(F.col("level") == tree.depth, F.col("n")))).first()
+        if fullest <= 4 * leaf_rows or tree.depth == MAX_DEPTH:
+            return tree, cells, total
+        cells.unpersist()
         depth += math.ceil(math.log(fullest / (4 * leaf_rows), 4)) + 1
-    return _Tree(x0, y0, side, min(depth, MAX_DEPTH))
 
 
 def nearest(
@@ -102,6 +120,7 @@ def nearest(
     payload: tuple[str, ...] = (),
     by: tuple[str, ...] = (),
     exclude_self: bool = False,
+    distinct_base: bool = False,
     leaf_rows: int = LEAF_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -110,7 +129,8 @@ def nearest(
     Queries are expected at distinct locations (stations after de-duplication,
     grid cells); for co-located queries use :func:`nearest_of_locations`. Base
     points may share a location: only the lowest ids there can ever be chosen, and
-    the others are dropped before anything is shuffled by cell.
+    the others are dropped before anything is shuffled by cell. ``distinct_base``
+    says that they do not, which saves that step.
     """
     by = list(by)
     need = k + (1 if exclude_self else 0)
@@ -118,30 +138,22 @@ def nearest(
         *by, F.col(base_id).alias("_bid"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
         *[F.col(c).alias(f"nbr_{c}") for c in payload],
     )
-    same_place = Window.partitionBy(*by, "_x", "_y").orderBy("_bid")
-    points = points.withColumn("_o", F.row_number().over(same_place)).filter(F.col("_o") <= need).drop("_o")
-    asked = queries.select(
-        *by, F.col(query_id).alias("_qid"), F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy")
-    )
+    if not distinct_base:
+        same_place = Window.partitionBy(*by, "_x", "_y").orderBy("_bid")
+        points = points.withColumn("_o", F.row_number().over(same_place)).filter(F.col("_o") <= need).drop("_o")
     points.persist(StorageLevel.MEMORY_AND_DISK)
-    tree = _plan_tree(points, by, leaf_rows)
-    if tree is None:
+    if queries is base and query_id == base_id and distinct_base:
+        asked = points.selectExpr(*by, "_bid AS _qid", "_x AS _qx", "_y AS _qy")
+    else:
+        asked = queries.select(
+            *by, F.col(query_id).alias("_qid"), F.col(x).cast("double").alias("_qx"), F.col(y).cast("double").alias("_qy")
+        )
+    built = _build_tree(points, by, leaf_rows)
+    if built is None:
         empty = asked.limit(0).join(points, by or F.lit(False)).withColumn("_d2", F.lit(0.0))
         return _ranked(empty, by, k, query_id, payload)
-    points = points.selectExpr("*", *tree.finest("_x", "_y"))
-
-    # counts of every cell on every used level, from the finest counts upwards
-    finest = points.groupBy(*by, "_gx", "_gy").agg(F.count("*").alias("_n"))
-    levels = F.expr("inline(array(" + ", ".join(
-        f"named_struct('level', {lv}, 'cx', shiftright(_gx, {tree.depth - lv}), 'cy', shiftright(_gy, {tree.depth - lv}))"
-        for lv in tree.levels
-    ) + "))")
-    nodes = (
-        finest.select(*by, "_n", levels)
-        .groupBy(*by, "level", "cx", "cy").agg(F.sum("_n").alias("n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    small = nodes.count() <= broadcast_rows
+    tree, nodes, n_nodes = built
+    small = n_nodes <= broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
 
     asked = asked.selectExpr("*", *tree.cell("_qx", "_qy"))
@@ -154,17 +166,15 @@ def nearest(
     frontier = _within_bound(own, near, far, [*by, "_qid"], need)
 
     # each base point belongs to exactly one leaf: its coarsest cell that is small enough
-    leaf = (F.col("n") <= leaf_rows) | (F.col("level") == tree.depth)
-    leaf_nodes = nodes.filter(leaf).select(*by, "level", "cx", "cy")
-    finest_cells = finest.select(*by, "_gx", "_gy", levels)
+    leaf_nodes = nodes.filter(f"n <= {leaf_rows} OR level = {tree.depth}").select(*by, "level", "cx", "cy")
     leaf_level = (
-        finest_cells.join(hint(leaf_nodes), [*by, "level", "cx", "cy"])
+        nodes.filter(f"level = {tree.depth}").selectExpr(*by, "cx AS _gx", "cy AS _gy")
+        .selectExpr(*by, "_gx", "_gy", tree.ancestors("_gx", "_gy"))
+        .join(hint(leaf_nodes), [*by, "level", "cx", "cy"])
         .groupBy(*by, "_gx", "_gy").agg(F.min("level").alias("level"))
     )
-    placed = points.join(hint(leaf_level) if small else leaf_level, [*by, "_gx", "_gy"]).select(
-        *by, "level",
-        F.expr(f"shiftright(_gx, {tree.depth} - level)").alias("cx"),
-        F.expr(f"shiftright(_gy, {tree.depth} - level)").alias("cy"),
+    placed = points.selectExpr("*", *tree.finest("_x", "_y")).join(hint(leaf_level), [*by, "_gx", "_gy"]).selectExpr(
+        *by, "level", f"shiftright(_gx, {tree.depth} - level) AS cx", f"shiftright(_gy, {tree.depth} - level) AS cy",
         "_bid", "_x", "_y", *[f"nbr_{c}" for c in payload],
     )
     pairs = frontier.join(placed, [*by, "level", "cx", "cy"])

@@ -100,7 +100,7 @@ def local_predictions(targets: DataFrame, points: DataFrame, value: str, model:
     """``(target_id, kriged)`` from each target's ``k`` nearest points."""
     base = points.select(F.col(point_id).alias("_pid"), F.col("x_pl").alias(x), F.col("y_pl").alias(y),
                          F.col("x_pl").alias("px"), F.col("y_pl").alias("py"), F.col(value).alias("pz")).na.drop()
-    found = nearest(targets, base, k, query_id=target_id, base_id="_pid", x=x, y=y, payload=("px", "py", "pz"))
+    found = nearest(targets, base, k, query_id=target_id, base_id="_pid", x=x, y=y, payload=("px", "py", "pz"), distinct_base=True)
     entry = F.struct("rank", "nbr_px", "nbr_py", "nbr_pz")
     lists = found.groupBy(target_id).agg(F.sort_array(F.collect_list(entry)).alias("e"))  # k entries at most
     rows = lists.join(targets.select(target_id, F.col(x).alias("tx"), F.col(y).alias("ty")), target_id).select(

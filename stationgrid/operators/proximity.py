@@ -29,7 +29,7 @@ def mountain_distance(points: DataFrame, mountains: DataFrame, id_col: str = "st
     """``(id, dist_mountains)`` in km; 0 everywhere when there is no mountain pixel."""
     if mountains.isEmpty():
         return points.select(id_col, F.lit(0.0).alias("dist_mountains"))
-    return nearest(points, mountains, 1, query_id=id_col, base_id="pixel_id").select(
+    return nearest(points, mountains, 1, query_id=id_col, base_id="pixel_id", distinct_base=True).select(
         id_col, (F.col("distance") / 1000).alias("dist_mountains")
     )
 
@@ -38,7 +38,7 @@ def remove_buffered(keep: DataFrame, candidates: DataFrame, buffer_km: float, id
     """Candidates at least ``buffer_km`` from every kept point."""
     if buffer_km <= 0:
         return candidates
-    close = nearest(candidates, keep, 1, query_id=id_col, base_id=id_col).filter(
+    close = nearest(candidates, keep, 1, query_id=id_col, base_id=id_col, distinct_base=True).filter(
         F.col("distance") < F.lit(buffer_km * 1000.0)
     )
     return candidates.join(close.select(id_col), id_col, "left_anti")
@@ -47,7 +47,7 @@ def remove_buffered(keep: DataFrame, candidates: DataFrame, buffer_km: float, id
 def spatial_lag(stations: DataFrame, k: int, id_col: str = "station_id") -> DataFrame:
     """Inverse-distance weighted neighbour temperature, nearest and mean distance."""
     neighbours = nearest(
-        stations, stations, k, query_id=id_col, base_id=id_col, payload=("temp",), exclude_self=True
+        stations, stations, k, query_id=id_col, base_id=id_col, payload=("temp",), exclude_self=True, distinct_base=True
     )
     weight = F.lit(1.0) / (F.col("distance") + 1.0)
     return neighbours.groupBy(id_col).agg(

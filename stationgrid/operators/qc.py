@@ -55,7 +55,7 @@ def neighbour_consensus(stations: DataFrame, lapse_rate: float, config: Analysis
     keys = [*by, id_col]
     neighbours = nearest(
         stations, stations, config.qc_neighbors, query_id=id_col, base_id=id_col, payload=("temp", "dem"),
-        by=by, exclude_self=True,
+        by=by, exclude_self=True, distinct_base=True,
     )
     own = stations.select(*keys, F.col("dem").alias("own_dem"))
     moved = F.col("nbr_temp") + F.lit(config.elev_sign * lapse_rate) * (F.col("nbr_dem") - F.col("own_dem"))
