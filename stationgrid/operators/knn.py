@@ -84,8 +84,8 @@ def _count_cells(points: DataFrame, by: list[str], tree: _Tree) -> DataFrame:
     )
 
 
-def _build_tree(points: DataFrame, by: list[str], leaf_rows: int) -> tuple[_Tree, DataFrame, int] | None:
-    """The tree, its persisted cells and their number; None without points.
+def _build_tree(points: DataFrame, by: list[str], leaf_rows: int) -> tuple[_Tree, DataFrame, dict[int, int]] | None:
+    """The tree, its persisted cells and their number per level; None without points.
 
     Extent and depth follow from one-row aggregates. A depth at which some cell is
     still crowded is refined, so the depth suits the densest place.
@@ -102,9 +102,10 @@ def _build_tree(points: DataFrame, by: list[str], leaf_rows: int) -> tuple[_Tree
     while True:
         tree = _Tree(x0, y0, side, min(depth, MAX_DEPTH))
         cells = _count_cells(points, by, tree).persist(StorageLevel.MEMORY_AND_DISK)
-        total, fullest = cells.agg(F.count("*"), F.max(F.when(F.col("level") == tree.depth, F.col("n")))).first()
+        per_level = {r["level"]: r for r in cells.groupBy("level").agg(F.count("*").alias("size"), F.max("n").alias("full")).collect()}
+        fullest = per_level[tree.depth]["full"]
         if fullest <= 4 * leaf_rows or tree.depth == MAX_DEPTH:
-            return tree, cells, total
+            return tree, cells, {level: r["size"] for level, r in per_level.items()}
         cells.unpersist()
         depth += math.ceil(math.log(fullest / (4 * leaf_rows), 4)) + 1
 
@@ -152,15 +153,17 @@ def nearest(
     if built is None:
         empty = asked.limit(0).join(points, by or F.lit(False)).withColumn("_d2", F.lit(0.0))
         return _ranked(empty, by, k, query_id, payload)
-    tree, nodes, n_nodes = built
-    small = n_nodes <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df)
+    tree, nodes, sizes = built
+
+    def hint(df: DataFrame, rows: int) -> DataFrame:
+        """Broadcast a table of a counted size; beyond the limit it is shuffled."""
+        return F.broadcast(df) if rows <= broadcast_rows else df
 
     asked = asked.selectExpr("*", *tree.cell("_qx", "_qy"))
     groups = asked.groupBy(*by, "_gx", "_gy").agg(
         F.min("_qx").alias("_x0"), F.max("_qx").alias("_x1"), F.min("_qy").alias("_y0"), F.max("_qy").alias("_y1")
     )
-    leaves = _descend(groups, nodes, tree, by, need, leaf_rows, hint)
+    leaves = _descend(groups, nodes, tree, by, need, leaf_rows, sizes, hint)
     own = asked.join(leaves, [*by, "_gx", "_gy"])
     near, far = tree.near_and_far(("_qx", "_qx"), ("_qy", "_qy"))
     frontier = _within_bound(own, near, far, [*by, "_qid"], need)
@@ -170,10 +173,10 @@ def nearest(
     leaf_level = (
         nodes.filter(f"level = {tree.depth}").selectExpr(*by, "cx AS _gx", "cy AS _gy")
         .selectExpr(*by, "_gx", "_gy", tree.ancestors("_gx", "_gy"))
-        .join(hint(leaf_nodes), [*by, "level", "cx", "cy"])
+        .join(hint(leaf_nodes, sum(sizes.values())), [*by, "level", "cx", "cy"])
         .groupBy(*by, "_gx", "_gy").agg(F.min("level").alias("level"))
     )
-    placed = points.selectExpr("*", *tree.finest("_x", "_y")).join(hint(leaf_level), [*by, "_gx", "_gy"]).selectExpr(
+    placed = points.selectExpr("*", *tree.finest("_x", "_y")).join(hint(leaf_level, sizes[tree.depth]), [*by, "_gx", "_gy"]).selectExpr(
         *by, "level", f"shiftright(_gx, {tree.depth} - level) AS cx", f"shiftright(_gy, {tree.depth} - level) AS cy",
         "_bid", "_x", "_y", *[f"nbr_{c}" for c in payload],
     )
@@ -203,18 +206,18 @@ def _within_bound(cells: DataFrame, near: Column, far: Column, owner: list[str],
     )
 
 
-def _descend(groups, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: int, hint) -> DataFrame:
+def _descend(groups, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: int, sizes, hint) -> DataFrame:
     """(group, leaf) rows: every leaf that can matter to a query in the group's box."""
     box = ("_x0", "_x1", "_y0", "_y1")
     frontier = groups.selectExpr("*", "0 AS level", "0L AS cx", "0L AS cy", "CAST(NULL AS BIGINT) AS n")
     if len(tree.levels) == 1:  # the root is the only leaf
-        root = hint(nodes.select(*by, "cx", "cy", F.col("n").alias("_rn")))
+        root = hint(nodes.select(*by, "cx", "cy", F.col("n").alias("_rn")), sizes[0])
         frontier = frontier.join(root, [*by, "cx", "cy"]).withColumn("n", F.col("_rn")).drop("_rn")
     for parent, child in zip(tree.levels, tree.levels[1:]):
         up = child - parent
         children = hint(nodes.filter(f"level = {child}").selectExpr(
             *by, f"shiftright(cx, {up}) AS _px", f"shiftright(cy, {up}) AS _py", "cx AS _cx", "cy AS _cy", "n AS _cn",
-        ))
+        ), sizes[child])
         # cells already small enough keep their row: a NULL key finds no children
         splits = f"level = {parent} AND (n IS NULL OR n > {leaf_rows})"
         joined = frontier.selectExpr(
