@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,7 +18,7 @@ from stationgrid.operators.features import (
     engineer_features,
 )
 from stationgrid.operators.geocode import locate_stations
-from stationgrid.operators.grid import GridSpec, prediction_grid, scatter, smooth
+from stationgrid.operators.grid import GridSpec, grid_cells, prediction_grid, scatter, smooth
 from stationgrid.operators.kriging import KrigingBaseline
 from stationgrid.operators.qc import effective_lapse_rate, judge_stations
 from stationgrid.operators.raster import geographic_target, regrid_to_degrees
@@ -126,8 +126,6 @@ def geographic_products(analysis: Analysis, step_deg: float) -> dict[str, DataFr
     """Temperature and uncertainty on a geographic grid that covers the field."""
     spark = analysis.field.sparkSession
     spec = analysis.spec
-    from stationgrid.operators.grid import grid_cells
-
     box = grid_cells(spark, spec).agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
     width = int((box[1] - box[0]) / step_deg) + 1
     height = int((box[3] - box[2]) / step_deg) + 1
@@ -151,8 +149,3 @@ def export(analysis: Analysis, root: str, run: str, step_deg: float = 0.05) -> l
         products[(product, "EPSG2180")] = (metric[name], analysis.spec.step)
         products[(product, "EPSG4326")] = (degrees[name], step_deg)
     return write_product_set(products, root, run, tags)
-
-
-def archive_config(config: AnalysisConfig, **changes) -> AnalysisConfig:
-    """A copy of ``config`` with some settings changed."""
-    return replace(config, **changes)
