@@ -42,6 +42,7 @@ class _Tree:
         self.x0, self.y0, self.side, self.depth = x0, y0, side, depth
         step = WIDE_STEP if depth <= 2 * WIDE_STEP else STEP
         self.levels = sorted({0, *range(depth, 0, -step)})
+        self.top = self.levels[:2][-1]  # where the walk starts; the root only when it is the one leaf
         self.slack = side * 1e-9
 
     def cell(self, x: str, y: str) -> list[str]:
@@ -169,7 +170,9 @@ def nearest(
     frontier = _within_bound(own, near, far, [*by, "_qid"], need)
 
     # each base point belongs to exactly one leaf: its coarsest cell that is small enough
-    leaf_nodes = nodes.filter(f"n <= {leaf_rows} OR level = {tree.depth}").select(*by, "level", "cx", "cy")
+    leaf_nodes = nodes.filter(
+        f"level >= {tree.top} AND (n <= {leaf_rows} OR level = {tree.depth})"
+    ).select(*by, "level", "cx", "cy")
     leaf_level = (
         nodes.filter(f"level = {tree.depth}").selectExpr(*by, "cx AS _gx", "cy AS _gy")
         .selectExpr(*by, "_gx", "_gy", tree.ancestors("_gx", "_gy"))
@@ -209,17 +212,22 @@ def _within_bound(cells: DataFrame, near: Column, far: Column, owner: list[str],
 def _descend(groups, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: int, sizes, hint) -> DataFrame:
     """(group, leaf) rows: every leaf that can matter to a query in the group's box."""
     box = ("_x0", "_x1", "_y0", "_y1")
-    frontier = groups.selectExpr("*", "0 AS level", "0L AS cx", "0L AS cy", "CAST(NULL AS BIGINT) AS n")
-    if len(tree.levels) == 1:  # the root is the only leaf
-        root = hint(nodes.select(*by, "cx", "cy", F.col("n").alias("_rn")), sizes[0])
-        frontier = frontier.join(root, [*by, "cx", "cy"]).withColumn("n", F.col("_rn")).drop("_rn")
-    for parent, child in zip(tree.levels, tree.levels[1:]):
+    top = tree.top
+    near, far = tree.near_and_far(("_x0", "_x1"), ("_y0", "_y1"))
+    counts = hint(nodes.filter(f"level = {top}").select(*by, "cx", "cy", "n"), sizes[top])
+    frontier = (
+        groups.selectExpr("*", f"{top} AS level", f"explode(sequence(0L, {4**top - 1}L)) AS _cell")
+        .selectExpr("*", f"_cell % {2**top} AS cx", f"_cell DIV {2**top} AS cy").drop("_cell")
+        .join(counts, [*by, "cx", "cy"])
+    )
+    frontier = _within_bound(frontier, near, far, [*by, "_gx", "_gy"], need).drop("_bound")
+    for parent, child in zip(tree.levels[1:], tree.levels[2:]):
         up = child - parent
         children = hint(nodes.filter(f"level = {child}").selectExpr(
             *by, f"shiftright(cx, {up}) AS _px", f"shiftright(cy, {up}) AS _py", "cx AS _cx", "cy AS _cy", "n AS _cn",
         ), sizes[child])
         # cells already small enough keep their row: a NULL key finds no children
-        splits = f"level = {parent} AND (n IS NULL OR n > {leaf_rows})"
+        splits = f"level = {parent} AND n > {leaf_rows}"
         joined = frontier.selectExpr(
             "*", f"CASE WHEN {splits} THEN cx END AS _px", f"CASE WHEN {splits} THEN cy END AS _py"
         ).join(children, [*by, "_px", "_py"], "left")
@@ -227,7 +235,6 @@ def _descend(groups, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: in
             *by, "_gx", "_gy", *box, f"CASE WHEN _cn IS NULL THEN level ELSE {child} END AS level",
             "coalesce(_cx, cx) AS cx", "coalesce(_cy, cy) AS cy", "coalesce(_cn, n) AS n",
         )
-        near, far = tree.near_and_far(("_x0", "_x1"), ("_y0", "_y1"))
         frontier = _within_bound(cells, near, far, [*by, "_gx", "_gy"], need).drop("_bound")
     return frontier.drop(*box)
 

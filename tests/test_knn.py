@@ -66,13 +66,14 @@ def test_empty_base_gives_no_rows(spark):
 
 def test_groups_do_not_mix(spark):
     rows = clustered(160, 4)
-    df = frame(spark, rows).selectExpr("station_id % 3 AS snapshot_id", "*")
+    rows += [(9001, 0.0, 0.0), (9002, 3.0, 4.0)]  # a snapshot far smaller than a leaf
+    df = frame(spark, rows).selectExpr("CASE WHEN station_id > 9000 THEN 3 ELSE station_id % 3 END AS snapshot_id", "*")
     found = nearest(df, df, 2, by=("snapshot_id",), exclude_self=True, leaf_rows=8)
     got = {}
     for r in sorted(found.collect(), key=lambda r: r["rank"]):
         got.setdefault(r["station_id"], []).append((r["nbr_id"], round(r["distance"], 6)))
-    for group in range(3):
-        members = [p for p in rows if p[0] % 3 == group]
+    for group in range(4):
+        members = [p for p in rows if (3 if p[0] > 9000 else p[0] % 3) == group]
         expected = brute(members, members, 2, True)
         assert {i: got[i] for i in expected} == expected
 
