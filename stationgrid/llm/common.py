@@ -55,3 +55,10 @@ def materialised(df: DataFrame) -> DataFrame:
 
 def salted(key: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+
+
+def bounded_sample(rows: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` documents, the smallest by hash of the id: the same ones on every run."""
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    # a bounded number of ids, whatever the table
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
