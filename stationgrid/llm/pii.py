@@ -291,8 +291,8 @@ def fit_detector(rows: list[tuple[int, list[float], int]], precision: float = PR
         if not len(good):
             thresholds.append(2.0)  # never
             continue
-        kept = p[own][order][[good[-1], min(good[-1] + 1, own.sum() - 1)]]
-        thresholds.append(max(0.5, float(kept.mean())))
+        last, after = np.append(p[own][order], 0.0)[[good[-1], good[-1] + 1]]
+        thresholds.append(max(0.5, float(last + after) / 2))
     return Detector(trees, float(slope), float(shift), tuple(thresholds))
 
 
