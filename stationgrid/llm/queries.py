@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationgrid.llm import packing, pii, quality, tokens
+from stationgrid.llm import packing, pii, quality, simhash, tokens
 from stationgrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -28,5 +32,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_classifier, op7_token_counts, op8_best_fit_packing, op10_personal_data)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op7_token_counts, op8_best_fit_packing, op10_personal_data)}
 ORACLE: dict[str, str] = {}
