@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationgrid.llm import packing, pii, quality, simhash, tokens
+from stationgrid.llm import mixing, packing, pii, quality, simhash, tokens
 from stationgrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op7_token_counts, op8_best_fit_packing, op10_personal_data)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op7_token_counts, op8_best_fit_packing, op10_personal_data)}
 ORACLE: dict[str, str] = {}
