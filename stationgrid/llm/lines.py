@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stationgrid.llm.common import materialised
 from stationgrid.llm.mixing import word_count
 
-MIN_WORDS = 50
+MIN_WORDS = 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:

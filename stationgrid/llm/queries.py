@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationgrid.llm import lines, mixing, packing, pii, quality, simhash, tokens
+from stationgrid.llm import lines, mixing, packing, pii, quality, simhash, tokens, vafile
 from stationgrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +38,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read(spark, sf_dir, "documents"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.exact_top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op5_line_dedup, op7_token_counts, op8_best_fit_packing, op10_personal_data)}
-ORACLE: dict[str, str] = {"op5_line_dedup": lines.DIGEST_SQL.format(more=lines.MIN_WORDS - 1)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op5_line_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data)}
+ORACLE: dict[str, str] = {
+    "op5_line_dedup": lines.DIGEST_SQL.format(more=lines.MIN_WORDS - 1),
+    "op9_exact_top_k": vafile.DIGEST_SQL,
+}
