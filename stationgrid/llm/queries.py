@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationgrid.llm import lines, mixing, packing, pii, quality, simhash, tokens, vafile
+from stationgrid.llm import graph, lines, mixing, packing, pii, quality, simhash, tokens, vafile
 from stationgrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -46,7 +50,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op5_line_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op4_graph_neighbours, op5_line_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data)}
 ORACLE: dict[str, str] = {
     "op5_line_dedup": lines.DIGEST_SQL.format(more=lines.MIN_WORDS - 1),
     "op9_exact_top_k": vafile.DIGEST_SQL,
