@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationgrid.llm import graph, lines, mixing, packing, pii, quality, simhash, tokens, vafile
+from stationgrid.llm import graph, lines, mixing, packing, pii, quality, simhash, suffixes, tokens, vafile
 from stationgrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op4_graph_neighbours, op5_line_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op4_graph_neighbours, op5_line_dedup, op6_suffix_array_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data)}
 ORACLE: dict[str, str] = {
     "op5_line_dedup": lines.DIGEST_SQL.format(more=lines.MIN_WORDS - 1),
     "op9_exact_top_k": vafile.DIGEST_SQL,
