@@ -26,12 +26,25 @@ TOLERANCE = 1e-7
 #: Buckets of one refinement of the cut, and how many refinements.
 BUCKETS, LEVELS = 1024, 3
 REPAIRS = 4
+#: Copies of a source's row that its documents are spread over.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def with_source(rows: DataFrame, table: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` (sid) with the columns of ``table``, one row per sid.
+
+    Rows of one source meet SALTS copies of its row, so that a source with a third of all rows is not one task, here or in
+    what is aggregated by sid after it.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(table.withColumn("_salt", salts), ["sid", "_salt"], how).drop("_salt")
+
+
 def ranked_sources(sized: DataFrame) -> DataFrame:
     """One row per source: sid (its place by code point, null last, from 0), size, documents.
 
@@ -64,7 +77,7 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
 def tilts(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     """sid, tilt of each source: guarded Newton steps on the dual over ``cells`` (sid, size, n)."""
     most = F.log(F.lit(cap))
-    known = cells.join(sources.where("source_size > 0").select("sid", "target", (F.col("source_size") / F.col("n")).alias("mean"), "source_size"), "sid")
+    known = with_source(cells, sources.where("source_size > 0").select("sid", "target", (F.col("source_size") / F.col("n")).alias("mean"), "source_size"), "size")
     known = materialised(known.withColumn("z", F.col("size") / F.col("mean")))
     state = materialised(
         known.groupBy("sid").agg(F.first("target").alias("target"), F.first("source_size").alias("whole"), F.min("z").alias("least"))
@@ -77,7 +90,7 @@ def tilts(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     for _ in range(STEPS):
         rate = F.exp(F.least(F.col("tilt") * F.col("z"), most))
         mass = F.col("n") * F.col("size") * rate
-        sums = known.select("sid", "size", "n", "z").join(state.where("NOT done"), "sid").groupBy("sid").agg(
+        sums = with_source(known.select("sid", "size", "n", "z"), state.where("NOT done"), "size").groupBy("sid").agg(
             F.sum(mass).alias("got"), F.sum(F.when(F.col("tilt") * F.col("z") < most, mass * F.col("z")).otherwise(0.0)).alias("slope"),
         )
         over = F.col("got") > F.col("target")
@@ -99,23 +112,24 @@ def _extra(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``docs`` (sid, key in [0, 1), size, open) with ``extra``: the smallest keys of a source up to its ``wanted`` words."""
     docs = docs.withColumns({"_cell": F.floor(F.col("key") * BUCKETS ** LEVELS).cast("long")})
     levels = [BUCKETS ** k for k in range(LEVELS - 1, -1, -1)]
-    cuts = wanted.select("sid", F.greatest("wanted", F.lit(0.0)).alias("_left"), F.lit(0).cast("long").alias("_cut"))
+    cuts = materialised(wanted.select("sid", F.greatest("wanted", F.lit(0.0)).alias("_left"), F.lit(0).cast("long").alias("_cut")))
+    own = docs.where("open").select("sid", "row", "size", "_cell")
     for k, width in enumerate(levels):
-        at = F.floor(F.col("_cell") / width).cast("long")
-        own = docs.where("open").select("sid", "size", at.alias("_at"))
-        sums = own.groupBy("sid", "_at").agg(F.sum("size").alias("_sum"))
-        inside = sums.join(cuts, "sid").where((F.col("_at") >= F.col("_cut")) & (F.col("_at") < F.col("_cut") + BUCKETS))
+        if k:  # only the bucket that is refined
+            bucket = F.floor(F.col("_cell") / (width * BUCKETS)).cast("long") * BUCKETS
+            own = materialised(with_source(own, cuts.select("sid", "_cut"), "row").where(bucket == F.col("_cut")).drop("_cut"))
+        sums = own.groupBy("sid", F.floor(F.col("_cell") / width).cast("long").alias("_at")).agg(F.sum("size").alias("_sum"))
+        # at most BUCKETS rows of each source
         run = F.sum("_sum").over(Window.partitionBy("sid").orderBy("_at"))
-        taken = inside.withColumn("_run", run).where(F.col("_run") <= F.col("_left")).groupBy("sid").agg(F.max("_run").alias("_run"), F.max("_at").alias("_last"))
-        # the first bucket that does not fit whole is refined
-        cuts = materialised(cuts.join(taken, "sid", "left").select(
-            "sid", (F.col("_left") - F.coalesce("_run", F.lit(0))).alias("_left"),
-            F.coalesce(F.col("_last") + 1, F.col("_cut")).alias("_cut"),
-        ))
-        if k + 1 < len(levels):
-            first = sums.join(cuts, "sid").where(F.col("_at") >= F.col("_cut")).groupBy("sid").agg(F.min("_at").alias("_first"))
-            cuts = materialised(cuts.join(first, "sid", "left").select("sid", "_left", (F.coalesce("_first", "_cut") * BUCKETS).alias("_cut")))
-    return docs.join(cuts.select("sid", "_cut"), "sid").withColumn("extra", F.col("open") & (F.col("_cell") < F.col("_cut"))).drop("_cell", "_cut")
+        fits = materialised(sums.withColumn("_run", run).join(cuts.select("sid", "_left"), "sid"))
+        taken = fits.where(F.col("_run") <= F.col("_left")).groupBy("sid").agg(F.max("_run").alias("_run"))
+        first = fits.where(F.col("_run") > F.col("_left")).groupBy("sid").agg(F.min("_at").alias("_first"))
+        left = F.col("_left") - F.coalesce("_run", F.lit(0))
+        # the first bucket that does not fit whole is refined; if all fit, all cells below the end are taken
+        end = F.when(F.col("_first").isNotNull(), F.col("_first")).when(F.lit(k == 0), F.lit(BUCKETS)).otherwise(F.col("_cut") + BUCKETS)
+        scale = BUCKETS if k + 1 < len(levels) else 1
+        cuts = materialised(cuts.join(taken, "sid", "left").join(first, "sid", "left").select("sid", left.alias("_left"), (end * scale).cast("long").alias("_cut")))
+    return with_source(docs, cuts.select("sid", "_cut"), "row").withColumn("extra", F.col("open") & (F.col("_cell") < F.col("_cut"))).drop("_cell", "_cut")
 
 
 def _repair(docs: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
@@ -125,7 +139,7 @@ def _repair(docs: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         can = F.when(F.col("_gap") > 0, F.col("copies") + 1 <= cap).otherwise(F.col("copies") > 0)
         off = F.abs(F.abs("_gap") - F.col("size"))
         best = (
-            docs.join(gap, "sid").where(can & (off < F.abs("_gap"))).groupBy("sid")
+            with_source(docs, gap, "row").where(can & (off < F.abs("_gap"))).groupBy("sid")
             .agg(F.min(F.struct(off.alias("off"), F.col("key"), F.col("row"), F.signum("_gap").cast("long").alias("step"))).alias("best"))
             .select(F.col("best.row").alias("row"), F.col("best.step").alias("_step"))
         )
@@ -145,7 +159,7 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float =
     cells = named.where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n"))
     tilt = tilts(cells, sources, cap)
     rated = (
-        named.join(sources.select("sid", "source_size", "n"), "sid").join(tilt, "sid", "left")
+        with_source(named, sources.select("sid", "source_size", "n").join(tilt, "sid", "left"), "row")
         .withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(F.exp(F.least(F.col("tilt") * F.col("size") * F.col("n") / F.col("source_size"), F.log(F.lit(cap))))))
     )
     whole = F.floor(F.col("rate") + 1e-9).cast("long")
@@ -156,7 +170,7 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float =
     base = split.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("_got"))
     wanted = sources.join(base, "sid").select("sid", (F.col("target") - F.col("_got")).alias("wanted"))
     rounded = materialised(_extra(split, wanted).withColumn("copies", F.col("copies") + F.col("extra").cast("long")).select("row", "doc_id", "sid", "size", "copies", "key"))
-    return _repair(rounded, sources, cap).join(sources, "sid").select("doc_id", "source", "size", "source_size", "target", "copies", "row")
+    return with_source(_repair(rounded, sources, cap), sources, "row").select("doc_id", "source", "size", "source_size", "target", "copies", "row")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -170,10 +184,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
 
     Copies are counted by id; where an id is repeated, its rows share the copies of their sum in turn.
     """
-    per_id = mix_copies(docs, weights, cap).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    per_id = materialised(mix_copies(docs, weights, cap).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
     columns = docs.columns
     joined = docs.join(per_id.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.where("_rows = 1").withColumn("_times", F.col("_copies"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source"))
-    shared = joined.where("_rows > 1").withColumn("_place", place).withColumn("_times", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long")).drop("_place")
-    return once.unionByName(shared).where("_times > 0").withColumn("_times", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*columns)
+    taken = joined.where("_rows = 1").withColumn("_times", F.col("_copies"))
+    if not per_id.where("_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source"))
+        shared = joined.where("_rows > 1").withColumn("_place", place)
+        more = (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long")
+        taken = taken.unionByName(shared.withColumn("_times", F.floor(F.col("_copies") / F.col("_rows")) + more).drop("_place"))
+    return taken.where("_times > 0").withColumn("_times", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*columns)
