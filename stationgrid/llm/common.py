@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stationgrid.session import cut_lineage
+from stationgrid.session import cut_lineage, scratch_path
 
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -53,8 +53,26 @@ def materialised(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def salted(key: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+def written(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder: smaller than a checkpoint, and read by column."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key with more than this share of all rows is hot; so there are at most as many hot keys as its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_keys(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``: one row per key, with ``_n``, how many of the ``total`` rows have it.
+
+    Hot keys, a bounded number, are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    hot = F.col("_n") > HOT_SHARE * total
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
+    return rows.join(few, keys).unionByName(rest).drop("_n")
 
 
 def bounded_sample(rows: DataFrame, size: int) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationgrid.llm.common import materialised
+from stationgrid.llm.common import join_keys, materialised, written
 from stationgrid.llm.mixing import word_count
 
 MIN_WORDS = 8
@@ -34,16 +34,18 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     """doc_id, mark, low, high, print (hash and place of the fingerprint), key of the shortest windows both ways."""
     doc = Window.partitionBy("doc_id", "mark")
     placed = lines.withColumn("until", F.sum("words").over(doc.orderBy("pos"))).withColumn("since", F.col("until") - F.col("words"))
-    frames = {
-        "forward": doc.orderBy("since").rangeBetween(0, min_words - 1),
-        "backward": doc.orderBy("until").rangeBetween(-(min_words - 1), 0),
-    }
+    total = F.sum("words")
+    frames = [
+        (doc.orderBy("since").rangeBetween(0, min_words - 1), lambda words: words >= min_words),
+        # a window that is too short without its last line is the forward window of its first
+        (doc.orderBy("until").rangeBetween(-(min_words - 1), 0), lambda words: words - F.col("words") >= min_words),
+    ]
     windows = [
         placed.select(
-            "doc_id", "mark", F.min("pos").over(frame).alias("low"), F.max("pos").over(frame).alias("high"), F.sum("words").over(frame).alias("_words"),
+            "doc_id", "mark", F.min("pos").over(frame).alias("low"), F.max("pos").over(frame).alias("high"), "words", total.over(frame).alias("_words"),
             F.min(F.struct("h", "pos")).over(frame).alias("print"), F.collect_list("h").over(frame).alias("_lines"),
-        ).where(F.col("_words") >= min_words)
-        for frame in frames.values()
+        ).where(enough(F.col("_words")))
+        for frame, enough in frames
     ]
     return windows[0].unionByName(windows[1]).select(
         "doc_id", "mark", "low", "high", F.col("print.h").alias("h"), F.col("print.pos").alias("at"),
@@ -53,13 +55,15 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, mark, low, high: the maximal spans of lines of later repeated runs."""
-    windows = materialised(_windows(_lines(docs), min_words))
+    windows = written(_windows(_lines(docs), min_words), "windows")
     place = F.struct("doc_id", "mark", "at")
-    prints = windows.groupBy("h").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("NOT (_first <=> _last)").select("h")
-    met = windows.join(prints, "h")
+    seen = [F.count("*").alias("_n"), F.min(place).alias("_first"), F.max(place).alias("_last")]
+    prints = materialised(windows.groupBy("h").agg(*seen).where("NOT (_first <=> _last)").select("h", "_n"))
+    met = materialised(join_keys(windows, prints, ["h"], windows.count()))
     start = F.struct("doc_id", "mark", "low")
-    first = met.groupBy("k1", "k2").agg(F.min(start).alias("_first"), F.max(start).alias("_last")).where("NOT (_first <=> _last)").select("k1", "k2", "_first")
-    later = met.join(first, ["k1", "k2"]).where(~start.eqNullSafe(F.col("_first")))
+    seen = [F.count("*").alias("_n"), F.min(start).alias("_first"), F.max(start).alias("_last")]
+    first = materialised(met.groupBy("k1", "k2").agg(*seen).where("NOT (_first <=> _last)").select("k1", "k2", "_n", "_first"))
+    later = join_keys(met, first, ["k1", "k2"], met.count()).where(~start.eqNullSafe(F.col("_first")))
     spans = later.select("doc_id", "mark", "low", "high").distinct()
     doc = Window.partitionBy("doc_id", "mark").orderBy("low", "high")
     reach = F.max("high").over(doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationgrid.llm.common import map_batches, materialised, texts
+from stationgrid.llm.common import map_batches, materialised, texts, written
 
 LENGTH = 400
 GRAM = 128
@@ -264,7 +264,7 @@ def _with_docs(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, mark, spans (array of low, high in bytes; they may overlap) of ``docs`` (doc_id, mark, text)."""
     key = docs.schema["doc_id"].dataType.simpleString()
-    found = materialised_table(_anchor_rows(docs, key, length, gram))
+    found = written(_anchor_rows(docs, key, length, gram), "anchors")
     groups = found.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("around").alias("_a"), F.max("around").alias("_b")).where("_n > 1")
     several = materialised(found.join(groups.select("anchor", (F.col("_a") != F.col("_b")).alias("mixed")), "anchor"))
     spans = several.where("NOT mixed").select("doc_id", "mark", "low", (F.col("high") + length).alias("high"))
@@ -312,15 +312,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 _FOUND = (pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
 
 
-def materialised_table(df: DataFrame) -> DataFrame:
-    """A written table: smaller than a checkpoint, and read by column."""
-    from stationgrid.session import scratch_path
-
-    path = scratch_path(df.sparkSession, "anchors")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _around(rows: DataFrame, length: int) -> DataFrame:
     """The texts that are asked for, or the hashes of all their windows where the anchor is crowded."""
 
