@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.fields import raster_set
-from registry.fixtures import bands, grid_spec, metas, metric_stations, r, ring_edges, stations, unique_stations
+from registry.fixtures import WITH_METRIC, bands, grid_spec, metas, metric_stations, r, ring_edges, stations, unique_stations
 from stationgrid.config import AnalysisConfig, TreeConfig
 from stationgrid.functions.hashing import key_uniform
 from stationgrid.functions.stats import medians
@@ -66,18 +66,43 @@ def baseline(spark, sf):
 @query("KRG2")
 def residual_kriging(spark, sf):
     rows = training(spark, sf).withColumn("resid", F.col("temp") - 18.0 + 0.0065 * F.col("dem"))
-    model = KrigingModel.fit(rows, "resid", CONFIG.residual_variogram, CONFIG.residual_lags, CONFIG, 42, sample=True)
+    model = KrigingModel.fit(rows, "resid", CONFIG.residual_variogram, CONFIG.residual_lags, CONFIG, 42)
     return model.predict(rows, "kriged").select("station_id", r("kriged", 4))
 
 
 @query("KRG4")
 def local_kriging(spark, sf):
     rows = training(spark, sf).select("station_id", "x_pl", "y_pl", "temp")
-    model = fitted_variogram(rows, "temp", "spherical", CONFIG.baseline_lags)
+    model = fitted_variogram(rows, "temp", "spherical", CONFIG.baseline_lags, CONFIG.variogram_reach)
     targets = rows.select("station_id", (F.col("x_pl") + 500.0).alias("x_pl"), (F.col("y_pl") - 500.0).alias("y_pl"))
     return local_predictions(targets, rows, "temp", model, CONFIG.kriging_neighbors).select("station_id", r("kriged", 4))
 
 
+@query("KRG4_exact", f"{WITH_METRIC} SELECT station_id, true AS exact FROM proj")
+def kriging_at_the_stations(spark, sf):
+    """Kriging gives a station's own value back where it stands."""
+    rows = training(spark, sf).select("station_id", "x_pl", "y_pl", "temp")
+    model = fitted_variogram(rows, "temp", "spherical", CONFIG.baseline_lags, CONFIG.variogram_reach)
+    found = local_predictions(rows, rows, "temp", model, CONFIG.kriging_neighbors).join(rows, "station_id")
+    return found.select("station_id", (F.abs(F.col("kriged") - F.col("temp")) < 1e-6).alias("exact"))
+
+
+@query("MOD3_total", "SELECT 100E0 AS total, CAST(2 AS BIGINT) AS features")
+def importance_total(spark, sf):
+    return importance(spark, sf).agg(F.round(F.sum("importance"), 2).alias("total"), F.count("*").alias("features"))
+
+
+@query("STK1_checks", f"{WITH_METRIC} SELECT count(*) AS predictions, count(DISTINCT station_id) AS stations, true AS better_than_trend FROM proj")
+def stack_properties(spark, sf):
+    """Every station has one prediction, and all stages together fit better than the trend alone."""
+    rows, model = _stack(spark, sf)
+    scored = model.predict(rows, "predicted").withColumn("_trend", model.trend.column(rows))
+    squares = lambda c: F.sum((F.col(c) - F.col("temp")) * (F.col(c) - F.col("temp")))
+    return scored.agg(
+        F.count("predicted").alias("predictions"), F.countDistinct("station_id").alias("stations"), (squares("predicted") < squares("_trend")).alias("better_than_trend"),
+    )
+
+
 @query("STK1")
 def stack(spark, sf):
     rows, model = _stack(spark, sf)

@@ -173,22 +173,29 @@ def top_three(spark, sf):
 
 
 # ---------------------------------------------------------------- variogram
-_PAIRS = """pr AS (SELECT sqrt(power(a.x_pl - b.x_pl, 2) + power(a.y_pl - b.y_pl, 2)) AS d, 0.5E0 * power(a.temp - b.temp, 2) AS g
-    FROM proj a JOIN proj b ON a.station_id < b.station_id), lim AS (SELECT min(d) AS lo, max(d) AS hi FROM pr)"""
+REACH = 200_000.0
 
 
 def _lags_sql(n: int) -> str:
-    return f"""{_PAIRS}, lags AS (SELECT CAST(least(floor((d - lo) / ((hi - lo) / {n})), {n - 1}) AS INT) AS lag, count(*) AS n_pairs,
-        avg(d) AS distance, avg(g) AS gamma FROM pr, lim GROUP BY 1)"""
+    return f"""pr AS (SELECT sqrt(power(a.x_pl - b.x_pl, 2) + power(a.y_pl - b.y_pl, 2)) AS d, 0.5E0 * power(a.temp - b.temp, 2) AS g
+        FROM proj a JOIN proj b ON a.station_id < b.station_id),
+      lags AS (SELECT CAST(least(floor(d / ({REACH} / {n})), {n - 1}) AS INT) AS lag, count(*) AS n_pairs, avg(d) AS distance, avg(g) AS gamma
+        FROM pr WHERE d <= {REACH} GROUP BY 1)"""
 
 
 @query("AGG16", f"{WITH_METRIC}, {_lags_sql(20)} SELECT lag, n_pairs, round(distance, 3) AS distance, round(gamma, 6) AS gamma FROM lags")
 def variogram_lags(spark, sf):
-    return semivariogram(metric_stations(spark, sf), "temp", 20).select("lag", "n_pairs", r("distance", 3), r("gamma"))
+    return semivariogram(metric_stations(spark, sf), "temp", 20, REACH).select("lag", "n_pairs", r("distance", 3), r("gamma"))
 
 
-def _score_sql(source: str, out: str) -> str:
-    return f"""{out}_f AS (SELECT reach, max_d, max_g, distance, gamma, 1 - exp(-3 * distance / reach) AS f FROM {source}, lags),
+_SHAPE = {
+    "exponential": "1 - exp(-3 * distance / reach)",
+    "spherical": "CASE WHEN distance <= reach THEN 1.5E0 * distance / reach - 0.5E0 * power(distance / reach, 3) ELSE 1E0 END",
+}
+
+
+def _score_sql(source: str, out: str, kind: str) -> str:
+    return f"""{out}_f AS (SELECT reach, max_d, max_g, distance, gamma, {_SHAPE[kind]} AS f FROM {source}, lags),
     {out}_l AS (SELECT reach, max_d, max_g, regr_slope(gamma, f) AS slope, regr_intercept(gamma, f) AS icpt, sum(f * gamma) AS fg, sum(f) AS sf, sum(f * f) AS ff
       FROM {out}_f GROUP BY 1, 2, 3),
     {out}_n AS (SELECT *, greatest(least(icpt, max_g), 0) AS nugget FROM {out}_l),
@@ -197,12 +204,25 @@ def _score_sql(source: str, out: str) -> str:
       FROM {out}_p p JOIN {out}_f q ON q.reach = p.reach GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query("KRG3", f"""{WITH_METRIC}, {_lags_sql(20)}, top AS (SELECT max(distance) AS max_d, max(gamma) AS max_g FROM lags),
-    c1 AS (SELECT max_d * i / 64 AS reach, max_d, max_g FROM top, LATERAL (SELECT unnest(range(1, 65)) AS i) g), {_score_sql('c1', 's1')},
+def _fit_sql(kind: str) -> str:
+    return f"""{WITH_METRIC}, {_lags_sql(20)}, top AS (SELECT max(distance) AS max_d, max(gamma) AS max_g FROM lags),
+    c1 AS (SELECT max_d * i / 64 AS reach, max_d, max_g FROM top, LATERAL (SELECT unnest(range(1, 65)) AS i) g), {_score_sql('c1', 's1', kind)},
     best AS (SELECT * FROM s1 ORDER BY loss, reach LIMIT 1),
     c2 AS (SELECT * FROM (SELECT reach + max_d / 64 * j / 32 AS reach, max_d, max_g FROM best, LATERAL (SELECT unnest(range(-32, 33)) AS j) g) q WHERE reach > 0 AND reach <= max_d),
-    {_score_sql('c2', 's2')}
-    SELECT round(psill, 4) AS psill, round(reach, 1) AS range, round(nugget, 4) AS nugget, round(loss, 4) AS loss FROM s2 ORDER BY s2.loss, reach LIMIT 1""")
-def variogram_fit(spark, sf):
-    fitted = fit_variogram(semivariogram(metric_stations(spark, sf), "temp", 20), "exponential")
+    {_score_sql('c2', 's2', kind)}
+    SELECT round(psill, 4) AS psill, round(reach, 1) AS range, round(nugget, 4) AS nugget, round(loss, 4) AS loss FROM s2 ORDER BY s2.loss, reach LIMIT 1"""
+
+
+def _fitted(spark, sf, kind):
+    fitted = fit_variogram(semivariogram(metric_stations(spark, sf), "temp", 20, REACH), kind)
     return fitted.select(r("psill", 4), r("range", 1), r("nugget", 4), r("loss", 4))
+
+
+@query("KRG3", _fit_sql("exponential"))
+def variogram_fit(spark, sf):
+    return _fitted(spark, sf, "exponential")
+
+
+@query("KRG3_spherical", _fit_sql("spherical"))
+def spherical_fit(spark, sf):
+    return _fitted(spark, sf, "spherical")

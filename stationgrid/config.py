@@ -86,8 +86,10 @@ class AnalysisConfig:
     residual_lags: int = 20
     baseline_variogram: str = "spherical"
     baseline_lags: int = 6
-    kriging_points: int = 3000
-    kriging_neighbors: int = 32
+    #: Largest pair distance of a variogram, in metres; its lags divide it.
+    variogram_reach: float = 200_000.0
+    #: Points of each local system.
+    kriging_neighbors: int = 64
     kriging_min_rmse: float = 0.15
     kriging_min_rows: int = 50
     kriging_clamp: float = 5.0

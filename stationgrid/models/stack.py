@@ -73,7 +73,7 @@ class StackModel:
             and n > config.kriging_min_rows
         ):
             model.kriging = KrigingModel.fit(
-                rows, "resid2", config.residual_variogram, config.residual_lags, config, seed, sample=True, id_col=id_col
+                rows, "resid2", config.residual_variogram, config.residual_lags, config, seed, id_col
             )
         return model
 

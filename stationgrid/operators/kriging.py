@@ -1,9 +1,8 @@
-"""Ordinary kriging: global weights for a bounded point set, local systems beyond.
+"""Ordinary kriging from each target's nearest points, at every size.
 
-Global mode solves one system of at most ``kriging_points`` equations (the cap the
-analysis sets) and scores targets with a vectorised function of their coordinates.
-Local mode has no cap: each target's nearest stations come from the kNN join and
-small systems are solved in Arrow batches wherever the targets live.
+Targets find their ``k`` nearest points in a kNN join and the small systems are solved in Arrow batches
+wherever the targets live. No point is left out: the number of neighbours, a documented parameter, is the only
+approximation, and it does not depend on how many points there are.
 """
 
 from __future__ import annotations
@@ -16,10 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationgrid.config import AnalysisConfig
-from stationgrid.functions.hashing import key_number, key_uniform
-from stationgrid.functions.stats import value_at_rank
+from stationgrid.functions.hashing import key_uniform
 from stationgrid.operators.knn import nearest
-from stationgrid.operators.sizes import at_most
 from stationgrid.operators.variogram import Variogram, fitted_variogram
 
 COINCIDENT = 1e-10
@@ -37,48 +34,14 @@ def _minus_gamma(model: Variogram, d: np.ndarray) -> np.ndarray:
 
 
 def _solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions of a stack of systems; only the singular ones take the pseudo-inverse."""
     try:
         return np.linalg.solve(matrix, right)
     except np.linalg.LinAlgError:
-        return np.linalg.pinv(matrix) @ right
-
-
-def dual_weights(points: DataFrame, value: str, model: Variogram, max_points: int) -> tuple[np.ndarray, ...]:
-    """``(x, y, weight, offset)`` of the global system; refuses more than ``max_points``."""
-    rows = points.select("x_pl", "y_pl", F.col(value).cast("double").alias("z")).na.drop()
-    if not at_most(rows, max_points):
-        raise ValueError(f"global kriging is limited to {max_points} points; use local mode")
-
-    def solve(batch: pd.DataFrame) -> pd.DataFrame:
-        x, y, z = (batch[c].to_numpy() for c in ("x_pl", "y_pl", "z"))
-        n = len(z)
-        system = np.ones((n + 1, n + 1))
-        system[:n, :n] = _minus_gamma(model, np.hypot(x[:, None] - x, y[:, None] - y))
-        system[n, n] = 0.0
-        weights = _solve(system, np.append(z, 0.0))
-        return pd.DataFrame({"x": np.append(x, np.nan), "y": np.append(y, np.nan), "w": weights})
-
-    solved = rows.groupBy().applyInPandas(solve, "x double, y double, w double").toPandas()
-    offset = solved["x"].isna().to_numpy()
-    inner = solved[~offset]
-    return inner["x"].to_numpy(), inner["y"].to_numpy(), inner["w"].to_numpy(), float(solved["w"][offset].iloc[0])
-
-
-def global_prediction(weights: tuple[np.ndarray, ...], model: Variogram, x: str = "x_pl", y: str = "y_pl") -> Column:
-    """Kriged value of a target as a column of its coordinates; no shuffle."""
-    px, py, w, offset = weights
-
-    @F.pandas_udf("double")
-    def score(tx: pd.Series, ty: pd.Series) -> pd.Series:
-        out = np.empty(len(tx))
-        ax, ay = tx.to_numpy(dtype=float), ty.to_numpy(dtype=float)
-        for start in range(0, len(out), TARGETS_PER_CHUNK):
-            part = slice(start, start + TARGETS_PER_CHUNK)
-            d = np.hypot(ax[part][:, None] - px, ay[part][:, None] - py)
-            out[part] = _minus_gamma(model, d) @ w + offset
-        return pd.Series(out)
-
-    return score(F.col(x), F.col(y))
+        if len(matrix) == 1:
+            return np.linalg.pinv(matrix) @ right
+        half = len(matrix) // 2
+        return np.concatenate([_solve(matrix[:half], right[:half]), _solve(matrix[half:], right[half:])])
 
 
 def _local_batch(model: Variogram, frame: pd.DataFrame) -> np.ndarray:
@@ -124,45 +87,26 @@ def clamp_residual(kriged: Column, limit: float) -> Column:
     return F.coalesce(F.greatest(F.least(finite, F.lit(limit)), F.lit(-limit)), F.lit(0.0))
 
 
-def sample_points(points: DataFrame, cap: int, seed: int, id_col: str = "station_id") -> DataFrame:
-    """The ``cap`` points with the smallest seeded key number; all of them when fewer."""
-    if at_most(points, cap):
-        return points
-    number = key_number(F.col(id_col), seed)
-    return points.filter(number <= F.lit(value_at_rank(points.select(number.alias("h")), "h", cap - 1)))
-
-
 @dataclass
 class KrigingModel:
-    """Fitted kriging of one value column; mode follows the number of points."""
+    """Fitted kriging of one value column over all its points."""
 
     points: DataFrame
     value: str
     model: Variogram
     neighbors: int
-    weights: tuple[np.ndarray, ...] | None
 
     @staticmethod
     def fit(points: DataFrame, value: str, kind: str, lags: int, config: AnalysisConfig, seed: int,
-            sample: bool, id_col: str = "station_id") -> KrigingModel | None:
-        """``sample=True`` keeps at most ``kriging_points`` points, as the residual
-        stage asks; otherwise every point is used and many points mean local mode.
-        The variogram itself is always estimated from at most that many points."""
+            id_col: str = "station_id") -> KrigingModel | None:
+        """None when the points do not give a variogram."""
         kept = points.select(F.col(id_col).alias("station_id"), "x_pl", "y_pl", F.col(value).alias("z")).na.drop()
-        core = sample_points(kept, config.kriging_points, seed, "station_id")
-        moved = jittered(core, seed, "station_id").persist()
-        model = fitted_variogram(moved, "z", kind, lags)
-        if model is None:
-            return None
-        if sample or at_most(kept, config.kriging_points):
-            weights = dual_weights(moved, "z", model, config.kriging_points)
-            return KrigingModel(moved, "z", model, config.kriging_neighbors, weights)
-        return KrigingModel(jittered(kept, seed, "station_id"), "z", model, config.kriging_neighbors, None)
+        moved = jittered(kept, seed, "station_id")
+        model = fitted_variogram(moved, "z", kind, lags, config.variogram_reach)
+        return None if model is None else KrigingModel(moved, "z", model, config.kriging_neighbors)
 
     def predict(self, targets: DataFrame, name: str, target_id: str = "station_id",
                 x: str = "x_pl", y: str = "y_pl") -> DataFrame:
-        if self.weights is not None:
-            return targets.withColumn(name, global_prediction(self.weights, self.model, x, y))
         scored = local_predictions(targets, self.points, self.value, self.model, self.neighbors, target_id, x=x, y=y)
         return targets.join(scored.withColumnRenamed("kriged", name), target_id, "left")
 
@@ -179,7 +123,7 @@ class KrigingBaseline:
         self.mean = stations.agg(F.avg("temp")).first()[0]
         self.kriging = KrigingModel.fit(
             stations, "temp", self.config.baseline_variogram, self.config.baseline_lags, self.config,
-            self.config.split_seed, sample=False, id_col=id_col,
+            self.config.split_seed, id_col,
         )
         return self
 

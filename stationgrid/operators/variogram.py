@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_ROWS = 1500
 CANDIDATES = 64
+#: A cell meets itself and these neighbours, so that each pair of cells is taken once.
+FORWARD = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
 
 
 @dataclass(frozen=True)
@@ -31,64 +32,64 @@ class Variogram:
         return self.psill * shape + self.nugget
 
 
-def _block_pairs(points: DataFrame, value: str, block_rows: int) -> DataFrame:
-    """Points tagged with every pair of hash blocks they take part in.
+def _paired_blocks(points: DataFrame, value: str, reach: float, id_col: str, block_rows: int) -> DataFrame:
+    """Points tagged with every block pair they take part in: ``x_pl, y_pl, z, pair, side``.
 
-    A statistic over all pairs is quadratic by definition; the blocks spread that
-    work evenly and bound what one task holds, and only per-lag sums leave a task.
+    Cells have the side ``reach``, so pairs within it lie in one cell or two neighbours; a
+    crowded cell is dealt into blocks by id, which bounds what one task holds.
     """
-    n = points.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    own = F.pmod(F.xxhash64("x_pl", "y_pl", value), F.lit(blocks)).cast("int")
-    return (
-        points.select("x_pl", "y_pl", F.col(value).cast("double").alias("z"), own.alias("own")).na.drop()
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select("x_pl", "y_pl", "z", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    cell = [F.floor(F.col(c) / reach).alias(n) for c, n in (("x_pl", "cx"), ("y_pl", "cy"))]
+    rows = points.select("x_pl", "y_pl", F.col(value).cast("double").alias("z"), F.xxhash64(id_col).alias("h"), *cell).na.drop()
+    cells = rows.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    dealt = rows.join(cells, ["cx", "cy"]).withColumn("block", F.pmod("h", F.col("blocks"))).drop("h", "blocks")
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in FORWARD))).alias("step")
+    there = cells.select("cx", "cy", "blocks", steps).select(
+        "cx", "cy", "blocks", (F.col("cx") + F.col("step.i")).alias("ox"), (F.col("cy") + F.col("step.j")).alias("oy")
+    ).join(cells.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("blocks").alias("others")), ["ox", "oy"])
+    count = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    pairs = there.withColumn("block", count(F.col("blocks"))).withColumn("other", count(F.col("others")))
+    same = (F.col("cx") == F.col("ox")) & (F.col("cy") == F.col("oy"))
+    pairs = pairs.filter(~same | (F.col("block") <= F.col("other"))).withColumn(
+        "pair", F.struct("cx", "cy", "block", "ox", "oy", "other", (same & (F.col("block") == F.col("other"))).alias("own"))
     )
+    left = dealt.join(pairs.select("cx", "cy", "block", "pair"), ["cx", "cy", "block"])
+    right = dealt.join(
+        pairs.filter(~same | (F.col("block") < F.col("other"))).select(
+            F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.col("other").alias("block"), "pair"
+        ), ["cx", "cy", "block"],
+    )
+    columns = ["x_pl", "y_pl", "z", "pair", F.col("pair.own").alias("own")]
+    return left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
 
 
-def _pair_values(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and half squared differences of the pairs this block pair owns."""
-    lo, hi = int(block["lo"].iloc[0]), int(block["hi"].iloc[0])
-    a = block[block["own"] == lo][["x_pl", "y_pl", "z"]].to_numpy()
-    b = a if lo == hi else block[block["own"] == hi][["x_pl", "y_pl", "z"]].to_numpy()
-    d = np.hypot(a[:, 0][:, None] - b[:, 0], a[:, 1][:, None] - b[:, 1])
-    g = 0.5 * (a[:, 2][:, None] - b[:, 2]) ** 2
-    if lo == hi:
-        upper = np.triu_indices(len(a), 1)
-        return d[upper], g[upper]
-    return d.ravel(), g.ravel()
-
-
-def pair_distance_range(blocks: DataFrame) -> tuple[float, float]:
-    def ends(block: pd.DataFrame) -> pd.DataFrame:
-        d, _ = _pair_values(block)
-        return pd.DataFrame({"low": [d.min()], "high": [d.max()]} if len(d) else {"low": [], "high": []})
-
-    found = blocks.groupBy("lo", "hi").applyInPandas(ends, "low double, high double")
-    row = found.agg(F.min("low"), F.max("high")).first()
-    return row[0], row[1]
-
+def semivariogram(points: DataFrame, value: str, lags: int, reach: float, id_col: str = "station_id",
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(lag, n_pairs, distance, gamma)`` over ``lags`` equal bins of pair distance from 0 to ``reach`` metres.
 
-def semivariogram(points: DataFrame, value: str, lags: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(lag, n_pairs, distance, gamma)`` over equal-width bins of pair distance."""
-    blocks = _block_pairs(points, value, block_rows)
-    low, high = pair_distance_range(blocks)
-    if low is None:
-        return points.sparkSession.createDataFrame([], "lag int, n_pairs bigint, distance double, gamma double")
-    width = (high - low) / lags or 1.0
+    All points take part, in one pass; only per-bin sums leave a task.
+    """
+    width = reach / lags
 
     def sums(block: pd.DataFrame) -> pd.DataFrame:
-        d, g = _pair_values(block)
-        lag = np.minimum(((d - low) / width).astype(int), lags - 1)
+        side = block["side"].to_numpy()
+        xyz = block[["x_pl", "y_pl", "z"]].to_numpy()
+        a = xyz[side == 0]
+        alone = bool(block["own"].iloc[0])  # a block with itself
+        b = a if alone else xyz[side == 1]
+        d = np.hypot(a[:, 0][:, None] - b[:, 0], a[:, 1][:, None] - b[:, 1])
+        g = 0.5 * (a[:, 2][:, None] - b[:, 2]) ** 2
+        near = d <= reach
+        if alone:
+            near &= np.arange(len(a))[:, None] < np.arange(len(a))
+        d, g = d[near], g[near]
+        lag = np.minimum((d / width).astype(int), lags - 1)
         return pd.DataFrame({
-            "lag": np.arange(lags),
-            "n": np.bincount(lag, minlength=lags),
-            "sum_d": np.bincount(lag, d, lags),
-            "sum_g": np.bincount(lag, g, lags),
+            "lag": np.arange(lags), "n": np.bincount(lag, minlength=lags), "sum_d": np.bincount(lag, d, lags), "sum_g": np.bincount(lag, g, lags),
         })
 
-    partial = blocks.groupBy("lo", "hi").applyInPandas(sums, "lag int, n bigint, sum_d double, sum_g double")
+    partial = _paired_blocks(points, value, reach, id_col, block_rows).groupBy("pair").applyInPandas(
+        sums, "lag int, n bigint, sum_d double, sum_g double"
+    )
     total = partial.groupBy("lag").agg(F.sum("n").alias("n_pairs"), F.sum("sum_d").alias("d"), F.sum("sum_g").alias("g"))
     return total.filter("n_pairs > 0").select(
         "lag", "n_pairs", (F.col("d") / F.col("n_pairs")).alias("distance"), (F.col("g") / F.col("n_pairs")).alias("gamma")
@@ -152,9 +153,9 @@ def fit_variogram(lags: DataFrame, kind: str, candidates: int = CANDIDATES) -> D
     )
 
 
-def fitted_variogram(points: DataFrame, value: str, kind: str, lags: int) -> Variogram | None:
+def fitted_variogram(points: DataFrame, value: str, kind: str, lags: int, reach: float, id_col: str = "station_id") -> Variogram | None:
     """Fit and fetch the three parameters; None when there are too few points."""
-    row = fit_variogram(semivariogram(points, value, lags), kind).first()
+    row = fit_variogram(semivariogram(points, value, lags, reach, id_col), kind).first()
     if row is None or row["range"] is None:
         return None
     return Variogram(kind, row["psill"], row["range"], row["nugget"])

@@ -7,7 +7,7 @@ from stationgrid.config import AnalysisConfig, TreeConfig
 from stationgrid.models.stack import Ensemble, StackModel
 from stationgrid.models.trend import ALPHA, HuberTrend
 from stationgrid.operators.evaluate import METRICS, compare_models, evaluate, reduce_members
-from stationgrid.operators.kriging import KrigingBaseline, KrigingModel, dual_weights, global_prediction, local_predictions
+from stationgrid.operators.kriging import KrigingBaseline, KrigingModel, local_predictions
 from stationgrid.operators.qc import dynamic_lapse_rate, judge_stations
 from stationgrid.operators.split import split_stations
 from stationgrid.operators.variogram import Variogram, fit_variogram, fitted_variogram, semivariogram
@@ -37,14 +37,10 @@ def primal(frame, tx, ty):
     return float(w @ z)
 
 
-def test_global_kriging_is_exact_at_stations_and_equals_primal(spark):
-    df, frame = points(spark)
-    weights = dual_weights(df, "z", MODEL, 100)
-    at_stations = df.select("z", global_prediction(weights, MODEL).alias("p")).toPandas()
-    assert np.allclose(at_stations["z"], at_stations["p"])
-    targets = df.withColumns({"x_pl": F.col("x_pl") + 3.0, "y_pl": F.col("y_pl") - 2.0})
-    got = targets.select("x_pl", "y_pl", global_prediction(weights, MODEL).alias("p")).toPandas()
-    assert np.allclose(got["p"], [primal(frame, a, b) for a, b in zip(got["x_pl"], got["y_pl"])])
+def test_kriging_is_exact_at_stations(spark):
+    df, _ = points(spark)
+    got = local_predictions(df, df, "z", MODEL, 12).join(df, "station_id").toPandas()
+    assert np.allclose(got["kriged"], got["z"])
 
 
 def test_local_kriging_with_all_neighbours_equals_global(spark):
@@ -54,26 +50,45 @@ def test_local_kriging_with_all_neighbours_equals_global(spark):
     assert np.allclose(got["kriged"], [primal(frame, a, b) for a, b in zip(got["x_pl"], got["y_pl"])])
 
 
-def test_global_kriging_refuses_more_points_than_its_bound(spark):
-    df, _ = points(spark, 30)
-    with pytest.raises(ValueError):
-        dual_weights(df, "z", MODEL, 29)
-    config = AnalysisConfig(kriging_points=20, kriging_neighbors=8)
-    whole = KrigingModel.fit(df, "z", "exponential", 6, config, 1, sample=False)
-    assert whole.weights is None and whole.points.count() == 30
-    capped = KrigingModel.fit(df, "z", "exponential", 6, config, 1, sample=True)
-    assert capped.points.count() == 20
+def test_every_one_of_many_stations_is_used(spark):
+    """Above 3,000 stations each still gives its own value back, by the same method."""
+    rng = np.random.default_rng(8)
+    n = 3200
+    frame = pd.DataFrame({"station_id": range(n), "x_pl": rng.uniform(0, 5e5, n), "y_pl": rng.uniform(0, 5e5, n)})
+    frame["temp"] = np.sin(frame["x_pl"] / 6e4) * 5 + np.cos(frame["y_pl"] / 5e4) * 4
+    df = spark.createDataFrame(frame).repartition(8)
+    config = AnalysisConfig(kriging_neighbors=8)
+    model = KrigingModel.fit(df, "temp", "exponential", 20, config, 1)
+    assert model.points.count() == n
+    got = local_predictions(df, df, "temp", model.model, 8).join(df, "station_id").toPandas()
+    assert len(got) == n and np.allclose(got["kriged"], got["temp"], atol=1e-6)
 
 
-def test_variogram_equals_brute_force_across_blocks(spark):
-    df, frame = points(spark, 50)
-    got = semivariogram(df, "z", 8, block_rows=12).orderBy("lag").toPandas()
+def test_singular_systems_do_not_change_the_others():
+    from stationgrid.operators.kriging import _solve
+
+    rng = np.random.default_rng(2)
+    systems = rng.standard_normal((5, 3, 3))
+    systems[2] = 0
+    right = rng.standard_normal((5, 3, 1))
+    got = _solve(systems, right)
+    for i in (0, 1, 3, 4):
+        assert np.allclose(got[i], np.linalg.solve(systems[i], right[i]))
+    assert np.allclose(got[2], 0)
+
+
+def test_variogram_equals_brute_force_across_cells_and_blocks(spark):
+    df, frame = points(spark, 90)
     x, y, z = (frame[c].to_numpy() for c in ("x_pl", "y_pl", "z"))
-    i, j = np.triu_indices(50, 1)
+    i, j = np.triu_indices(90, 1)
     d, g = np.hypot(x[i] - x[j], y[i] - y[j]), 0.5 * (z[i] - z[j]) ** 2
-    lag = np.minimum(((d - d.min()) / ((d.max() - d.min()) / 8)).astype(int), 7)
-    assert list(got["n_pairs"]) == list(np.bincount(lag))
-    assert np.allclose(got["gamma"], np.bincount(lag, g) / np.bincount(lag))
+    for reach in (d.max() / 5, d.max() / 2, d.max() * 2):
+        got = semivariogram(df, "z", 8, reach, block_rows=7).orderBy("lag").toPandas()
+        near = d <= reach
+        lag = np.minimum((d[near] / (reach / 8)).astype(int), 7)
+        n = np.bincount(lag, minlength=8)
+        assert list(got["lag"]) == list(np.flatnonzero(n)) and list(got["n_pairs"]) == list(n[n > 0])
+        assert np.allclose(got["gamma"], (np.bincount(lag, g[near], 8)[n > 0] / n[n > 0]))
 
 
 def test_variogram_fit_recovers_noiseless_parameters(spark):
