@@ -118,6 +118,16 @@ def road_feed(spark, sf):
     return parse_road(road_pages(spark, sf))
 
 
+@query("SRC2_entities", f"""{WITH_STATIONS} SELECT station || ' Kraków – Wieś & Zażółć &amp; &unknown;' AS station,
+    CAST(CAST({_WHOLE} AS VARCHAR) || '.' || CAST({_FRACTION} AS VARCHAR) AS DOUBLE) AS temp,
+    CAST(station_id % 16 AS INT) AS region, 'TRAX' AS source FROM stations WHERE source = 'TRAX'""")
+def road_feed_with_references(spark, sf):
+    """Names written with character references: named, decimal and hexadecimal."""
+    coded = " Krak&oacute;w &#8211;&nbsp;Wie&#x15B; &amp; Za&#380;&oacute;&#322;&#x107; &amp;amp; &unknown;"
+    pages = road_pages(spark, sf).withColumn("html", F.replace("html", F.lit("</b>"), F.lit(coded + "</b>")))
+    return parse_road(pages)
+
+
 def crowd_payloads(spark, sf):
     """Nested records; some lack a location, some lie abroad, some modules are empty."""
     rows = stations(spark, sf).filter("source = 'NETATMO'")
@@ -176,11 +186,14 @@ def cleaned_names(spark, sf):
     return raw_stations(spark, sf).select("station_id", clean_station_name(F.col("raw_name")).alias("name"))
 
 
-@query("PRJ5", """SELECT c_custkey AS station_id, replace(c_name, 'Customer', 'Zazolc gesla jazn') || ' Lodz' AS folded FROM customer""")
+@query("PRJ5", """SELECT c_custkey AS station_id, replace(c_name, 'Customer', 'Zazolc gesla jazn') ||
+    CASE c_custkey % 3 WHEN 0 THEN ' Lodz' WHEN 1 THEN ' Gorlitz Trinec Kosice' ELSE ' Strasse AEro Oresund' END AS folded FROM customer""")
 def folded_names(spark, sf):
     named = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("station_id"),
-        F.concat(F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Zażółć gęślą jaźń")), F.lit(" Łódź")).alias("name"),
+        F.concat(F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Zażółć gęślą jaźń")), F.element_at(
+            F.array(F.lit(" Łódź"), F.lit(" Görlitz Třinec Košice"), F.lit(" Straße Æro Øresund")), (F.col("c_custkey") % 3 + 1).cast("int")
+        )).alias("name"),
     )
     return named.select("station_id", ascii_fold(F.col("name")).alias("folded"))
 

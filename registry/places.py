@@ -30,7 +30,9 @@ from stationgrid.operators.features import coast_distance
 from stationgrid.operators.knn import nearest
 from stationgrid.operators.proximity import mountain_distance, mountain_pixels, remove_buffered, spatial_lag
 from stationgrid.operators.qc import dynamic_lapse_rate, judge_stations, lapse_gate, neighbour_consensus, spatial_qc, worst_outliers
-from stationgrid.sinks.geocache import merge_cache
+from stationgrid.session import scratch_path
+from stationgrid.sinks.geocache import upsert_geocode_cache
+from stationgrid.sources.tables import read_geocode_cache
 
 CONFIG = AnalysisConfig()
 REFERENCE_SIGN = AnalysisConfig(elev_sign=-1)
@@ -124,7 +126,10 @@ def resolved_names(spark, sf):
     WHERE station_id % 5 <> 0 AND station || '|PL' NOT IN (SELECT cache_key FROM fresh)""")
 def merged_cache(spark, sf):
     fresh = resolve_names(unlocated(spark, sf), gazetteer(spark, sf), ring_edges(spark)).filter("status = 'OK'")
-    return merge_cache(cache_rows(spark, sf), fresh)
+    path = scratch_path(spark, "geocache")
+    upsert_geocode_cache(spark, path, cache_rows(spark, sf))
+    upsert_geocode_cache(spark, path, fresh)
+    return read_geocode_cache(spark, path).select("cache_key", "lat", "lon")
 
 
 # ---------------------------------------------------------------- boundary

@@ -178,7 +178,8 @@ def summarise_importance(members: DataFrame) -> DataFrame:
 def with_trend_rows(importance: DataFrame, trend: Sequence[str]) -> DataFrame:
     """Add the trend features, which have no tree importance."""
     listed = F.explode(F.array(*[F.lit(f"[S1] {f}") for f in trend]))
-    extra = importance.limit(1).select(listed.alias("feature"), F.lit(None).cast("double").alias("importance"))
+    one = importance.sparkSession.range(1)
+    extra = one.select(listed.alias("feature"), F.lit(None).cast("double").alias("importance"))
     return importance.unionByName(extra, allowMissingColumns=True)
 
 

@@ -57,19 +57,34 @@ def scatter(cells: DataFrame, predictions: DataFrame, columns: Sequence[str]) ->
     return cells.select("r", "c").join(predictions.select("r", "c", *columns), ["r", "c"], "left")
 
 
+def complete_rectangle(cells: DataFrame) -> DataFrame:
+    """All cells of the rectangle that ``cells`` (r, c, ...) spans, with ``present`` telling those that were there.
+
+    A pass along columns needs the result of the pass along rows at every cell, so left-out cells come back
+    as NULL ones. A full table is passed on as it is.
+    """
+    row = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).first()
+    if not row["n"] or row["n"] == (row["r1"] - row["r0"] + 1) * (row["c1"] - row["c0"] + 1):
+        return cells.withColumn("present", F.lit(True))
+    width = row["c1"] - row["c0"] + 1
+    every = cells.sparkSession.range((row["r1"] - row["r0"] + 1) * width).select(
+        (F.floor(F.col("id") / width) + row["r0"]).cast(cells.schema["r"].dataType).alias("r"), (F.col("id") % width + row["c0"]).cast(cells.schema["c"].dataType).alias("c")
+    )
+    return every.join(cells.withColumn("present", F.lit(True)), ["r", "c"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
 def smooth(cells: DataFrame, columns: Sequence[str], sigma: float) -> DataFrame:
     """Gaussian smoothing that ignores NULL cells and keeps them NULL.
 
-    Two passes of lag/lead sums, by row then by column, over a dense rectangle;
-    values and weights of all columns share the two shuffles. Cells beyond the
-    rectangle weigh nothing.
+    Two passes of weighted sums, by row then by column; values and weights of all columns share
+    the two shuffles. Cells that are missing or beyond the rectangle weigh nothing.
     """
     if sigma <= 0:
         return cells
     radius = int(4.0 * sigma + 0.5)
     kernel = {k: math.exp(-k * k / (2.0 * sigma * sigma)) for k in range(-radius, radius + 1)}
     zero = F.lit(0.0)
-    work = cells.withColumns(
+    work = complete_rectangle(cells).withColumns(
         {f"_num_{c}": F.coalesce(F.col(c), zero) for c in columns}
         | {f"_den_{c}": F.col(c).isNotNull().cast("double") for c in columns}
     )
@@ -80,9 +95,9 @@ def smooth(cells: DataFrame, columns: Sequence[str], sigma: float) -> DataFrame:
         for name in parts:
             total = None
             for k, weight in kernel.items():
-                term = F.coalesce(F.lag(name, k).over(line), zero) * F.lit(weight)
+                term = F.coalesce(F.sum(name).over(line.rangeBetween(-k, -k)), zero) * F.lit(weight)
                 total = term if total is None else total + term
             spread[name] = total
         work = work.withColumns(spread)
     smoothed = {c: F.when(F.col(c).isNotNull(), F.try_divide(F.col(f"_num_{c}"), F.col(f"_den_{c}"))) for c in columns}
-    return work.withColumns(smoothed).drop(*parts)
+    return work.withColumns(smoothed).filter("present").drop(*parts, "present")

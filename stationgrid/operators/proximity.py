@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from stationgrid.functions.cleaning import mask_nodata
@@ -35,13 +37,21 @@ def mountain_distance(points: DataFrame, mountains: DataFrame, id_col: str = "st
 
 
 def remove_buffered(keep: DataFrame, candidates: DataFrame, buffer_km: float, id_col: str = "station_id") -> DataFrame:
-    """Candidates at least ``buffer_km`` from every kept point."""
+    """Candidates at least ``buffer_km`` from every kept point.
+
+    Two points of a half-open cell whose diagonal is the buffer are closer than it, so candidates that
+    share a cell with a kept point go without a distance; the others ask for their nearest.
+    """
     if buffer_km <= 0:
         return candidates
-    close = nearest(candidates, keep, 1, query_id=id_col, base_id=id_col, distinct_base=True).filter(
+    side = buffer_km * 1000.0 / math.sqrt(2.0)
+    cell = {"_cx": F.floor(F.col("x_pl") / side), "_cy": F.floor(F.col("y_pl") / side)}
+    taken = keep.withColumns(cell).select("_cx", "_cy").distinct()
+    apart = candidates.withColumns(cell).join(taken, ["_cx", "_cy"], "left_anti").drop("_cx", "_cy")
+    close = nearest(apart, keep, 1, query_id=id_col, base_id=id_col, distinct_base=True).filter(
         F.col("distance") < F.lit(buffer_km * 1000.0)
     )
-    return candidates.join(close.select(id_col), id_col, "left_anti")
+    return apart.join(close.select(id_col), id_col, "left_anti").select(*candidates.columns)
 
 
 def spatial_lag(stations: DataFrame, k: int, id_col: str = "station_id") -> DataFrame:

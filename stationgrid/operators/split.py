@@ -15,6 +15,7 @@ from stationgrid.config import AnalysisConfig
 from stationgrid.functions.hashing import key_number
 from stationgrid.functions.stats import value_at_rank
 from stationgrid.operators.proximity import remove_buffered
+from stationgrid.session import cut_lineage
 
 
 def _first_by_hash(rows: DataFrame, n: int, seed: int, id_col: str):
@@ -48,7 +49,9 @@ def split_stations(stations: DataFrame, config: AnalysisConfig, id_col: str = "s
         .unionByName(val.select(id_col, F.lit("val").alias("part")))
         .unionByName(train.select(id_col, F.lit("train").alias("part")))
     )
-    parts = rows.select(id_col).join(tagged, id_col, "left").withColumn("part", F.coalesce("part", F.lit("buffer")))
+    parts = cut_lineage(rows.select(id_col).join(tagged, id_col, "left").withColumn("part", F.coalesce("part", F.lit("buffer"))))
+    for held in (rest, rows):
+        held.unpersist()
     if not allow_empty:
         found = {r["part"] for r in parts.select("part").distinct().collect()}
         missing = {"train", "val", "test"} - found

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from stationgrid.functions.cleaning import mask_nodata, null_if_nan
 from stationgrid.functions.stats import medians
+from stationgrid.operators.grid import complete_rectangle
 from stationgrid.sources.tables import RasterMeta
 
 
 def _gradient(value: Column, along: WindowSpec, step: float) -> Column:
-    """Central difference inside, one-sided difference at both ends."""
-    before, after = F.lag(value).over(along), F.lead(value).over(along)
+    """Central difference inside, one-sided difference at both ends and beside missing pixels."""
+    before, after = (F.min(value).over(along.rangeBetween(k, k)) for k in (-1, 1))
     return (
         F.when(before.isNull(), (after - value) / step)
         .when(after.isNull(), (value - before) / step)
@@ -36,15 +37,16 @@ def terrain_layers(
 ) -> DataFrame:
     """``(r, c, dem, slope, aspect, curvature, tpi_w..., roughness_w...)``.
 
-    ``dem`` holds every pixel ``(r, c, value)`` of a dense raster. Missing heights
+    ``dem`` holds pixels ``(r, c, value)``; rows may be left out. Heights without a value
     take the raster median for the gradients and give NULL slope, aspect,
-    curvature and TPI; roughness ignores them.
+    curvature and TPI; roughness ignores them. Neighbours are found by position, not by the order of rows.
     """
     step = pixel_size or meta.pixel_size
     height = mask_nodata(F.col("value"), meta.nodata) if mask else null_if_nan(F.col("value"))
-    pixels = dem.select("r", "c", height.alias("dem"))
+    pixels = complete_rectangle(dem.select("r", "c", height.alias("dem")))
     middle = medians(pixels, ["dem"])["dem"]
-    pixels = pixels.withColumns({"_z": F.coalesce("dem", F.lit(middle)), "_d": F.col("dem") - F.lit(middle)})
+    # a missing pixel is no neighbour; one without a height counts as a middling one
+    pixels = pixels.withColumns({"_z": F.when(F.col("present"), F.coalesce("dem", F.lit(middle))), "_d": F.col("dem") - F.lit(middle)})
     along_row = Window.partitionBy("r").orderBy("c")
     along_col = Window.partitionBy("c").orderBy("r")
     sizes = () if gradient_only else windows
@@ -84,7 +86,7 @@ def terrain_layers(
         layers[f"tpi_{w}"] = F.when(valid, F.col("_d") - F.try_divide(s, n))
         spread = F.try_divide(q - F.try_divide(s * s, n), n)
         layers[f"roughness_{w}"] = F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).otherwise(F.lit(0.0))
-    return pixels.select("r", "c", "dem", *[v.alias(k) for k, v in layers.items()])
+    return pixels.filter("present").select("r", "c", "dem", *[v.alias(k) for k, v in layers.items()])
 
 
 def encode_aspect(df: DataFrame) -> DataFrame:

@@ -1,13 +1,11 @@
 """Where a job may put intermediate tables.
 
 Lineage is cut with ``DataFrame.checkpoint`` or a written table, always in the
-shared folder the cluster names in ``spark.checkpoint.dir``. Only a local-mode
-session without that setting falls back to a folder on this machine.
+shared folder the cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         named = context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="stationgrid-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

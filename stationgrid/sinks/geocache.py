@@ -19,9 +19,10 @@ def upsert_geocode_cache(spark: SparkSession, path: str, fresh: DataFrame) -> in
     """Write the merged cache as a new version and return its number.
 
     Readers keep using the previous version until the new one is committed, so a
-    lost executor or a failed job leaves the cache as it was.
+    lost executor or a failed job leaves the cache as it was. Of two writers that
+    start from the same version one fails, and nothing is overwritten.
     """
     version = newest_version(spark, path) + 1
     merged = merge_cache(read_geocode_cache(spark, path), fresh)
-    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
+    merged.write.mode("errorifexists").parquet(f"{path}/version={version}")
     return version

@@ -64,8 +64,10 @@ def write_product_set(products: Mapping[tuple[str, str], tuple[DataFrame, float]
     paths = []
     for (product, crs), (cells, resolution) in products.items():
         where = f"{root.rstrip('/')}/data/product={product}/crs={crs}/run={run}"
+        cells = cells.persist()  # read for the files and again for their tags
         write_product(cells, "value", where)
         tags = product_tags(cells, "value", product, resolution, crs, extra)
         write_tags(tags, f"{root.rstrip('/')}/tags/product={product}/crs={crs}/run={run}")
+        cells.unpersist()
         paths.append(where)
     return paths

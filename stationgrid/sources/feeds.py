@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stationgrid.config import CROWD, NATIONAL, ROAD, BoundingBox
-from stationgrid.functions.cleaning import clean_temperature, is_numeric_text, null_if_nan
+from stationgrid.functions.cleaning import clean_temperature, decode_entities, is_numeric_text, null_if_nan
 
 NATIONAL_JSON = "ARRAY<STRUCT<statName: STRING, temp: STRING, statId: STRING, isModel: BOOLEAN>>"
 CROWD_JSON = (
@@ -35,13 +35,27 @@ UNKNOWN_CITY = "Unknown"
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """Landed payloads, or an empty table when the feed delivered nothing."""
+    """Landed payloads, or an empty table when the feed delivered nothing.
+
+    A file that cannot be read does not stop the others (``landed_status`` names it); every
+    other error, such as a missing permission or an unknown format, is raised.
+    """
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
-    except AnalysisException:
+        return spark.read.schema(schema).format(fmt).option("ignoreCorruptFiles", "true").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+def landed_status(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """``(file, n_rows, status)`` of every landed file: OK, or FAILED if no row of it can be read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"))
+    rows = read_landed(spark, path, schema, fmt).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"))
+    counted = files.join(rows.groupBy("file").agg(F.count("*").alias("n_rows")), "file", "left")
+    return counted.select("file", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(F.col("n_rows") > 0, "OK").otherwise("FAILED").alias("status"))
+
+
 def parse_national(payloads: DataFrame, payload: str = "payload", mode: str = "all", comma: str = "dot") -> DataFrame:
     """JSON arrays of stations; ``mode`` keeps all rows, observations or model rows."""
     rows = payloads.select(
@@ -68,8 +82,7 @@ def filter_data_mode(rows: DataFrame, mode: str) -> DataFrame:
 
 def _cell_text(cell: Column) -> Column:
     text = F.regexp_replace(cell, r"(?s)<[^>]*>", "")
-    text = F.replace(F.replace(text, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(F.replace(decode_entities(text), F.lit("\u00a0"), F.lit(" ")), r"^\s+|\s+$", "")
 
 
 def parse_road(pages: DataFrame, html: str = "html", region: str = "region") -> DataFrame:

@@ -104,3 +104,29 @@ def test_regrid_of_a_plane_is_the_plane(spark):
     got = with_metres(regrid_to_degrees(cells, spec.min_x, spec.max_y, spec.step, target)).collect()
     assert len(got) == 40
     assert all(row["value"] == pytest.approx(2 * row["x_pl"] - row["y_pl"], abs=1e-6) for row in got)
+
+
+def test_missing_pixel_rows_are_gaps_not_neighbours(spark):
+    """Left-out pixels must not make distant ones neighbours."""
+    dem = np.add.outer(np.arange(8.0) * 10, np.arange(9.0))
+    table = pixels(spark, dem).filter("NOT (r = 4 OR c = 5)")
+    layers = terrain_layers(table, meta(dem.shape), (3,), pixel_size=1.0).persist()
+    slope = as_array(layers, "slope", dem.shape)
+    present = np.ones(dem.shape, bool)
+    present[4, :] = present[:, 5] = False
+    steep = np.degrees(np.arctan(np.hypot(10, 1)))
+    assert np.allclose(slope[present], steep) and np.isnan(slope[~present]).all()
+    tpi = as_array(layers, "tpi_3", dem.shape)
+    for r, c in ((3, 4), (5, 6), (0, 0), (3, 1), (2, 6)):
+        near = [dem[a, b] for a in range(r - 1, r + 2) for b in range(c - 1, c + 2) if 0 <= a < 8 and 0 <= b < 9 and present[a, b]]
+        assert tpi[r, c] == pytest.approx(dem[r, c] - np.mean(near))
+
+
+def test_smoothing_of_a_sparse_table_equals_one_with_nulls(spark):
+    rng = np.random.default_rng(4)
+    field = rng.uniform(0, 20, (7, 8))
+    field[2, :3] = field[:, 6] = np.nan
+    full = pixels(spark, field)
+    shape = field.shape
+    sparse = as_array(smooth(full.filter("value IS NOT NULL"), ["value"], 1.0), "value", shape)
+    assert np.allclose(sparse, as_array(smooth(full, ["value"], 1.0), "value", shape), equal_nan=True)

@@ -2,14 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationgrid.config import AnalysisConfig, BoundingBox
-from stationgrid.functions.cleaning import ascii_fold, clean_station_name, clean_temperature
+from stationgrid.functions.cleaning import ascii_fold, clean_station_name, clean_temperature, decode_entities
 from stationgrid.functions.crs import to_metres, with_degrees, with_metres
 from stationgrid.operators.boundary import mark_inside
 from stationgrid.operators.colors import class_bounds, color_index
 from stationgrid.operators.stations import dedupe_locations, order_by_priority
 from stationgrid.session import scratch_path
 from stationgrid.sinks.geocache import upsert_geocode_cache
-from stationgrid.sources.feeds import STATION_SCHEMA, parse_crowd, parse_national, read_landed, union_feeds, within_box
+from stationgrid.sources.feeds import STATION_SCHEMA, parse_crowd, landed_status, parse_national, read_landed, union_feeds, within_box
 from stationgrid.sources.tables import boundary_edges, newest_version, read_color_scale, read_geocode_cache
 from stationgrid.streaming.landing import land_stations, latest_readings, payload_stream
 
@@ -124,3 +124,38 @@ def test_latest_reading_per_window_is_the_same_on_a_stream(spark, sf):
 def test_defaults_are_immutable():
     with pytest.raises(Exception):
         AnalysisConfig().qc_neighbors = 3
+
+
+def test_folding_of_latin_letters(spark):
+    assert one(spark, ascii_fold(F.lit("Görlitz Třinec Košice Straße Ålesund Æro Øresund Ḁ é"))) == "Gorlitz Trinec Kosice Strasse Alesund AEro Oresund A e"
+    assert one(spark, ascii_fold(F.lit("plain ASCII 123"))) == "plain ASCII 123"
+
+
+def test_character_references(spark):
+    cases = {
+        "Krak&oacute;w &#8211; Wie&#347; &#x15B;": "Kraków – Wieś ś", "no reference & none": "no reference & none", "&unknown; &; &#x1F642; &lt;b&gt;": "&unknown; &; \U0001f642 <b>",
+        "&amp;oacute;": "&oacute;", "": "", "a&nbsp;b": "a b",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "text string, want string")
+    for r in rows.select(decode_entities(F.col("text")).alias("got"), "want").collect():
+        assert r.got == r.want
+
+
+def test_unreadable_files_do_not_stop_the_others(spark, tmp_path):
+    import pathlib
+
+    rows = spark.createDataFrame([("a", 1.0, 50.0, 20.0, "x", None)], STATION_SCHEMA)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/landed")
+    pathlib.Path(f"{tmp_path}/landed/part-broken.parquet").write_bytes(b"PAR1 this is not a parquet file")
+    assert read_landed(spark, f"{tmp_path}/landed", STATION_SCHEMA).count() == 1
+    status = {r.file: (r.n_rows, r.status) for r in landed_status(spark, f"{tmp_path}/landed", STATION_SCHEMA).collect() if r.file.endswith(".parquet")}
+    assert status.pop("part-broken.parquet") == (0, "FAILED") and [*status.values()] == [(1, "OK")]
+    with pytest.raises(Exception, match="no-such-format"):
+        read_landed(spark, f"{tmp_path}/landed", STATION_SCHEMA, "no-such-format")
+
+
+def test_a_cache_version_is_never_overwritten(spark, tmp_path):
+    fresh = spark.createDataFrame([("a|PL", 50.0, 20.0)], "cache_key string, lat double, lon double")
+    upsert_geocode_cache(spark, f"{tmp_path}/cache", fresh)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        fresh.write.mode("errorifexists").parquet(f"{tmp_path}/cache/version=1")
