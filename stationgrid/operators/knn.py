@@ -226,10 +226,11 @@ def _descend(groups, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: in
         children = hint(nodes.filter(f"level = {child}").selectExpr(
             *by, f"shiftright(cx, {up}) AS _px", f"shiftright(cy, {up}) AS _py", "cx AS _cx", "cy AS _cy", "n AS _cn",
         ), sizes[child])
-        # cells already small enough keep their row: a NULL key finds no children
+        # cells already small enough keep their row: a negative key finds no children, and many of them spread over tasks
         splits = f"level = {parent} AND n > {leaf_rows}"
         joined = frontier.selectExpr(
-            "*", f"CASE WHEN {splits} THEN cx END AS _px", f"CASE WHEN {splits} THEN cy END AS _py"
+            "*", f"CASE WHEN {splits} THEN cx ELSE -1L - pmod(xxhash64(_gx, _gy, cx, cy), 1000003L) END AS _px",
+            f"CASE WHEN {splits} THEN cy ELSE -1L END AS _py",
         ).join(children, [*by, "_px", "_py"], "left")
         cells = joined.selectExpr(
             *by, "_gx", "_gy", *box, f"CASE WHEN _cn IS NULL THEN level ELSE {child} END AS level",

@@ -46,10 +46,14 @@ def sample_bands(points: DataFrame, pixels: DataFrame, metas: list[RasterMeta],
 
 
 def sample_layers(points: DataFrame, layers: DataFrame, meta: RasterMeta, columns: list[str]) -> DataFrame:
-    """Add the named layer columns of a wide ``(r, c, ...)`` table sharing one grid."""
+    """Add the named layer columns of a wide ``(r, c, ...)`` table sharing one grid.
+
+    Points off the raster get negative keys, which match nothing and spread over tasks.
+    """
     r, c, inside = pixel_of(meta)
+    off = (-1 - F.pmod(F.xxhash64(*[c for c, t in points.dtypes if "map<" not in t and "variant" not in t]), F.lit(1_000_003))).cast("int")
     keyed = points.drop(*[n for n in columns if n in points.columns]).withColumns(
-        {"_pr": F.when(inside, r), "_pc": F.when(inside, c)}
+        {"_pr": F.when(inside, r).otherwise(off), "_pc": F.when(inside, c).otherwise(-1)}
     )
     pixels = layers.select(F.col("r").alias("_pr"), F.col("c").alias("_pc"), *columns)
     return keyed.join(pixels, ["_pr", "_pc"], "left").drop("_pr", "_pc")
