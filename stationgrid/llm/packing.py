@@ -119,7 +119,6 @@ def complete(room: int, counts: dict[int, int], sizes: list[int], nodes: int = N
         visited += 1
         if free < waste:
             best, waste = taken, free
-            continue
         while i < len(sizes) and sizes[i] > free:
             i += 1
         if i == len(sizes) or free - min(free, reach[i]) >= waste:  # waste bound
