@@ -28,37 +28,46 @@ def _profile(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, floa
     return {c: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(columns)}
 
 
-def _bucket_value(df: DataFrame, column: str, rank: int, low: float, high: float) -> float:
-    """The value at 0-based ``rank`` among the non-null values of ``column``."""
-    value = F.col(column).cast("double")
-    before = 0
-    while low < high:
-        width = (high - low) / BUCKETS
-        if width == 0.0 or low + width == low:
-            bucket = F.when(value <= low, 0).otherwise(BUCKETS - 1)
-        else:
-            bucket = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(BUCKETS - 1))
-        counts = (
-            df.filter(value.between(low, high))
-            .groupBy(bucket.alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-            .orderBy("bucket")
-            .collect()  # at most BUCKETS rows
-        )
-        for entry in counts:
-            if rank < before + entry["n"]:
-                low, high = entry["low"], entry["high"]
-                break
-            before += entry["n"]
-    return low
+def _refined(df: DataFrame, wanted: set[tuple[str, int]], profile: Mapping[str, tuple[int, float, float]]) -> dict[tuple[str, int], float]:
+    """The values of ``wanted`` (column, 0-based rank among its non-null values), all refined in the same passes."""
+    state = {w: (float(profile[w[0]][1]), float(profile[w[0]][2]), 0) for w in wanted}
+    while True:
+        ranges = sorted({(c, low, high) for (c, _), (low, high, _) in state.items() if low < high})
+        if not ranges:
+            return {w: low for w, (low, _, _) in state.items()}
+        entries = []
+        for i, (c, low, high) in enumerate(ranges):
+            value, width = F.col(c).cast("double"), (high - low) / BUCKETS
+            if width == 0.0 or low + width == low:
+                bucket = F.when(value <= low, 0).otherwise(BUCKETS - 1)
+            else:
+                bucket = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(BUCKETS - 1))
+            entry = F.struct(F.lit(i).alias("i"), bucket.cast("int").alias("bucket"), value.alias("value"))
+            entries.append(F.when(value.between(low, high), entry))
+        rows = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        counts: dict[int, list] = {}
+        found = rows.groupBy("i", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        for entry in found.orderBy("i", "bucket").collect():  # at most BUCKETS rows of each open range
+            counts.setdefault(entry["i"], []).append(entry)
+        number = {r: i for i, r in enumerate(ranges)}
+        for (c, rank), (low, high, before) in list(state.items()):
+            for entry in counts.get(number.get((c, low, high), -1), ()):
+                if rank < before + entry["n"]:
+                    state[c, rank] = (entry["low"], entry["high"], before)
+                    break
+                before += entry["n"]
+
+
+def values_at_ranks(df: DataFrame, ranks: Mapping[str, int]) -> dict[str, float | None]:
+    """Exact value at the 0-based rank of each column, ``None`` where it has no more values; the columns share their passes."""
+    profile = _profile(df, list(ranks))
+    found = _refined(df, {(c, r) for c, r in ranks.items() if r < profile[c][0]}, profile)
+    return {c: found.get((c, r)) for c, r in ranks.items()}
 
 
 def value_at_rank(df: DataFrame, column: str, rank: int) -> float | None:
-    """Exact value at 0-based ``rank``; NULL-free count must exceed ``rank``."""
-    n, low, high = _profile(df, [column])[column]
-    if rank >= n:
-        return None
-    return _bucket_value(df, column, rank, float(low), float(high))
+    """Exact value at 0-based ``rank`` of one column."""
+    return values_at_ranks(df, {column: rank})[column]
 
 
 def exact_quantiles(
@@ -77,19 +86,13 @@ def exact_quantiles(
         row = df.agg(*exprs).first()
         for i, c in enumerate(small):
             result[c] = list(row[f"q{i}"])
-    for c in columns:
-        n, low, high = profile[c]
-        if n <= buffer_rows:
-            continue
-        found: dict[int, float] = {}
-        for j, p in enumerate(probabilities):
-            position = p * (n - 1)
-            lower, upper = math.floor(position), math.ceil(position)
-            for rank in (lower, upper):
-                if rank not in found:
-                    found[rank] = _bucket_value(df, c, rank, float(low), float(high))
-            share = position - lower
-            result[c][j] = found[lower] + (found[upper] - found[lower]) * share
+    large = [c for c in columns if profile[c][0] > buffer_rows]
+    place = {(c, p): p * (profile[c][0] - 1) for c in large for p in probabilities}
+    found = _refined(df, {(c, r) for (c, _), at in place.items() for r in (math.floor(at), math.ceil(at))}, profile)
+    for (c, p), at in place.items():
+        lower, upper = found[c, math.floor(at)], found[c, math.ceil(at)]
+        value = lower + (upper - lower) * (at - math.floor(at))
+        result[c] = [value if q == p else known for q, known in zip(probabilities, result[c])]
     return result
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stationgrid.config import AnalysisConfig
 from stationgrid.functions.hashing import key_number
-from stationgrid.functions.stats import value_at_rank
+from stationgrid.functions.stats import value_at_rank, values_at_ranks
 from stationgrid.operators.proximity import remove_buffered
 from stationgrid.session import cut_lineage
 
@@ -62,13 +62,15 @@ def split_stations(stations: DataFrame, config: AnalysisConfig, id_col: str = "s
 
 def bags(rows: DataFrame, seeds: Sequence[int], fraction: float, id_col: str = "station_id") -> DataFrame:
     """One copy of a ``fraction`` sample without replacement per seed, tagged ``seed``."""
-    n = rows.count()
-    size = round(fraction * n)
-    keys = rows.select(id_col)
-    members = None
-    for seed in seeds:
-        part = keys.filter(_first_by_hash(keys, size, seed, id_col)).select(id_col, F.lit(seed).alias("seed"))
-        members = part if members is None else members.unionByName(part)
+    size = round(fraction * rows.count())
+    keys = rows.select(id_col, *[key_number(F.col(id_col), s).alias(f"_h{i}") for i, s in enumerate(seeds)])
+    # the cuts of all seeds are found in the same passes
+    cuts = values_at_ranks(keys, {f"_h{i}": size - 1 for i in range(len(seeds))}) if size > 0 else {}
+    chosen = [
+        F.when(F.lit(size > 0) & (F.lit(cuts.get(f"_h{i}")).isNull() | (F.col(f"_h{i}") <= F.lit(cuts.get(f"_h{i}")))), F.lit(s))
+        for i, s in enumerate(seeds)
+    ]
+    members = keys.select(id_col, F.explode(F.filter(F.array(*chosen), lambda s: s.isNotNull())).alias("seed"))
     return rows.join(members, id_col)
 
 
