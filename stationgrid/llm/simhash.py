@@ -33,7 +33,7 @@ SEED = 42
 VARIANTS = 1 << 22
 #: Ids that may be broadcast instead of shuffling the texts: 16 MB of numbers.
 BROADCAST_IDS = 2_000_000
-#: Entries that one partition of the meeting places gets.
+#: Entries that a meeting place, and a partition of them, gets on average.
 PLACE_ENTRIES = 4_000_000
 
 
@@ -155,12 +155,14 @@ def forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> list[t
 def ball_links(points: DataFrame, bits: int, radius: int, prefix: int) -> DataFrame:
     """Distinct links (a, b), a < b, of ``points`` (id long, fps array<long>: one or more independent fingerprints).
 
-    ``points`` are distinct; ``prefix`` bits name a meeting place.
+    ``points`` are distinct; at least ``prefix`` bits name a meeting place, more where places would hold too much.
     """
     half = radius // 2
-    places = 1 << prefix
     views = int(points.select(F.max(F.size("fps"))).first()[0] or 1)
     count = points.count()
+    while prefix < bits and count * ball(prefix, half) > PLACE_ENTRIES << prefix:
+        prefix += 1
+    places = 1 << prefix
     partitions = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * views * ball(prefix, half) // PLACE_ENTRIES))
 
     def send(batch):

@@ -55,6 +55,12 @@ def test_links_of_crowded_places(monkeypatch, bits, prefix, room):
     assert components(range(len(fps)), found) == components(range(len(fps)), near)
 
 
+def test_places_follow_the_number_of_fingerprints(documents, monkeypatch):
+    want = {tuple(r) for r in simhash.simhash_components(documents, prefix=2).collect()}
+    monkeypatch.setattr(simhash, "PLACE_ENTRIES", 20)
+    assert {tuple(r) for r in simhash.simhash_components(documents, prefix=2).collect()} == want
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 70), (7, 7), (200, 200)] + [(500, 500 + k) for k in range(1, 60)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
