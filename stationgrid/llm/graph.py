@@ -25,8 +25,9 @@ from stationgrid.llm.vectors import distinct_vectors, inner, ranked_results, val
 
 PART_NODES = 4096
 MIN_PARTS = 12
-#: Vectors that a leaf compares at a time.
-LEAF_NODES = 4096
+#: Vectors that are compared with each other, and rows of one product of them.
+LEAF_NODES = 8192
+LEAF_ROWS = 1024
 
 
 class Settings(NamedTuple):
@@ -36,7 +37,7 @@ class Settings(NamedTuple):
     iterations: int = 2
     sample: int = 16
     rounds: int = 3
-    expand: int = 80
+    expand: int = 120
     keep: int = 60
     seed: int = 11
 
@@ -90,11 +91,13 @@ def leaf_pairs(uid: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np
         u, v = uid[s: s + LEAF_NODES], vec[s: s + LEAF_NODES]
         if len(u) < 2:
             continue
-        sims = v @ v.T
-        np.fill_diagonal(sims, -np.inf)
         m = min(k, len(u) - 1)
-        at = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-        out.append((np.repeat(u, m), u[at].ravel(), np.take_along_axis(sims, at, 1).ravel().astype(np.float32)))
+        for a in range(0, len(u), LEAF_ROWS):
+            sims = v[a: a + LEAF_ROWS] @ v.T
+            here = np.arange(len(sims))
+            sims[here, here + a] = -np.inf
+            at = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+            out.append((np.repeat(u[a: a + LEAF_ROWS], m), u[at].ravel(), np.take_along_axis(sims, at, 1).ravel().astype(np.float32)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -164,7 +167,7 @@ class NeighbourGraph:
     def _leaves(self) -> DataFrame:
         """Proposals from the leaves of ``trees`` sets of random hyperplanes through a centre."""
         s, width, parts = self.s, self.width, self.parts
-        depth = max(0, int(np.ceil(np.log2(max(self.count, 1) / s.leaf))))
+        depth = max(0, round(np.log2(max(self.count, 1) / s.leaf)))
         planes = np.random.default_rng(s.seed).standard_normal((s.trees, depth, width)).astype(np.float32)
 
         def centre(batches):
