@@ -22,18 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationgrid.llm.common import map_batches, materialised, texts, written
+from stationgrid.llm.common import join_keys, map_batches, materialised, texts, written
 
 LENGTH = 400
 GRAM = 128
 CROWD = 1500
 #: Bytes that are hashed at a time, and bytes of one suffix array (more only for a single anchor's texts).
 CHUNK = 1 << 20
-#: Documents whose spans may be broadcast instead of shuffling all texts: some 16 MB.
-BROADCAST_DOCS = 100_000
+#: Ids that may be broadcast so that only the texts of these documents are shuffled: 8 MB of numbers.
+BROADCAST_IDS = 500_000
 
 _MIX = np.random.default_rng(20_011).integers(1, 1 << 63, 320, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,15 +198,16 @@ def common_prefixes(data: np.ndarray, array: np.ndarray, depth: int) -> np.ndarr
         inside = np.maximum(a, b) < n
         x = np.zeros(len(alive), np.uint64)
         x[inside] = words[a[inside]] ^ words[b[inside]]
-        room = np.minimum(n - np.maximum(a, b), 8).clip(0)
-        # leading equal bytes of the eight
-        same = np.full(len(alive), 8)
+        room = n - np.maximum(a, b)
+        on = (x == 0) & (room >= 8)
+        out[alive[on]] += 8
+        # where they part: leading equal bytes of the eight, as far as both texts go
+        end = ~on
+        y, same = x[end], np.zeros(end.sum(), np.int64)
         for k in range(8):
-            differs = ((x >> np.uint64(56 - 8 * k)) & np.uint64(255)) != 0
-            same = np.where(differs & (same == 8), k, same)
-        same = np.minimum(same, room)
-        out[alive] += same
-        alive = alive[same == 8]
+            same += y < np.uint64(1 << (56 - 8 * k)) if k < 7 else y == 0
+        out[alive[end]] += np.minimum(same, room[end].clip(0))
+        alive = alive[on]
         if not len(alive):
             break
     return np.minimum(out, depth)
@@ -254,28 +255,38 @@ def _anchor_rows(docs: DataFrame, key: str, length: int, gram: int) -> DataFrame
 
 
 def _with_docs(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with ``rows`` (one per document); few rows are broadcast, more take a shuffle of both."""
+    """``docs`` joined with ``rows`` (one per document). Up to BROADCAST_IDS documents only their texts are shuffled, beyond that all.
+
+    ``how`` is inner, or left: then ``rows`` has the column ``spans``, null for the other documents.
+    """
     rows = rows.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
-    if rows.count() <= BROADCAST_DOCS:
-        rows = F.broadcast(rows)
-    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col("_doc")) & (docs["mark"] == F.col("_mark")), how).drop("_doc", "_mark")
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (docs["mark"] == F.col("_mark"))
+    ids = rows.select("_doc", "_mark")
+    if ids.count() > BROADCAST_IDS:
+        return docs.join(rows, same, how).drop("_doc", "_mark")
+    found = docs.join(F.broadcast(ids), same, "left_semi").join(rows, same, "inner").drop("_doc", "_mark")
+    if how == "inner":
+        return found
+    others = docs.join(F.broadcast(ids), same, "left_anti")
+    return found.unionByName(others.withColumn("spans", F.lit(None).cast(rows.schema["spans"].dataType)))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id, mark, spans (array of low, high in bytes; they may overlap) of ``docs`` (doc_id, mark, text)."""
+    """doc_id, mark, spans (array of low, high in bytes; maximal runs) of ``docs`` (doc_id, mark, text)."""
     key = docs.schema["doc_id"].dataType.simpleString()
     found = written(_anchor_rows(docs, key, length, gram), "anchors")
     groups = found.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("around").alias("_a"), F.max("around").alias("_b")).where("_n > 1")
-    several = materialised(found.join(groups.select("anchor", (F.col("_a") != F.col("_b")).alias("mixed")), "anchor"))
+    groups = materialised(groups.select("anchor", "_n", (F.col("_a") != F.col("_b")).alias("mixed")))
+    several = materialised(join_keys(found, groups, ["anchor"], found.count()))
     spans = several.where("NOT mixed").select("doc_id", "mark", "low", (F.col("high") + length).alias("high"))
 
     mixed = several.where("mixed")
     place = F.struct("doc_id", "mark", "low", "high")
     distinct = materialised(mixed.groupBy("anchor", "around").agg(F.count("*").cast("int").alias("n"), F.min(place).alias("at")))
-    crowded = distinct.groupBy("anchor").agg(F.count("*").alias("_texts")).where(F.col("_texts") > crowd).select("anchor", F.lit(True).alias("crowded"))
+    crowded = materialised(distinct.groupBy("anchor").agg(F.count("*").alias("_n"), (F.count("*") > crowd).alias("crowded")))
     asked = (
-        distinct.join(crowded, "anchor", "left")
-        .select("at.doc_id", "at.mark", F.struct("anchor", "around", "n", "at.low", "at.high", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
+        join_keys(distinct, crowded, ["anchor"], distinct.count())
+        .select("at.doc_id", "at.mark", F.struct("anchor", "around", "n", "at.low", "at.high", "crowded").alias("ask"))
         .groupBy("doc_id", "mark").agg(F.collect_list("ask").alias("asks"))
     )
     read = materialised(_with_docs(docs, materialised(asked), "inner").select("text", "asks").transform(lambda d: _around(d, length)))
@@ -299,14 +310,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 
     by_array = texts_.repartition("anchor").mapInArrow(sort, "anchor long, around long, inside array<struct<low:int,high:int>>")
     twice = windows.groupBy("k1", "k2").agg(F.sum("n").alias("_n")).where("_n > 1").select("k1", "k2")
+    # windows in a row are one span
+    turn = F.row_number().over(Window.partitionBy("anchor", "around").orderBy("window"))
     by_hash = (
-        windows.join(twice, ["k1", "k2"]).groupBy("anchor", "around")
-        .agg(F.collect_list(F.struct(F.col("window").alias("low"), (F.col("window") + length).alias("high"))).alias("inside"))
+        windows.join(twice, ["k1", "k2"]).withColumn("_row", F.col("window") - turn).groupBy("anchor", "around", "_row")
+        .agg(F.min("window").alias("low"), (F.max("window") + length).alias("high")).groupBy("anchor", "around")
+        .agg(F.collect_list(F.struct("low", "high")).alias("inside"))
     )
     inside = by_array.unionByName(by_hash)
     found_in = mixed.join(inside, ["anchor", "around"]).select("doc_id", "mark", "low", F.explode("inside").alias("w"))
     spans = spans.unionByName(found_in.select("doc_id", "mark", (F.col("low") + F.col("w.low")).alias("low"), (F.col("low") + F.col("w.high")).alias("high")))
-    return spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    doc = Window.partitionBy("doc_id", "mark").orderBy("low", "high")
+    reach = F.max("high").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.distinct().withColumn("_new", (F.coalesce(reach, F.lit(-1)) < F.col("low")).cast("int")).withColumn("_run", F.sum("_new").over(doc))
+    whole = runs.groupBy("doc_id", "mark", "_run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return whole.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 _FOUND = (pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
@@ -350,12 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     def cut(batch):
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            data, merged = text.encode(), []
-            for s in sorted((s["low"], s["high"]) for s in own or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
+            data, merged = text.encode(), sorted((s["low"], s["high"]) for s in own or ())
             kept, at = [], 0
             for a, b in merged:
                 kept.append(data[at:a])
