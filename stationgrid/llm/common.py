@@ -19,8 +19,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Texts of one Arrow batch; Spark's default of 10,000 long ones takes too much memory on either side.
+BATCH_TEXTS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send at most BATCH_TEXTS rows at a time to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_TEXTS:
+        spark.conf.set(key, str(BATCH_TEXTS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so that other columns cannot clash; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

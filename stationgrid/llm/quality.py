@@ -217,7 +217,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of ``docs`` with all their columns whose text scores ``threshold`` or more."""
-    model = train(docs, labels, sample_docs)
+    model = train(docs, labels, sample_docs)  # sees to small batches
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
