@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # --- fixed values -----------------------------------------------------------
-# Network names, their precedence at a shared location, region ids and the
-# default thresholds; results depend on each of them.
+# Network names, their precedence at a shared location, region ids, bands and, further below, the
+# bounds and default thresholds of BoundingBox and AnalysisConfig; results depend on each of them.
 NATIONAL, ROAD, CROWD = "IMGW", "TRAX", "NETATMO"
 SOURCE_PRIORITY = {"IMGW": 1, "TRAX": 2, "NETATMO": 3}
 UNKNOWN_PRIORITY = 99
@@ -24,7 +24,6 @@ INTERACTION_PAIRS = (
 ID_COLUMNS = ("station", "temp", "geometry", "source", "lat", "lon")
 GRID_NODATA = -9999.0
 TILE_PIXELS = 256
-# ----------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -100,3 +99,6 @@ class AnalysisConfig:
     extrapolation_margin: float = 15.0
     display_sources: tuple[str, ...] = (NATIONAL,)
     label_cell_deg: float = 0.25
+
+
+# ----------------------------------------------------------------------------
