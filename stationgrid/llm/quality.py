@@ -178,12 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, se
 
     def teach(batch):
         found = [document_features(t, settings) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id").cast("string"), "keys": [k for k, _ in found], "shares": [s for _, s in found], "label": batch.column("_label")}
+        return {"doc_id": batch.column("doc_id").cast("string"), "keys": [k.tobytes() for k, _ in found], "shares": [s.tobytes() for _, s in found], "label": batch.column("_label")}
 
-    taught = map_batches(rows, teach, "doc_id string, keys array<int>, shares array<float>, label int")
+    taught = map_batches(rows, teach, "doc_id string, keys binary, shares binary, label int")
     # repeated documents would make the sample unbounded: one row of each id
     one = taught.groupBy("doc_id").agg(F.min(F.struct("label", "keys", "shares")).alias("row")).orderBy("doc_id").select("row.*")
-    parts = [(np.array(r["keys"], dtype=np.int32), np.array(r["shares"], dtype=np.float32), r["label"]) for r in one.toLocalIterator()]
+    parts = [(np.frombuffer(r["keys"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in one.toLocalIterator()]
     return fit(parts, settings)
 
 
