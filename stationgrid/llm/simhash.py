@@ -10,22 +10,23 @@ differ in the rest only, so the fingerprint itself is sent there once instead of
 instead of 2,081 at 64 bits and a radius of 4), and the variants are made where they meet. They are
 sorted as numbers whose low bits hold the fingerprint's index. A place that gets crowded is split by further bits.
 
-``near_duplicates`` is stricter and finds more: several independent fingerprints over other hashes of the
-same shingles propose pairs, and the Jaccard similarity of the whole shingle sets decides.
+``near_duplicates`` is an exact join by the Jaccard similarity of whole shingle sets. Similar sets share one of their first
+shingles in any common order, so pairs meet there, rarest first; every pair that could pass is judged unless its
+two texts are linked already.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationgrid.llm.common import map_batches, materialised, texts
+from stationgrid.llm.common import _arrow_types, _batch, map_batches, materialised, texts
 from stationgrid.llm.components import connected_components
 
 SEED = 42
@@ -35,6 +36,14 @@ VARIANTS = 1 << 22
 BROADCAST_IDS = 2_000_000
 #: Entries that a meeting place, and a partition of them, gets on average.
 PLACE_ENTRIES = 4_000_000
+#: Counters of shingles by hash; they only order shingles by how common they are.
+COUNTERS, COUNTER_BLOCKS = 1 << 20, 16
+#: First shingles that a partition gets on average.
+FIRST_SHINGLES = 1_000_000
+#: Rows of groups that a task looks at in one go; more if one group has more.
+GROUPED_ROWS = 50_000
+#: Factor by which the members that are compared with their whole group grow from round to round.
+HUB_GROWTH = 8
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -233,61 +242,188 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, prefix:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# -- similar texts: several fingerprints propose, the shingle sets decide -------------------------------
+# -- similar texts: first shingles propose, the shingle sets decide --------------------------------------
 
 
-def view_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of the same shingles for every ``k``: a finalising mix of the hash and k."""
-    x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def class_of(shingles: np.ndarray) -> int:
+    """One number for each shingle set (sorted)."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))))
 
 
-def views(distinct: np.ndarray, bits: int, number: int) -> list[int]:
-    """``number`` fingerprints of ``bits`` bits, cut from as many hashes as they need."""
-    total = bits * number
-    ones = np.concatenate([2 * bit_counts(view_hashes(distinct, k)) > len(distinct) for k in range(-(-total // 64))])[:total].reshape(number, bits)
-    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    return (ones * weights).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+def first_shingles(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, as many as a similar set must share one of."""
+    order = np.lexsort((shingles, counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]))
+    return shingles[order[: len(shingles) - ceil(similarity * len(shingles) - 1e-9) + 1]]
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 40, number: int = 12, radius: int = 4, prefix: int = 5) -> DataFrame:
+def hub_pairs(key: np.ndarray, ids: np.ndarray, size: np.ndarray, pos: np.ndarray, share: np.ndarray, root: np.ndarray, similarity: float, low: int, high: int):
+    """Pairs of the members ``low`` to ``high`` of each key's group with all members after them.
+
+    Left out are pairs with one root and those whose shared shingles, at best all from this one on, are too few.
+    """
+    order = np.lexsort((ids, -share, key))
+    key, ids, size, pos, root = (x[order] for x in (key, ids, size, pos, root))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    first = np.repeat(starts, np.diff([*starts, len(key)]))
+    rank = np.arange(len(key)) - first
+    for r in range(low, high):
+        x = np.flatnonzero(rank > r)
+        if not len(x):
+            return
+        y = first[x] + r
+        need = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6)
+        fits = (root[x] != root[y]) & (np.minimum(size[x] - pos[x], size[y] - pos[y]) >= need)
+        a, b = ids[x[fits]], ids[y[fits]]
+        if len(a):
+            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of at least ``similarity`` of their shingle sets.
 
-    Texts without words are no near-duplicates of anything. Equal shingle sets are one class with the smallest id.
-    At 40 bits a fingerprint is within 4 bits with probability 0.26 at a similarity of 0.8 and 0.45 at 0.87, so 12 of them miss
-    3 % and 0.1 % of such pairs; no other limit applies.
+    Texts without words are no near-duplicates of anything. Equal shingle sets are one class with the smallest id. The links are exact: all
+    pairs that share one of their first shingles are judged, but for pairs that other links connect. In a large group a growing number of
+    members, those with most shared shingles first, is compared with all others, and links contract the groups in between.
     """
     docs = texts(docs)
+    spark = docs.sparkSession
     key = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {key}, id long, n int, block int, counts binary"
+    types = _arrow_types(schema)
 
-    def sketch(batch):
-        sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
-        return {
-            "doc_id": batch.column("doc_id"), "id": [int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)))) if len(s) else None for s in sets],
-            "fps": [views(s, bits, number) if len(s) else None for s in sets],
-        }
+    def sketch(batches):
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            if not sets:
+                continue
+            counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            none = [None] * len(sets)
+            yield _batch({"doc_id": batch.column("doc_id"), "id": [class_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "block": none, "counts": none}, types)
+        if counts.any():
+            none = [None] * COUNTER_BLOCKS
+            parts = [c.astype("<u4").tobytes() for c in np.split(np.minimum(counts, (1 << 32) - 1), COUNTER_BLOCKS)]
+            yield _batch({"doc_id": none, "id": none, "n": none, "block": list(range(COUNTER_BLOCKS)), "counts": parts}, types)
+
+    def added(t):
+        import pyarrow as pa
+
+        total = sum((np.frombuffer(c, "<u4").astype(np.int64) for c in t.column("counts").to_pylist()), np.zeros(COUNTERS // COUNTER_BLOCKS, np.int64))
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
 
-    sketched = materialised(map_batches(docs, sketch, f"doc_id {key}, id long, fps array<long>"))
+    both = materialised(docs.mapInArrow(sketch, schema))
+    sketched = both.where("block IS NULL").select("doc_id", "id", "n")
     members = sketched.where("id IS NOT NULL")
-    classes = materialised(members.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps")))
-    pairs = materialised(ball_links(classes.select("id", "fps"), bits, radius, prefix))
-    asked = materialised(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", F.col("least").alias("doc_id")), "id"))
-    # texts of the proposed classes only; a few ids spare the shuffle of the texts
-    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    classes = materialised(members.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("n").alias("n")))
+    counts = np.zeros(COUNTERS, dtype=np.uint32)
+    for r in both.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(added, "block int, counts binary").collect():  # one row for each block
+        counts.reshape(COUNTER_BLOCKS, -1)[r["block"]] = np.frombuffer(r["counts"], "<u4")
+    common = spark.sparkContext.broadcast(counts)
+    total = int(classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * similarity) + 1)).first()[0] or 0)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FIRST_SHINGLES))
+    places = 2 * partitions
+
+    def send(batch):
+        sets = [s for s in (np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()) if len(s)]
+        if not sets:
+            return None
+        firsts = [first_shingles(s, common.value, similarity) for s in sets]
+        many = [len(f) for f in firsts]
+        token = np.concatenate(firsts)
+        ids, size = np.repeat([class_of(s) for s in sets], many).astype("<i8"), np.repeat([len(s) for s in sets], many).astype("<i4")
+        # a later place in the order only tightens a bound, so it may be cut off
+        pos = np.minimum(np.concatenate([np.arange(m) for m in many]), 65535).astype("<u2")
+        place = (token % np.uint64(places)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        own = np.split(order, np.flatnonzero(np.diff(place[order])) + 1)
+        token = (token >> np.uint64(32)).astype("<u4")
+        return {"place": [int(place[o[0]]) for o in own]} | {name: [x[o].tobytes() for o in own] for name, x in (("token", token), ("ids", ids), ("size", size), ("pos", pos))}
+
+    def meet(batches):
+        import pyarrow as pa
+
+        held = [r for batch in batches for r in batch.to_pylist()]
+        if not held:
+            return
+        token, ids, size, pos = (np.frombuffer(b"".join(r[name] for r in held), kind) for name, kind in (("token", "<u4"), ("ids", "<i8"), ("size", "<i4"), ("pos", "<u2")))
+        at = (np.repeat([r["place"] for r in held], [len(r["token"]) // 4 for r in held]).astype(np.int64) << 32) | token.astype(np.int64)
+        order = np.lexsort((pos, ids, at))
+        order = order[np.concatenate([[True], (at[order][1:] != at[order][:-1]) | (ids[order][1:] != ids[order][:-1])])]
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        many = np.diff([*starts, len(at)])
+        many = np.repeat(many, many)
+        kept = many > 1
+        for o, a, m in zip(*(np.array_split(x[kept], max(1, int(kept.sum()) // 50_000)) for x in (order, at, many))):
+            yield pa.record_batch({"token": a, "id": ids[o], "n": size[o], "pos": pos[o].astype(np.int32), "m": m.astype(np.int64)})
+
+    # texts of one document of each class
+    extra = materialised(members.select("doc_id").where("doc_id IS NOT NULL").distinct().join(classes.select(F.col("least").alias("doc_id")), "doc_id", "left_anti"))
+    one = docs.join(F.broadcast(extra) if extra.count() <= BROADCAST_IDS else extra, "doc_id", "left_anti")
+    sent = map_batches(one, send, "place long, token binary, ids binary, size binary, pos binary").repartition(partitions, "place")
+    shared = materialised(sent.mapInArrow(meet, "token long, id long, n int, pos int, m long"))
+    often = shared.groupBy("id").agg(F.count("*").alias("_often"))
+    groups = materialised(shared.join(often, "id").withColumn("share", F.col("_often") / (F.col("n") - F.ceil(F.col("n") * similarity) + 1)).drop("_often"))
+    largest = int(groups.agg(F.max("m")).first()[0] or 0)
 
     def shingles(batch):
-        return {"id": batch.column("id"), "set": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column("text").to_pylist()]}
-
-    sets = materialised(map_batches(docs.join(wanted, "doc_id").select("id", "text"), shingles, "id long, set array<long>").groupBy("id").agg(F.max("set").alias("set")))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    alike = (
-        pairs.join(sets.withColumnsRenamed({"id": "a", "set": "_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "_b"}), "b")
-        .where(shared >= similarity * (F.size("_a") + F.size("_b") - shared) - 1e-9).select("a", "b")
-    )
-    roots = connected_components(alike)
-    rooted = classes.select("id", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        sets = [s for s in (np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()) if len(s)]
+        return {"id": [class_of(s) for s in sets], "set": [s.view(np.int64) for s in sets]}
+
+    def judged_alike(pairs: DataFrame) -> DataFrame:
+        asked = materialised(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", F.col("least").alias("doc_id")), "id"))
+        ids = asked.select("doc_id").distinct()
+        # texts of the proposed classes only; a few ids spare the shuffle of the texts
+        found = docs.join(F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+        sets = materialised(map_batches(found, shingles, "id long, set array<long>").join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.max("set").alias("set")))
+        both = F.size(F.array_intersect("_a", "_b"))
+        return materialised(
+            pairs.join(sets.withColumnsRenamed({"id": "a", "set": "_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "_b"}), "b")
+            .where(both >= similarity * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b")
+        )
+
+    def proposed(rows: DataFrame, low: int, high: int) -> DataFrame:
+        names = ("token", "id", "n", "pos", "share", "root")
+
+        def run(batches):
+            import pyarrow as pa
+
+            def pairs_in(parts):
+                columns = [np.concatenate([p[k] for p in parts]) for k in range(len(names))]
+                for pair in hub_pairs(*columns, similarity, low, high):
+                    yield pa.record_batch({"a": pair[0], "b": pair[1]})
+
+            held, rows_held, enough = [], 0, GROUPED_ROWS
+            for batch in batches:
+                held.append([np.asarray(batch.column(name)) for name in names])
+                rows_held += batch.num_rows
+                if rows_held >= enough:
+                    held = [[np.concatenate(x) for x in zip(*held)]]
+                    cut = int(np.searchsorted(held[0][0], held[0][0][-1]))  # the last group may go on
+                    if cut:
+                        yield from pairs_in([[x[:cut] for x in held[0]]])
+                        held = [[x[cut:] for x in held[0]]]
+                    rows_held -= cut
+                    enough = max(GROUPED_ROWS, 2 * rows_held)
+            if rows_held:
+                yield from pairs_in(held)
+
+        return rows.select("token", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "share", "root").repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+
+    alike = judged = None
+    roots = spark.createDataFrame([], "id long, root long")
+    low, high = 0, 1
+    while low < largest - 1:
+        rows = groups.where(F.col("m") > low + 1).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pairs = proposed(rows, low, high)
+        pairs = materialised(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            found = judged_alike(pairs)
+            alike = found if alike is None else alike.unionByName(found)
+            judged = pairs if judged is None else judged.unionByName(pairs)
+            roots = materialised(connected_components(alike).withColumnRenamed("node", "id"))
+        low, high = high, high * HUB_GROWTH
+    rooted = classes.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
     return sketched.join(named, "id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 

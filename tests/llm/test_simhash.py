@@ -104,3 +104,26 @@ def test_planted_near_copies_are_found(table):
                 copy[at] = "changed"
             rows.append((g * 3 + c, " ".join(copy)))
     assert {r.component_id for r in simhash.near_duplicates(table(rows)).collect()} == {3 * g for g in range(30)}
+
+
+def jaccard_components(rows, words=5, similarity=0.8):
+    sets = {i: set(simhash.shingle_hashes(t, words).tolist()) for i, t in rows}
+    ids = sorted(sets)
+    return components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9])
+
+
+def test_star_shaped_copies_are_all_found(table):
+    """Copies that are like their original only, not like each other."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{k}" for k in rng.permutation(250)]
+        rows.append((1000 * g + 500, " ".join(base)))
+        for c in range(300):
+            copy = list(base)
+            for at in rng.choice(240, 3, replace=False):
+                copy[at + 5] = f"changed{c}"
+            rows.append((1000 * g + c, " ".join(copy)))
+    want = jaccard_components(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(table(rows)).collect()} == want
+    assert len(set(want.values())) < 10
