@@ -38,13 +38,16 @@ RANKED_TOGETHER = 20_000
 MIN_BUCKETS = 16
 #: Letters beyond this range are left to the tokenizer file's own library: Unicode versions differ between the two.
 _BEYOND = re.compile("[^\u0000-ɏ]")
+#: The fast library fails on white space of about a million characters in a row.
+WHITE_RUN = 100_000
+_LONG_WHITE = re.compile(r"\s{%d}" % WHITE_RUN)
 
 
 class Encoder:
     """Token ids as the ``tokenizers`` library gives them, special strings included.
 
     The same vocabulary as ranks encodes several times faster; both agree on Latin text, other
-    text goes to the tokenizer file itself. So do long unbroken strings.
+    text goes to the tokenizer file itself. So do texts with ``WHITE_RUN`` or more characters of white space in a row.
     """
 
     def __init__(self, json_path: str, ranks_path: str | None):
@@ -57,7 +60,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or _BEYOND.search(text):
+        if self.fast is None or _BEYOND.search(text) or _LONG_WHITE.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special="all", disallowed_special=())
 

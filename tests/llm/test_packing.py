@@ -85,3 +85,9 @@ def test_odd_rows_and_small_sequences(odd, table):
     assert sorted(r.length for r in rows if r.doc_id in (1, 2)) == [1, 1]
     assert sum(r.doc_id == 4 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
     assert packing.best_fit_packing(table([])).collect() == []
+
+
+def test_long_white_space():
+    encoder = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ("a" + " " * 1_200_000 + "b", "\n" * 1_200_000):
+        assert encoder.ids(text) == encoder.exact.encode(text, add_special_tokens=False).ids
