@@ -15,6 +15,7 @@ import math
 import operator
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +29,10 @@ BUCKETS = 1 << 17
 CACHED_WORDS = 300_000
 #: Texts whose new words are hashed in one go.
 TEXTS_TOGETHER = 64
-#: Longer words count as their first and last letters do: their n-grams are those of both ends.
-WORD_BYTES = 40
+#: Bytes of words that are hashed in one go; a longer word is hashed in blocks of as many that overlap by an n-gram.
+BLOCK_BYTES = 1 << 20
+#: Longer words are not cached.
+CACHED_BYTES = 200
 
 
 class Settings(NamedTuple):
@@ -41,27 +44,44 @@ class Settings(NamedTuple):
     seed: int = 7
 
 
-def word_features(words: list[bytes], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index of its word) of all features of ``words``: each word and its character n-grams, ends marked."""
-    ends = WORD_BYTES // 2
-    words = [w if len(w) <= WORD_BYTES else w[:ends] + w[-ends:] for w in words]
+def blocks(words: list[bytes], settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, index of its word) of all features of ``words``, a bounded number of bytes at a time: each word and its character n-grams, ends marked."""
     own = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint32, count=len(words))
-    letters = np.frombuffer(b"".join(b"<%b>" % w for w in words), dtype=np.uint8).astype(np.uint32)
-    lengths = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
-    index = np.repeat(np.arange(len(words)), lengths)
-    left = np.repeat(lengths.cumsum(), lengths) - np.arange(len(letters))  # letters of the word from here on
-    keys, owners = [own % settings.buckets], [np.arange(len(words))]
+    yield (own % settings.buckets).astype(np.int64), np.arange(len(words))
     low, high = settings.grams
+    held, owners, size = [], [], 0
+    for i, w in enumerate(words):
+        marked = b"<%b>" % w
+        for s in range(0, max(len(marked) - high + 1, 1), BLOCK_BYTES):
+            part = marked[s: s + BLOCK_BYTES + high - 1]
+            # n-grams that start in the overlap belong to the next block
+            held.append((part, BLOCK_BYTES if s + len(part) < len(marked) else len(part)))
+            owners.append(i)
+            size += len(part)
+            if size >= BLOCK_BYTES:
+                yield from _grams(held, owners, low, high, settings.buckets)
+                held, owners, size = [], [], 0
+    if held:
+        yield from _grams(held, owners, low, high, settings.buckets)
+
+
+def _grams(parts: list[tuple[bytes, int]], owners: list[int], low: int, high: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each part the n-grams that start in its first so many bytes."""
+    letters = np.frombuffer(b"".join(p for p, _ in parts), dtype=np.uint8).astype(np.uint32)
+    lengths = np.fromiter((len(p) for p, _ in parts), dtype=np.int64, count=len(parts))
+    index = np.repeat(np.array(owners), lengths)
+    left = np.repeat(lengths.cumsum(), lengths) - np.arange(len(letters))  # letters of the part from here on
+    starts = left > np.repeat(lengths - np.fromiter((n for _, n in parts), dtype=np.int64, count=len(parts)), lengths)
     gram = np.zeros(len(letters), dtype=np.uint32)
     for n in range(1, high + 1):
         # the n letters from each place on, as a polynomial; 32-bit overflow is the modulus
+        if n > len(letters):
+            return
         gram[: len(letters) - n + 1] = gram[: len(letters) - n + 1] * np.uint32(0x01000193) + letters[n - 1:] + np.uint32(1)
         if n >= low:
-            inside = left >= n
+            inside = (left >= n) & starts
             mixed = gram[inside] * np.uint32(0x9E3779B1)
-            keys.append((mixed ^ (mixed >> np.uint32(15))) % np.uint32(settings.buckets))
-            owners.append(index[inside])
-    return np.concatenate(keys).astype(np.int64), np.concatenate(owners)
+            yield ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(buckets)).astype(np.int64), index[inside]
 
 
 def repeat_bucket(settings: Settings, repeats: bool) -> int:
@@ -74,17 +94,18 @@ def document_features(text: str, settings: Settings) -> tuple[np.ndarray, np.nda
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     counts = Counter(words)
-    keys, owners = word_features(list(counts), settings)
     times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+    shares = np.zeros(settings.buckets)
+    for keys, owners in blocks(list(counts), settings):
+        keys, where = np.unique(keys, return_inverse=True)
+        shares[keys] += np.bincount(where, times[owners], len(keys))
     same = sum(map(operator.eq, words, words[1:]))
     # the pair features weigh as much as the n-grams of a word do together
-    weight = times[owners].sum() / len(words)
-    keys = np.concatenate([keys, [repeat_bucket(settings, True), repeat_bucket(settings, False)]])
-    shares = np.concatenate([times[owners], [same * weight, (len(words) - 1 - same) * weight]])
-    keys, where = np.unique(keys, return_inverse=True)
-    shares = np.bincount(where, shares)
-    kept = shares > 0
-    return keys[kept].astype(np.int32), (shares[kept] / shares.sum()).astype(np.float32)
+    weight = shares.sum() / len(words)
+    shares[repeat_bucket(settings, True)] += same * weight
+    shares[repeat_bucket(settings, False)] += (len(words) - 1 - same) * weight
+    keys = np.flatnonzero(shares)
+    return keys.astype(np.int32), (shares[keys] / shares.sum()).astype(np.float32)
 
 
 class Model(NamedTuple):
@@ -132,11 +153,24 @@ class WordScores(dict):
         if len(self) + len(words) > CACHED_WORDS:
             self.clear()
         new = [w for w in words if w not in self]
-        for k in range(0, len(new), 50_000):
-            part = new[k: k + 50_000]
-            keys, owners = word_features(part, self.model.settings)
-            sums = np.bincount(owners, self.model.scores[keys], len(part)) + 1j * np.bincount(owners, minlength=len(part))
-            self.update(zip(part, sums.tolist()))
+        short = [w for w in new if len(w) <= CACHED_BYTES]
+        for k in range(0, len(short), 50_000):
+            part = short[k: k + 50_000]
+            self.update(zip(part, self.sums(part)))
+        for w in new:
+            if len(w) > CACHED_BYTES:
+                self[w] = self.sums([w])[0]
+
+    def sums(self, words: list[bytes]) -> list[complex]:
+        total = np.zeros(len(words), dtype=complex)
+        for keys, owners in blocks(words, self.model.settings):
+            total += np.bincount(owners, self.model.scores[keys], len(words)) + 1j * np.bincount(owners, minlength=len(words))
+        return total.tolist()
+
+    def forget_long(self, words: set[bytes]) -> None:
+        for w in words:
+            if len(w) > CACHED_BYTES:
+                self.pop(w, None)
 
 
 def probabilities(texts: list[str], cache: WordScores) -> list[float]:
@@ -145,7 +179,8 @@ def probabilities(texts: list[str], cache: WordScores) -> list[float]:
     pair = [float(model.scores[repeat_bucket(model.settings, r)]) for r in (False, True)]
     for k in range(0, len(texts), TEXTS_TOGETHER):
         split = [t.encode().split() for t in texts[k: k + TEXTS_TOGETHER]]
-        cache.learn(set().union(*split))
+        distinct = set().union(*split)
+        cache.learn(distinct)
         for words in split:
             z = model.bias
             if words:
@@ -155,6 +190,7 @@ def probabilities(texts: list[str], cache: WordScores) -> list[float]:
                 pairs = same * pair[1] + (len(words) - 1 - same) * pair[0]
                 z += (total.real + weight * pairs) / (total.imag + weight * (len(words) - 1))
             out.append(1 / (1 + math.exp(-min(max(z, -500.0), 500.0))))
+        cache.forget_long(distinct)
     return out
 
 

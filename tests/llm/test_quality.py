@@ -40,3 +40,21 @@ def test_odd_rows_and_labels(spark, odd, table):
     assert quality.classify(table([]), labels).collect() == []
     kept = quality.keep_good(odd, labels)
     assert kept.columns == odd.columns and kept.count() <= 8
+
+
+def test_middles_of_long_runs_count(monkeypatch):
+    """Text without spaces is read whole, whatever the blocks it is hashed in."""
+    settings = quality.Settings(buckets=1 << 16, dim=4, steps=400)
+    edges = "春夏秋冬" * 10
+    good, bad = (edges + middle * 40 + edges for middle in ("山川草木", "雨雪風雲"))
+    whole = [quality.document_features(t, settings) for t in (good, bad)]
+    assert len(np.setxor1d(whole[0][0], whole[1][0])) > 10
+    rows = [(*f, y) for f, y in zip(whole, (1, 0))]
+    model = quality.fit(rows, settings)
+    a, b = quality.probabilities([good, bad], quality.WordScores(model))
+    assert a > 0.5 > b
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 7)
+    for text, (keys, shares) in zip((good, bad), whole):
+        again = quality.document_features(text, settings)
+        assert np.array_equal(again[0], keys) and np.allclose(again[1], shares)
+    assert np.allclose(quality.probabilities([good, bad], quality.WordScores(model)), (a, b))
