@@ -127,3 +127,13 @@ def test_star_shaped_copies_are_all_found(table):
     want = jaccard_components(rows)
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(table(rows)).collect()} == want
     assert len(set(want.values())) < 10
+
+
+def test_short_near_copies_are_found(table):
+    """Texts of few shingles, whose fingerprints would be coarse."""
+    rows = []
+    for k in range(400):
+        base = [f"d{k}w{i}" for i in range(8 + k % 12)]
+        more = [*base, "more"] if k % 2 else ["more", *base]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(more))]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(table(rows)).collect()} == jaccard_components(rows) == {i: i - i % 2 for i, _ in rows}
