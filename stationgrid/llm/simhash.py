@@ -44,6 +44,8 @@ FIRST_SHINGLES = 1_000_000
 GROUPED_ROWS = 50_000
 #: Factor by which the members that are compared with their whole group grow from round to round.
 HUB_GROWTH = 8
+#: Pairs of unlinked groups, counted in each group, that are looked at in one round.
+LAST_ROUND = 1_000_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -415,13 +417,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     low, high = 0, 1
     while low < largest - 1:
         rows = groups.where(F.col("m") > low + 1).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        if low:
+            # groups that links connect already are done; what little is left needs no further rounds
+            left = rows.groupBy("token").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.max("m").alias("_m")).where("_r <> _s")
+            pairs_left = left.agg(F.sum(F.col("_m") * F.col("_m") / 2)).first()[0]
+            if not pairs_left:
+                break
+            if pairs_left <= LAST_ROUND:
+                high = largest
         pairs = proposed(rows, low, high)
         pairs = materialised(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            found = judged_alike(pairs)
-            alike = found if alike is None else alike.unionByName(found)
             judged = pairs if judged is None else judged.unionByName(pairs)
-            roots = materialised(connected_components(alike).withColumnRenamed("node", "id"))
+            found = judged_alike(pairs)
+            if not found.isEmpty():
+                alike = found if alike is None else alike.unionByName(found)
+                roots = materialised(connected_components(alike).withColumnRenamed("node", "id"))
         low, high = high, high * HUB_GROWTH
     rooted = classes.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")
