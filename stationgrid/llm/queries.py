@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationgrid.llm import graph, lines, mixing, packing, pii, quality, simhash, suffixes, tokens, vafile
+from stationgrid.llm import audit, graph, lines, mixing, packing, pii, quality, simhash, suffixes, tokens, vafile
 from stationgrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +54,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op4_graph_neighbours, op5_line_dedup, op6_suffix_array_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op4_graph_neighbours, op5_line_dedup, op6_suffix_array_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data, op13_filter_audit)}
 ORACLE: dict[str, str] = {
     "op5_line_dedup": lines.DIGEST_SQL.format(more=lines.MIN_WORDS - 1),
     "op9_exact_top_k": vafile.DIGEST_SQL,
+    "op13_filter_audit": audit.AUDIT_SQL,
 }
