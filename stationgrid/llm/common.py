@@ -76,14 +76,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 HOT_SHARE = 1 / 1000
 
 
-def join_keys(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``table``: one row per key, with ``_n``, how many of the ``total`` rows have it.
+def join_keys(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``table``: one row per key, with ``_n``, how many of the ``total`` rows have it.
 
     Hot keys, a bounded number, are broadcast, so that their rows stay where they are; the others are shuffled.
     """
     hot = F.col("_n") > HOT_SHARE * total
     few = F.broadcast(table.where(hot))
-    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys)
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot), keys, how)
     return rows.join(few, keys).unionByName(rest).drop("_n")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationgrid.llm import audit, graph, imatch, lines, mixing, packing, pii, quality, simhash, suffixes, tokens, vafile
+from stationgrid.llm import audit, graph, imatch, lines, mixing, packing, pii, quality, simhash, suffixes, tokens, turns, vafile
 from stationgrid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.damaged(read(spark, sf_dir, "conversations"))
+    return turns.repair_digests(rows, turns.audits(rows))
+
+
 def op12_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_likeness(read(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op4_graph_neighbours, op5_line_dedup, op6_suffix_array_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data, op12_imatch_fingerprints, op13_filter_audit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_components, op2_quality_classifier, op3_entropy_mixing, op4_graph_neighbours, op5_line_dedup, op6_suffix_array_dedup, op7_token_counts, op8_best_fit_packing, op9_exact_top_k, op10_personal_data, op11_conversation_repair, op12_imatch_fingerprints, op13_filter_audit)}
 ORACLE: dict[str, str] = {
     "op5_line_dedup": lines.DIGEST_SQL.format(more=lines.MIN_WORDS - 1),
     "op9_exact_top_k": vafile.DIGEST_SQL,
