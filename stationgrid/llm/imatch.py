@@ -34,7 +34,8 @@ PARTS = 48
 COUNTED = 300_000
 
 _TERM = re.compile(r"\w+")
-_SEEDS = np.array([int.from_bytes(hashlib.blake2b(b"part %d" % k, digest_size=8).digest(), "little") for k in range(PARTS)], dtype=np.uint64)
+#: An odd number per part; the first bits of a term's product with it say at which levels the part holds the term.
+_FACTORS = np.array([int.from_bytes(hashlib.blake2b(b"part %d" % k, digest_size=8).digest(), "little") | 1 for k in range(PARTS)], dtype=np.uint64)
 
 
 class TermHashes(dict):
@@ -51,22 +52,20 @@ class TermHashes(dict):
     def of(self, text: str) -> np.ndarray:
         """Sorted hashes of the distinct terms, which are the lower-cased runs of letters, digits and underscores."""
         distinct = set(_TERM.findall(text.lower()))
-        return np.sort(np.fromiter((self[t] for t in distinct), dtype=np.uint64, count=len(distinct)))
+        return np.sort(np.fromiter(map(self.__getitem__, distinct), dtype=np.uint64, count=len(distinct)))
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each term, in parts of about COUNTED terms."""
-    counts, hashes = Counter(), TermHashes()
+    counts = Counter()
 
     def part() -> pa.RecordBatch:
-        n = len(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.fromiter(counts, np.uint64, n).view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, n))], names=["term", "n"],
-        )
+        terms = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in counts], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["term", "n"])
 
     for batch in batches:
         for text in batch.column("text"):
-            counts.update(hashes.of(text.as_py()).tolist())
+            counts.update(set(_TERM.findall(text.as_py().lower())))
             if len(counts) >= COUNTED:
                 yield part()
                 counts.clear()
@@ -85,16 +84,6 @@ def lexicon(docs: DataFrame) -> np.ndarray:
     return np.sort(np.asarray(band.column("term"), dtype=np.int64).view(np.uint64))
 
 
-def _mixed(terms: np.ndarray) -> np.ndarray:
-    """A random number per term and part: terms by rows, parts by columns."""
-    x = terms[:, None] ^ _SEEDS[None, :]
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
 class Fingerprint:
     """Level, signatures at it and at the next one (0: the part holds no term of the document), and whether terms of the band were found."""
 
@@ -106,12 +95,16 @@ class Fingerprint:
         own = inside if self.banded else terms
         # 2^level is more than the number of terms: a part holds between half a term and one
         self.level = int(len(own)).bit_length()
-        found = [_drawn(own[k:k + 4096], self.level) for k in range(0, len(own), 4096)]
-        part, term, more = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), own, np.zeros(0, bool))
+        drawn = [_drawn(own[k:k + 4096], self.level) for k in range(0, len(own), 4096)]
+        if len(drawn) != 1:
+            part, term, more = (np.concatenate(x) for x in zip(*drawn, strict=True)) if drawn else (np.zeros(0, np.int64), own, np.zeros(0, bool))
+            order = np.argsort(part, kind="stable")
+            drawn = [(part[order], term[order], more[order])]
+        part, term, more = drawn[0]
         self.signs = [_signatures(part, term), _signatures(part[more], term[more])]
 
     def __str__(self) -> str:
-        return f"{'b' if self.banded else 'o'}{self.level:02d}:" + ":".join("".join(f"{s:04x}" for s in signs) for signs in self.signs)
+        return f"{'b' if self.banded else 'o'}{self.level:02d}:" + ":".join(signs.astype(">u2").tobytes().hex() for signs in self.signs)
 
     def likeness(self, other: Fingerprint) -> float:
         """Share of equal signatures at the levels both have, of those that are not empty in both."""
@@ -126,20 +119,19 @@ class Fingerprint:
 
 
 def _drawn(terms: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parts and terms at ``level``, and whether they also stand in the part at the next level."""
-    mixed = _mixed(terms)
-    row, part = np.nonzero(mixed < np.uint64(1 << (64 - level)))
-    return part, terms[row], mixed[row, part] < np.uint64(1 << (63 - level))
+    """Parts and sorted terms of each part at ``level``, and whether they also stand in the part at the next level."""
+    mixed = _FACTORS[:, None] * terms[None, :]
+    part, at = np.nonzero(mixed < np.uint64(1 << (64 - level)))
+    return part, terms[at], mixed[part, at] < np.uint64(1 << (63 - level))
 
 
 def _signatures(part: np.ndarray, term: np.ndarray) -> np.ndarray:
     out = np.zeros(PARTS, dtype=np.int64)
     if len(part):
-        order = np.lexsort((term, part))
-        sorted_terms, part = term[order].tobytes(), part[order]
+        terms = term.tobytes()
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        ends = [*first[1:].tolist(), len(part)]
-        out[part[first]] = [1 + xxhash.xxh64_intdigest(sorted_terms[8 * a:8 * b]) % 65535 for a, b in zip(first.tolist(), ends, strict=True)]
+        at = [*(8 * first).tolist(), len(terms)]
+        out[part[first]] = [1 + xxhash.xxh64_intdigest(terms[a:b]) % 65535 for a, b in zip(at, at[1:], strict=False)]
     return out
 
 
