@@ -86,10 +86,26 @@ def sql_degrees(source: str, out: str, x: str = "x", y: str = "y") -> str:
         degrees(chi + {lat}) AS lat FROM {out}_3)"""
 
 
+# ---------------------------------------------------------------- snapshots
+#: Six days of readings are one snapshot: the last reading of each station in it moves the station's temperature.
+SNAPSHOT = "CAST(floor((day(ts) - 1) / 6) AS INT)"
+
+
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Stations of an archive: one row per snapshot and station with a reading in it."""
+    readings = table(spark, sf, "events").selectExpr(f"{SNAPSHOT} AS snapshot", "user_id AS station_id", "ts", "value")
+    last = readings.groupBy("snapshot", "station_id").agg(F.max_by("value", "ts").alias("value"))
+    moved = metric_stations(spark, sf).join(last, "station_id")
+    return moved.withColumn("temp", F.expr("temp + value / 20E0 - snapshot * dem / 2000E0"))
+
+
 SQL_METRIC = sql_metres("uniq", "proj")
 WITH_STATIONS = f"WITH {SQL_STATIONS}"
 WITH_UNIQUE = f"{WITH_STATIONS}, {SQL_UNIQUE}"
 WITH_METRIC = f"{WITH_UNIQUE}, {SQL_METRIC}"
+SQL_SNAPSHOTS = f"""lastread AS (SELECT {SNAPSHOT} AS snapshot, user_id AS station_id, max_by(value, ts) AS value FROM events GROUP BY 1, 2),
+    snaps AS (SELECT snapshot, proj.* EXCLUDE (temp), temp + value / 20E0 - snapshot * dem / 2000E0 AS temp FROM proj JOIN lastread USING (station_id))"""
+WITH_SNAPSHOTS = f"{WITH_METRIC}, {SQL_SNAPSHOTS}"
 
 # ---------------------------------------------------------------- rasters
 WIDTH = 50

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.fields import raster_set
-from registry.fixtures import WITH_METRIC, bands, grid_spec, metas, metric_stations, r, ring_edges, stations, unique_stations
+from registry.fixtures import WITH_METRIC, WITH_SNAPSHOTS, bands, grid_spec, metas, metric_stations, r, ring_edges, snapshots, stations, unique_stations
 from stationgrid.config import AnalysisConfig, TreeConfig
 from stationgrid.functions.hashing import key_uniform
 from stationgrid.functions.stats import medians
 from stationgrid.models.stack import Ensemble, StackModel
-from stationgrid.models.trend import HuberTrend
+from stationgrid.models.trend import HuberTrend, KeyedTrends
 from stationgrid.operators.features import RasterSet
 from stationgrid.operators.kriging import KrigingBaseline, KrigingModel, local_predictions
 from stationgrid.operators.variogram import fitted_variogram
@@ -122,3 +122,20 @@ def whole_analysis(spark, sf):
     rasters = RasterSet.prepare(bands(spark, sf), metas(spark, sf), CONFIG)
     result = analyse(stations(spark, sf).drop("dem"), rasters, ring_edges(spark), grid_spec(spark, sf), CONFIG)
     return result.field.select("r", "c", r("temperature", 4), r("uncertainty", 4))
+
+
+@query("MOD1_snapshots", f"{WITH_SNAPSHOTS} SELECT snapshot, count(*) AS stations, true AS as_alone FROM snaps GROUP BY snapshot")
+def trends_of_snapshots(spark, sf):
+    """All snapshots' trends fitted in one job; no other fit of a snapshot's rows alone has a lower loss."""
+    rows = snapshots(spark, sf)
+    names = list(CONFIG.trend_features)
+    fills = medians(rows, names)
+    trends = KeyedTrends.fit(rows, names, fills, CONFIG.huber_epsilon, ["snapshot"])
+    scored = trends.predict(rows)
+    alone = None
+    for (snapshot,) in rows.select("snapshot").distinct().collect():
+        mine = scored.filter(F.col("snapshot") == snapshot)
+        one = mine.withColumn("alone", HuberTrend.fit(mine, names, fills, CONFIG.huber_epsilon, mine.count()).column(mine))
+        alone = one if alone is None else alone.unionByName(one)
+    near = F.max(F.abs(F.col("alone") - F.col("trend"))) < 0.01
+    return alone.groupBy("snapshot").agg(F.count("*").alias("stations"), near.alias("as_alone"))

@@ -9,6 +9,7 @@ from registry.fixtures import (
     SQL_BANDS,
     SQL_EDGES,
     WITH_METRIC,
+    WITH_SNAPSHOTS,
     WITH_STATIONS,
     WITH_UNIQUE,
     dem_pixels,
@@ -16,6 +17,7 @@ from registry.fixtures import (
     metric_stations,
     r,
     ring_edges,
+    snapshots,
     sql_degrees,
     sql_inside,
     sql_metres,
@@ -29,7 +31,7 @@ from stationgrid.operators.geocode import locate_stations, lookup_cached, resolv
 from stationgrid.operators.features import coast_distance
 from stationgrid.operators.knn import nearest
 from stationgrid.operators.proximity import mountain_distance, mountain_pixels, remove_buffered, spatial_lag
-from stationgrid.operators.qc import dynamic_lapse_rate, judge_stations, lapse_gate, neighbour_consensus, spatial_qc, worst_outliers
+from stationgrid.operators.qc import dynamic_lapse_rate, dynamic_lapse_rates, judge_stations, lapse_gate, neighbour_consensus, spatial_qc, worst_outliers
 from stationgrid.session import scratch_path
 from stationgrid.sinks.geocache import upsert_geocode_cache
 from stationgrid.sources.tables import read_geocode_cache
@@ -242,3 +244,30 @@ def kept_stations(spark, sf):
 def five_worst(spark, sf):
     judged = judge_stations(metric_stations(spark, sf), 0.0065, CONFIG)
     return worst_outliers(judged, 5).select("station_id", "source", r("deviation"))
+
+
+# ---------------------------------------------------------------- an archive of snapshots
+@query("QC1_snapshots", f"""{WITH_SNAPSHOTS} SELECT snapshot, count(*) FILTER (WHERE t) AS n_trusted, max(dem) FILTER (WHERE t) - min(dem) FILTER (WHERE t) AS spread, true AS as_alone
+    FROM (SELECT *, coalesce(source = 'IMGW' AND isModel = false, false) AS t FROM snaps) q GROUP BY snapshot""")
+def lapse_rates_of_snapshots(spark, sf):
+    """All snapshots' lapse rates fitted in one job, each beside a fit of its rows alone."""
+    rows = snapshots(spark, sf)
+    alone = [(s, dynamic_lapse_rate(rows.filter(F.col("snapshot") == s), CONFIG)) for (s,) in rows.select("snapshot").distinct().collect()]
+    one = spark.createDataFrame(alone, "snapshot int, rate double")
+    return dynamic_lapse_rates(rows, CONFIG, ("snapshot",)).join(one, "snapshot").select(
+        "snapshot", "n_trusted", "spread", (F.abs(F.col("lapse_rate") - F.col("rate")) < 2e-6).alias("as_alone")
+    )
+
+
+_SNAPSHOT_QC = f"""pairs AS (SELECT a.snapshot, a.station_id, a.temp, a.dem, a.source, a.isModel, b.station_id AS nbr_id, b.temp AS nt, b.dem AS nd,
+        sqrt(power(a.x_pl - b.x_pl, 2) + power(a.y_pl - b.y_pl, 2)) AS distance FROM snaps a JOIN snaps b ON a.snapshot = b.snapshot AND a.station_id <> b.station_id),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot, station_id ORDER BY distance, nbr_id) AS rank FROM pairs) q WHERE rank <= 10),
+    cons AS (SELECT snapshot, station_id, quantile_cont(nt + 0.001E0 * (snapshot + 5) * (nd - dem), 0.5) AS expected FROM near GROUP BY snapshot, station_id)"""
+
+
+@query("QC2_snapshots", f"{WITH_SNAPSHOTS}, {_SNAPSHOT_QC} SELECT snapshot, station_id, round(expected, 6) AS expected FROM cons")
+def consensus_of_snapshots(spark, sf):
+    """Neighbour consensus of every snapshot with a lapse rate of its own."""
+    rows = snapshots(spark, sf)
+    rates = rows.select("snapshot").distinct().withColumn("lapse_rate", F.expr("0.001E0 * (snapshot + 5)"))
+    return neighbour_consensus(rows, rates, CONFIG, by=("snapshot",)).select("snapshot", "station_id", r("expected"))

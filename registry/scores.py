@@ -9,12 +9,14 @@ from registry.fixtures import (
     MEMBERS,
     SQL_DEM,
     WITH_METRIC,
+    WITH_SNAPSHOTS,
     WITH_PREDICTIONS,
     WITH_STATIONS,
     dem_pixels,
     metric_stations,
     predictions,
     r,
+    snapshots,
     stations,
     table,
 )
@@ -226,3 +228,29 @@ def variogram_fit(spark, sf):
 @query("KRG3_spherical", _fit_sql("spherical"))
 def spherical_fit(spark, sf):
     return _fitted(spark, sf, "spherical")
+
+
+# ---------------------------------------------------------------- variograms of an archive
+_SNAPSHOT_LAGS = f"""pr AS (SELECT a.snapshot, sqrt(power(a.x_pl - b.x_pl, 2) + power(a.y_pl - b.y_pl, 2)) AS d, 0.5E0 * power(a.temp - b.temp, 2) AS g
+        FROM snaps a JOIN snaps b ON a.snapshot = b.snapshot AND a.station_id < b.station_id),
+      lags AS (SELECT snapshot, CAST(least(floor(d / ({REACH} / 20)), 19) AS INT) AS lag, count(*) AS n_pairs, avg(d) AS distance, avg(g) AS gamma
+        FROM pr WHERE d <= {REACH} GROUP BY 1, 2)"""
+
+
+@query("AGG16_snapshots", f"{WITH_SNAPSHOTS}, {_SNAPSHOT_LAGS} SELECT snapshot, lag, n_pairs, round(distance, 3) AS distance, round(gamma, 6) AS gamma FROM lags")
+def variogram_lags_of_snapshots(spark, sf):
+    return semivariogram(snapshots(spark, sf), "temp", 20, REACH, by=("snapshot",)).select("snapshot", "lag", "n_pairs", r("distance", 3), r("gamma"))
+
+
+@query("KRG3_snapshots", f"{WITH_SNAPSHOTS} SELECT DISTINCT snapshot, true AS as_alone FROM snaps")
+def variogram_fits_of_snapshots(spark, sf):
+    """All snapshots' variograms fitted in one job, each beside a fit of its rows alone."""
+    rows = snapshots(spark, sf)
+    together = fit_variogram(semivariogram(rows, "temp", 20, REACH, by=("snapshot",)), "exponential", by=("snapshot",))
+    alone = None
+    for (snapshot,) in rows.select("snapshot").distinct().collect():
+        one = fit_variogram(semivariogram(rows.filter(F.col("snapshot") == snapshot), "temp", 20, REACH), "exponential")
+        one = one.select(F.lit(snapshot).alias("snapshot"), *(F.col(c).alias(f"{c}_1") for c in one.columns))
+        alone = one if alone is None else alone.unionByName(one)
+    same = [F.abs(F.col(c) - F.col(f"{c}_1")) <= 1e-9 * (1 + F.abs(F.col(c))) for c in ("psill", "range", "nugget", "loss")]
+    return together.join(alone, "snapshot").select("snapshot", (same[0] & same[1] & same[2] & same[3]).alias("as_alone"))

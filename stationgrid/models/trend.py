@@ -10,7 +10,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationgrid.functions.stats import exact_quantiles
-from stationgrid.operators.sizes import sized_for_iteration
+from stationgrid.models.robust import huber_fits
+from stationgrid.operators.sizes import broadcast_if_small, sized_for_iteration
 
 ALPHA = 1e-4  # weight of the squared coefficients in the summed objective
 
@@ -65,3 +66,33 @@ class HuberTrend:
         for name, weight in zip(self.features, self.coefficients):
             total = total + F.lit(weight) * self.scale.column(column_or_default(df, name, self.fills), name)
         return total
+
+
+@dataclass(frozen=True)
+class KeyedTrends:
+    """One robust trend per key (a snapshot, say), all fitted in the same passes.
+
+    Features are scaled alike for all keys; the scale only matters for the tiny weight of the squared coefficients.
+    """
+
+    by: tuple[str, ...]
+    features: tuple[str, ...]
+    fills: Mapping[str, float]
+    scale: RobustScale
+    fits: DataFrame  # by..., n, coefficients, intercept, scale, settled
+
+    @staticmethod
+    def fit(df: DataFrame, features: Sequence[str], fills: Mapping[str, float], epsilon: float, by: Sequence[str], label: str = "temp") -> KeyedTrends:
+        scale = RobustScale.fit(df, features)
+        scaled = df.select(*by, label, *(scale.column(column_or_default(df, f, fills), f).alias(f"_f{i}") for i, f in enumerate(features)))
+        fits = huber_fits(scaled, [f"_f{i}" for i in range(len(features))], label, by, epsilon, ALPHA)
+        return KeyedTrends(tuple(by), tuple(features), dict(fills), scale, fits)
+
+    def predict(self, df: DataFrame, name: str = "trend") -> DataFrame:
+        """``df`` with the trend of its key; NULL where the key has none."""
+        known = self.fits.select(*self.by, F.col("coefficients").alias("_b"), F.col("intercept").alias("_c"))
+        joined = df.join(broadcast_if_small(known), [*self.by], "left")
+        total = F.col("_c")
+        for i, feature in enumerate(self.features):
+            total = total + F.col("_b")[i] * self.scale.column(column_or_default(df, feature, self.fills), feature)
+        return joined.withColumn(name, total).drop("_b", "_c")

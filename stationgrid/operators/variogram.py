@@ -32,41 +32,41 @@ class Variogram:
         return self.psill * shape + self.nugget
 
 
-def _paired_blocks(points: DataFrame, value: str, reach: float, id_col: str, block_rows: int) -> DataFrame:
-    """Points tagged with every block pair they take part in: ``x_pl, y_pl, z, pair, side``.
+def _paired_blocks(points: DataFrame, value: str, reach: float, id_col: str, block_rows: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points tagged with every block pair they take part in: ``by..., x_pl, y_pl, z, pair, side``.
 
     Cells have the side ``reach``, so pairs within it lie in one cell or two neighbours; a
     crowded cell is dealt into blocks by id, which bounds what one task holds.
     """
     cell = [F.floor(F.col(c) / reach).alias(n) for c, n in (("x_pl", "cx"), ("y_pl", "cy"))]
-    rows = points.select("x_pl", "y_pl", F.col(value).cast("double").alias("z"), F.xxhash64(id_col).alias("h"), *cell).na.drop()
-    cells = rows.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    dealt = rows.join(cells, ["cx", "cy"]).withColumn("block", F.pmod("h", F.col("blocks"))).drop("h", "blocks")
+    rows = points.select(*by, "x_pl", "y_pl", F.col(value).cast("double").alias("z"), F.xxhash64(id_col).alias("h"), *cell).na.drop()
+    cells = rows.groupBy(*by, "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    dealt = rows.join(cells, [*by, "cx", "cy"]).withColumn("block", F.pmod("h", F.col("blocks"))).drop("h", "blocks")
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in FORWARD))).alias("step")
-    there = cells.select("cx", "cy", "blocks", steps).select(
-        "cx", "cy", "blocks", (F.col("cx") + F.col("step.i")).alias("ox"), (F.col("cy") + F.col("step.j")).alias("oy")
-    ).join(cells.select(F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("blocks").alias("others")), ["ox", "oy"])
+    there = cells.select(*by, "cx", "cy", "blocks", steps).select(
+        *by, "cx", "cy", "blocks", (F.col("cx") + F.col("step.i")).alias("ox"), (F.col("cy") + F.col("step.j")).alias("oy")
+    ).join(cells.select(*by, F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("blocks").alias("others")), [*by, "ox", "oy"])
     count = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
     pairs = there.withColumn("block", count(F.col("blocks"))).withColumn("other", count(F.col("others")))
     same = (F.col("cx") == F.col("ox")) & (F.col("cy") == F.col("oy"))
     pairs = pairs.filter(~same | (F.col("block") <= F.col("other"))).withColumn(
-        "pair", F.struct("cx", "cy", "block", "ox", "oy", "other", (same & (F.col("block") == F.col("other"))).alias("own"))
+        "pair", F.struct(*by, "cx", "cy", "block", "ox", "oy", "other", (same & (F.col("block") == F.col("other"))).alias("own"))
     )
-    left = dealt.join(pairs.select("cx", "cy", "block", "pair"), ["cx", "cy", "block"])
+    left = dealt.join(pairs.select(*by, "cx", "cy", "block", "pair"), [*by, "cx", "cy", "block"])
     right = dealt.join(
         pairs.filter(~same | (F.col("block") < F.col("other"))).select(
-            F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.col("other").alias("block"), "pair"
-        ), ["cx", "cy", "block"],
+            *by, F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.col("other").alias("block"), "pair"
+        ), [*by, "cx", "cy", "block"],
     )
-    columns = ["x_pl", "y_pl", "z", "pair", F.col("pair.own").alias("own")]
+    columns = [*by, "x_pl", "y_pl", "z", "pair", F.col("pair.own").alias("own")]
     return left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
 
 
 def semivariogram(points: DataFrame, value: str, lags: int, reach: float, id_col: str = "station_id",
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(lag, n_pairs, distance, gamma)`` over ``lags`` equal bins of pair distance from 0 to ``reach`` metres.
+                  block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by..., lag, n_pairs, distance, gamma)`` over ``lags`` equal bins of pair distance from 0 to ``reach`` metres.
 
-    All points take part, in one pass; only per-bin sums leave a task.
+    All points take part, in one pass; only per-bin sums leave a task. Points pair up with those of the same ``by`` keys, and each key has its bins.
     """
     width = reach / lags
 
@@ -84,15 +84,16 @@ def semivariogram(points: DataFrame, value: str, lags: int, reach: float, id_col
         d, g = d[near], g[near]
         lag = np.minimum((d / width).astype(int), lags - 1)
         return pd.DataFrame({
-            "lag": np.arange(lags), "n": np.bincount(lag, minlength=lags), "sum_d": np.bincount(lag, d, lags), "sum_g": np.bincount(lag, g, lags),
+            **{k: [block[k].iloc[0]] * lags for k in by}, "lag": np.arange(lags), "n": np.bincount(lag, minlength=lags), "sum_d": np.bincount(lag, d, lags), "sum_g": np.bincount(lag, g, lags),
         })
 
-    partial = _paired_blocks(points, value, reach, id_col, block_rows).groupBy("pair").applyInPandas(
-        sums, "lag int, n bigint, sum_d double, sum_g double"
+    key_types = "".join(f"`{k}` {points.schema[k].dataType.simpleString()}, " for k in by)
+    partial = _paired_blocks(points, value, reach, id_col, block_rows, by).groupBy("pair").applyInPandas(
+        sums, f"{key_types}lag int, n bigint, sum_d double, sum_g double"
     )
-    total = partial.groupBy("lag").agg(F.sum("n").alias("n_pairs"), F.sum("sum_d").alias("d"), F.sum("sum_g").alias("g"))
+    total = partial.groupBy(*by, "lag").agg(F.sum("n").alias("n_pairs"), F.sum("sum_d").alias("d"), F.sum("sum_g").alias("g"))
     return total.filter("n_pairs > 0").select(
-        "lag", "n_pairs", (F.col("d") / F.col("n_pairs")).alias("distance"), (F.col("g") / F.col("n_pairs")).alias("gamma")
+        *by, "lag", "n_pairs", (F.col("d") / F.col("n_pairs")).alias("distance"), (F.col("g") / F.col("n_pairs")).alias("gamma")
     )
 
 
@@ -103,12 +104,12 @@ def _shape(kind: str, h: Column, reach: Column) -> Column:
     return F.when(u <= 1.0, 1.5 * u - 0.5 * u * u * u).otherwise(F.lit(1.0))
 
 
-def _score(candidates: DataFrame, kind: str) -> DataFrame:
+def _score(candidates: DataFrame, kind: str, by: tuple[str, ...]) -> DataFrame:
     """Best sill and nugget, and the soft-L1 loss, of each candidate range."""
-    rows = candidates.select("reach", "max_d", "max_g", "lags", F.inline("lags"))
+    rows = candidates.select(*by, "reach", "max_d", "max_g", "lags", F.inline("lags"))
     rows = rows.withColumn("f", _shape(kind, F.col("distance"), F.col("reach")))
     f, g = F.col("f"), F.col("gamma")
-    line = rows.groupBy("reach", "max_d", "max_g").agg(
+    line = rows.groupBy(*by, "reach", "max_d", "max_g").agg(
         F.first("lags").alias("lags"),
         F.coalesce(F.regr_slope(g, f), F.lit(0.0)).alias("slope"),
         F.coalesce(F.regr_intercept(g, f), F.avg(g)).alias("intercept"),
@@ -122,34 +123,34 @@ def _score(candidates: DataFrame, kind: str) -> DataFrame:
     sized = line.withColumns({"nugget": nugget, "psill": psill})
     again = sized.select("*", F.inline("lags"))
     miss = F.col("psill") * _shape(kind, F.col("distance"), F.col("reach")) + F.col("nugget") - F.col("gamma")
-    return again.groupBy("reach", "psill", "nugget", "max_d", "max_g").agg(
+    return again.groupBy(*by, "reach", "psill", "nugget", "max_d", "max_g").agg(
         F.first("lags").alias("lags"), F.sum(2.0 * (F.sqrt(1.0 + miss * miss) - 1.0)).alias("loss")
     )
 
 
-def fit_variogram(lags: DataFrame, kind: str, candidates: int = CANDIDATES) -> DataFrame:
-    """One row ``(psill, range, nugget, loss)`` from ``(lag, distance, gamma)`` rows.
+def fit_variogram(lags: DataFrame, kind: str, candidates: int = CANDIDATES, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``(by..., psill, range, nugget, loss)`` per key from ``(by..., lag, distance, gamma)`` rows.
 
     For a given range the other two parameters are a line fit, so only the range is
     searched: a grid over (0, largest lag], then one grid around the winner. All
     candidates are scored side by side by grouping.
     """
-    one = lags.agg(
+    one = lags.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct("distance", "gamma"))).alias("lags"),
         F.max("distance").alias("max_d"), F.max("gamma").alias("max_g"),
     ).filter(F.col("max_d") > 0)
     coarse = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(candidates))).alias("i")).withColumn(
         "reach", F.col("max_d") * F.col("i") / candidates
     )
-    best = _score(coarse, kind).agg(F.min(F.struct("loss", "reach", "max_d", "max_g", "lags")).alias("b")).select("b.*")
+    best = _score(coarse, kind, by).groupBy(*by).agg(F.min(F.struct("loss", "reach", "max_d", "max_g", "lags")).alias("b")).select(*by, "b.*")
     half = candidates // 2
     fine = best.select(
-        F.col("reach").alias("centre"), "max_d", "max_g", "lags", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("j")
+        *by, F.col("reach").alias("centre"), "max_d", "max_g", "lags", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("j")
     ).withColumn("reach", F.col("centre") + F.col("max_d") / candidates * F.col("j") / half)
     fine = fine.filter((F.col("reach") > 0) & (F.col("reach") <= F.col("max_d")))
-    winner = _score(fine, kind).agg(F.min(F.struct("loss", "reach", "psill", "nugget")).alias("w"))
+    winner = _score(fine, kind, by).groupBy(*by).agg(F.min(F.struct("loss", "reach", "psill", "nugget")).alias("w"))
     return winner.filter(F.col("w").isNotNull()).select(
-        "w.psill", F.col("w.reach").alias("range"), "w.nugget", "w.loss"
+        *by, "w.psill", F.col("w.reach").alias("range"), "w.nugget", "w.loss"
     )
 
 
