@@ -6,7 +6,22 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.fields import raster_set
-from registry.fixtures import WITH_METRIC, WITH_SNAPSHOTS, bands, grid_spec, metas, metric_stations, r, ring_edges, snapshots, stations, unique_stations
+from registry.fixtures import (
+    SQL_EDGES,
+    WITH_GRID,
+    WITH_METRIC,
+    WITH_SNAPSHOTS,
+    bands,
+    grid_spec,
+    metas,
+    metric_stations,
+    r,
+    ring_edges,
+    snapshots,
+    sql_inside,
+    stations,
+    unique_stations,
+)
 from stationgrid.config import AnalysisConfig, TreeConfig
 from stationgrid.functions.hashing import key_uniform
 from stationgrid.functions.stats import medians
@@ -116,6 +131,25 @@ def ensemble(spark, sf):
     return fitted.predict(rows).select("station_id", "temp", r("predicted", 4), r("iqr_sigma", 4))
 
 
+@query("ENS1_checks", f"{WITH_METRIC} SELECT count(*) AS predictions, count(DISTINCT station_id) AS stations, true AS between_members, true AS kriging_helps FROM proj")
+def ensemble_properties(spark, sf):
+    """One prediction per station, between the members it is the median of; kriging brings it nearer to the readings."""
+    rows = training(spark, sf)
+    fitted = Ensemble.fit(rows, ENV, CONFIG)
+    scored = fitted.predict(rows)
+    columns = [f"m{i}" for i in range(len(fitted.members))]
+    for column, member in zip(columns, fitted.members):
+        scored = member.without_kriging(scored, column)
+    clamp = CONFIG.kriging_clamp
+    between = (F.col("predicted") >= F.least(*columns) - clamp) & (F.col("predicted") <= F.greatest(*columns) + clamp) & (F.col("iqr_sigma") >= 0)
+    squares = lambda c: F.sum((c - F.col("temp")) * (c - F.col("temp")))
+    plain = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
+    return scored.agg(
+        F.count("predicted").alias("predictions"), F.countDistinct("station_id").alias("stations"), F.min(between).alias("between_members"),
+        (squares(F.col("predicted")) < squares(plain)).alias("kriging_helps"),
+    )
+
+
 @query("PIP1")
 def whole_analysis(spark, sf):
     """Stations and rasters to a smoothed field of temperature and uncertainty."""
@@ -124,6 +158,13 @@ def whole_analysis(spark, sf):
     return result.field.select("r", "c", r("temperature", 4), r("uncertainty", 4))
 
 
+@query("PIP1_mask", f"{WITH_GRID}, {SQL_EDGES} SELECT r, c, {sql_inside('cells', 'r', 'x', 'y')} AS predicted, {sql_inside('cells', 'r', 'x', 'y')} AS plausible FROM cells")
+def analysis_covers_the_mask(spark, sf):
+    """Exactly the cells inside the boundary have a temperature, a plausible one with an uncertainty."""
+    plausible = F.coalesce(F.col("temperature").between(-60.0, 60.0) & (F.col("uncertainty") >= 0), F.lit(False))
+    return whole_analysis(spark, sf).select("r", "c", F.col("temperature").isNotNull().alias("predicted"), plausible.alias("plausible"))
+
+
 @query("MOD1_snapshots", f"{WITH_SNAPSHOTS} SELECT snapshot, count(*) AS stations, true AS as_alone FROM snaps GROUP BY snapshot")
 def trends_of_snapshots(spark, sf):
     """All snapshots' trends fitted in one job; no other fit of a snapshot's rows alone has a lower loss."""

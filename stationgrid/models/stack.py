@@ -20,7 +20,7 @@ from stationgrid.operators.evaluate import (
     summarise_importance,
     with_trend_rows,
 )
-from stationgrid.operators.kriging import KrigingModel, clamp_residual
+from stationgrid.operators.kriging import KrigingModel, clamp_residual, shared_points, shared_predictions
 from stationgrid.operators.sizes import sized_for_iteration
 from stationgrid.operators.split import bag
 from stationgrid.session import shared_dir
@@ -83,6 +83,10 @@ class StackModel:
         scored = self.trees.transform(_assemble(df, self.env, self.env_fills))
         return scored.withColumnRenamed("prediction", name).drop(_VECTOR)
 
+    def without_kriging(self, df: DataFrame, name: str) -> DataFrame:
+        """Add trend and trees, row by row."""
+        return self._with_trees(df, "_t").withColumn(name, self.trend.column(df) + F.col("_t")).drop("_t")
+
     def predict(self, df: DataFrame, name: str = "predicted", id_col: str = "station_id") -> DataFrame:
         """Add the prediction; rows keep their order of arrival and nothing is dropped."""
         scored = self._with_trees(df, "_t")
@@ -114,6 +118,7 @@ class Ensemble:
     config: AnalysisConfig
     env: tuple[str, ...]
     members: list[StackModel]
+    points: DataFrame | None = None  # stations of all members, for one search
 
     @staticmethod
     def fit(df: DataFrame, env: Sequence[str], config: AnalysisConfig, id_col: str = "station_id") -> Ensemble:
@@ -128,15 +133,26 @@ class Ensemble:
 
         with ThreadPoolExecutor(max_workers=len(config.ensemble_seeds)) as pool:
             members = list(pool.map(inheritable_thread_target(spark)(member), config.ensemble_seeds))
-        return Ensemble(config, tuple(env), members)
+        kriged = [m.kriging for m in members]
+        points = shared_points(kriged, rows, id_col) if any(kriged) else None
+        return Ensemble(config, tuple(env), members, points)
 
     def predict(self, df: DataFrame, name: str = "predicted", sigma: str = "iqr_sigma",
                 id_col: str = "station_id") -> DataFrame:
-        """Median over members and the scaled interquartile range, in place."""
+        """Median over members and the scaled interquartile range, in place.
+
+        Trend and trees are added row by row; the kriging of all members takes one neighbour search and one join.
+        """
         columns = [f"_m{i}" for i in range(len(self.members))]
+        scored = df
         for column, member in zip(columns, self.members):
-            df = member.predict(df, column, id_col)
-        return reduce_members(df, columns, name, sigma).drop(*columns)
+            scored = member.without_kriging(scored, column)
+        if self.points is not None:
+            models = [m.kriging.model if m.kriging is not None else None for m in self.members]
+            kriged = shared_predictions(df, self.points, models, self.config.kriging_neighbors, self.config.bag_fraction, id_col)
+            scored = scored.join(kriged.withColumnRenamed("kriged", "_k"), id_col, "left")
+            scored = scored.withColumns({c: F.col(c) + clamp_residual(F.col("_k")[i], self.config.kriging_clamp) for i, c in enumerate(columns)}).drop("_k")
+        return reduce_members(scored, columns, name, sigma).drop(*columns)
 
     def importance(self, spark) -> DataFrame:
         """``(feature, importance, importance_std)`` with the trend rows, best first."""

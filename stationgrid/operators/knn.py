@@ -125,8 +125,9 @@ def nearest(
     distinct_base: bool = False,
     leaf_rows: int = LEAF_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    positions: bool = False,
 ) -> DataFrame:
-    """``(by..., query_id, nbr_id, distance, rank, nbr_<payload>...)``, rank 1..k.
+    """``(by..., query_id, nbr_id, distance, rank, nbr_<payload>...)``, rank 1..k; with ``positions`` also the query's own ``qx, qy``.
 
     Queries are expected at distinct locations (stations after de-duplication,
     grid cells); for co-located queries use :func:`nearest_of_locations`. Base
@@ -153,7 +154,7 @@ def nearest(
     built = _build_tree(points, by, leaf_rows)
     if built is None:
         empty = asked.limit(0).join(points, by or F.lit(False)).withColumn("_d2", F.lit(0.0))
-        return _ranked(empty, by, k, query_id, payload)
+        return _ranked(empty, by, k, query_id, payload, positions)
     tree, nodes, sizes = built
 
     def hint(df: DataFrame, rows: int) -> DataFrame:
@@ -189,7 +190,7 @@ def nearest(
     wanted = F.coalesce(F.col("_d2") <= F.col("_bound"), F.lit(True))
     if exclude_self:
         wanted = wanted & (F.col("_bid") != F.col("_qid"))
-    return _ranked(pairs.filter(wanted), by, k, query_id, payload)
+    return _ranked(pairs.filter(wanted), by, k, query_id, payload, positions)
 
 
 def _within_bound(cells: DataFrame, near: Column, far: Column, owner: list[str], need: int) -> DataFrame:
@@ -240,11 +241,12 @@ def _descend(groups, nodes, tree: _Tree, by: list[str], need: int, leaf_rows: in
     return frontier.drop(*box)
 
 
-def _ranked(pairs: DataFrame, by: list[str], k: int, query_id: str, payload) -> DataFrame:
+def _ranked(pairs: DataFrame, by: list[str], k: int, query_id: str, payload, positions: bool = False) -> DataFrame:
     closest = Window.partitionBy(*by, "_qid").orderBy("_d2", "_bid")
     return pairs.withColumn("rank", F.row_number().over(closest)).filter(F.col("rank") <= k).select(
         *by, F.col("_qid").alias(query_id), F.col("_bid").alias("nbr_id"),
         F.sqrt("_d2").alias("distance"), "rank", *[f"nbr_{c}" for c in payload],
+        *([F.col("_qx").alias("qx"), F.col("_qy").alias("qy")] if positions else []),
     )
 
 

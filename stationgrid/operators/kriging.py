@@ -7,17 +7,20 @@ approximation, and it does not depend on how many points there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationgrid.config import AnalysisConfig
 from stationgrid.functions.hashing import key_uniform
 from stationgrid.operators.knn import nearest
 from stationgrid.operators.variogram import Variogram, fitted_variogram
+from stationgrid.session import cut_lineage
 
 COINCIDENT = 1e-10
 TARGETS_PER_CHUNK = 2000
@@ -47,13 +50,17 @@ def _solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _local_batch(model: Variogram, frame: pd.DataFrame) -> np.ndarray:
     """Predictions of a batch whose targets all have the same number of neighbours."""
     nx, ny, nz = (np.stack(frame[c].to_numpy()) for c in ("nx", "ny", "nz"))
+    return _kriged(model, nx, ny, nz, frame["tx"].to_numpy(), frame["ty"].to_numpy())
+
+
+def _kriged(model: Variogram, nx: np.ndarray, ny: np.ndarray, nz: np.ndarray, tx: np.ndarray, ty: np.ndarray) -> np.ndarray:
+    """Predictions at targets from their neighbours, a row of points each."""
     m, k = nx.shape
     system = np.ones((m, k + 1, k + 1))
     system[:, :k, :k] = _minus_gamma(model, np.hypot(nx[:, :, None] - nx[:, None, :], ny[:, :, None] - ny[:, None, :]))
     system[:, k, k] = 0.0
     right = np.ones((m, k + 1, 1))
-    tx, ty = frame["tx"].to_numpy()[:, None], frame["ty"].to_numpy()[:, None]
-    right[:, :k, 0] = _minus_gamma(model, np.hypot(nx - tx, ny - ty))
+    right[:, :k, 0] = _minus_gamma(model, np.hypot(nx - tx[:, None], ny - ty[:, None]))
     return (_solve(system, right)[:, :k, 0] * nz).sum(axis=1)
 
 
@@ -81,6 +88,85 @@ def local_predictions(targets: DataFrame, points: DataFrame, value: str, model:
     return rows.mapInPandas(score, f"{target_id} {id_type}, kriged double")
 
 
+def shared_points(fitted: Sequence[KrigingModel | None], stations: DataFrame, id_col: str = "station_id") -> DataFrame:
+    """``(_pid, x_pl, y_pl, px, py, pz)``: each station that serves any model, with arrays of its position and value in each; NaN where it does not serve."""
+    rows = None
+    for i, model in enumerate(fitted):
+        if model is not None:
+            one = model.points.select(F.col("station_id").alias("_pid"), F.lit(i).alias("i"), F.col("x_pl").alias("x"), F.col("y_pl").alias("y"), F.col(model.value).alias("z"))
+            rows = one if rows is None else rows.unionByName(one)
+    nan = F.lit(float("nan"))
+    arrays = [F.array(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col(c))), nan) for i in range(len(fitted)))).alias(f"p{c}") for c in "xyz"]
+    places = stations.select(F.col(id_col).alias("_pid"), "x_pl", "y_pl")
+    return cut_lineage(rows.groupBy("_pid").agg(*arrays).join(places, "_pid"))
+
+
+def neighbours_to_search(k: int, fraction: float) -> int:
+    """Stations among which every bag of ``fraction`` of them has ``k``, but for a few targets in ten thousand."""
+    return math.ceil(k / fraction + 4.0 * math.sqrt(k * (1.0 - fraction)) / fraction) + 2 if fraction < 1.0 else k
+
+
+def shared_predictions(targets: DataFrame, points: DataFrame, models: Sequence[Variogram | None], k: int, fraction: float = 1.0,
+                       target_id: str = "station_id", x: str = "x_pl", y: str = "y_pl") -> DataFrame:
+    """``(target_id, kriged)``: an array with the prediction of each model from its ``k`` nearest points, NULL for a missing model.
+
+    One search over the stations of all models serves them all; each then takes its own first ``k`` of what was found, and all
+    systems of a target are solved in the same batch. Where a model has fewer than ``k`` points among the stations found, these targets search
+    again twice as far, until it has, or all stations were found. ``points`` is from :func:`shared_points`.
+    """
+    count = len(models)
+    known = points.select("_pid", F.col("x_pl").alias(x), F.col("y_pl").alias(y), "px", "py", "pz").persist()
+    stations = known.count()
+    id_field = targets.schema[target_id]
+    schema = f"`{target_id}` {id_field.dataType.simpleString()}, kriged array<double>, enough boolean, tx double, ty double"
+    wide = neighbours_to_search(k, fraction)
+    asked, done = targets.select(target_id, x, y), None
+    while True:
+        wide = min(wide, max(stations, 1))
+        found = nearest(asked, known, wide, query_id=target_id, base_id="_pid", x=x, y=y, payload=("px", "py", "pz"), distinct_base=True, positions=True)
+        entry = F.struct("rank", "nbr_px", "nbr_py", "nbr_pz")
+        # at most ``wide`` entries a target
+        lists = found.groupBy(target_id).agg(F.first("qx").alias("tx"), F.first("qy").alias("ty"), F.sort_array(F.collect_list(entry)).alias("e"))
+        flat = lists.select(target_id, "tx", "ty", *(F.flatten(f"e.nbr_p{c}").alias(f"n{c}") for c in "xyz"))
+        all_found = wide >= stations
+
+        def score(batches: Iterator[pa.RecordBatch], all_found: bool = all_found) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, TARGETS_PER_CHUNK):
+                    yield _score_chunk(batch.slice(start, TARGETS_PER_CHUNK), models, k, all_found, target_id)
+
+        scored = cut_lineage(flat.mapInArrow(score, schema))
+        enough = scored.filter("enough").select(target_id, "kriged")
+        done = enough if done is None else done.unionByName(enough)
+        short = scored.filter("NOT enough")
+        if all_found or short.isEmpty():
+            break
+        asked, wide = short.select(target_id, F.col("tx").alias(x), F.col("ty").alias(y)), 2 * wide
+    known.unpersist()
+    return done
+
+
+def _score_chunk(chunk: pa.RecordBatch, models: Sequence[Variogram | None], k: int, all_found: bool, target_id: str) -> pa.RecordBatch:
+    """Predictions of all models at the targets of a chunk, whose targets found equally many stations."""
+    n, count = chunk.num_rows, len(models)
+    nx, ny, nz = (chunk.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1, count) for c in ("nx", "ny", "nz"))
+    tx, ty = (chunk.column(c).to_numpy(zero_copy_only=False) for c in ("tx", "ty"))
+    out, enough = np.full((n, count), np.nan), np.ones(n, dtype=bool)
+    for m, model in enumerate(models):
+        if model is None:
+            continue
+        serves = ~np.isnan(nz[:, :, m])
+        have = np.minimum(serves.sum(axis=1), k)
+        enough &= all_found | (have == k)
+        order = np.argsort(~serves, axis=1, kind="stable")[:, :k]  # nearest first, as they were found
+        for size in np.unique(have[have > 0]):
+            at = np.flatnonzero(have == size)
+            mine = order[at, :size]
+            out[at, m] = _kriged(model, *(np.take_along_axis(v[at, :, m], mine, axis=1) for v in (nx, ny, nz)), tx[at], ty[at])
+    kriged = pa.array([[None if np.isnan(v) else v for v in row] for row in out.tolist()], type=pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([chunk.column(target_id), kriged, pa.array(enough), chunk.column("tx"), chunk.column("ty")], names=[target_id, "kriged", "enough", "tx", "ty"])
+
+
 def clamp_residual(kriged: Column, limit: float) -> Column:
     """Kriged residuals held within ``±limit``; NaN and NULL count as no correction."""
     finite = F.when(~F.isnan(kriged), kriged)

@@ -7,7 +7,7 @@ from stationgrid.config import AnalysisConfig, TreeConfig
 from stationgrid.models.stack import Ensemble, StackModel
 from stationgrid.models.trend import ALPHA, HuberTrend
 from stationgrid.operators.evaluate import METRICS, compare_models, evaluate, reduce_members
-from stationgrid.operators.kriging import KrigingBaseline, KrigingModel, local_predictions
+from stationgrid.operators.kriging import KrigingBaseline, KrigingModel, local_predictions, neighbours_to_search, shared_points, shared_predictions
 from stationgrid.operators.qc import dynamic_lapse_rate, judge_stations
 from stationgrid.operators.split import split_stations
 from stationgrid.operators.variogram import Variogram, fit_variogram, fitted_variogram, semivariogram
@@ -154,6 +154,36 @@ def test_ensemble_predicts_median_and_spread(spark):
     assert names[0] == "wave" and set(names[1:]) == {"[S1] dem", "[S1] y_pl", "[S1] x_pl"}
 
 
+def test_shared_search_equals_one_search_per_model(spark, monkeypatch):
+    from stationgrid.operators import kriging
+
+    df, frame = points(spark, 300, 4)
+    # the thinnest model has few points, far from most targets, so that the first search is too narrow
+    kept = [F.col("station_id") % 20 != 3, F.col("station_id") % 20 != 7, F.col("x_pl") > 70]
+    fitted = [KrigingModel(df.filter(c), "z", MODEL, 12) for c in kept] + [None]
+    table = shared_points(fitted, df)
+    assert table.count() == df.filter(kept[0] | kept[1] | kept[2]).count()
+    targets = df.select((F.col("station_id") + 1000).alias("cell_id"), (F.col("x_pl") + 0.3).alias("x"), (F.col("y_pl") - 0.2).alias("y"))
+    searches = []
+    search = kriging.nearest
+    monkeypatch.setattr(kriging, "nearest", lambda q, b, k, **o: (searches.append(k), search(q, b, k, **o))[1])
+    found = {r.cell_id: r.kriged for r in shared_predictions(targets, table, [*(m.model for m in fitted[:3]), None], 12, 0.95, "cell_id", "x", "y").collect()}
+    assert len(found) == 300 and len(searches) > 1 and searches[0] == neighbours_to_search(12, 0.95)
+    monkeypatch.undo()
+    for i, model in enumerate(fitted[:3]):
+        for r in model.predict(targets, "k", "cell_id", "x", "y").collect():
+            assert found[r.cell_id][i] == pytest.approx(r.k, abs=1e-9)
+    assert {v[3] for v in found.values()} == {None}
+
+
+def test_shared_search_with_fewer_points_than_neighbours(spark):
+    df, _ = points(spark, 9, 5)
+    fitted = [KrigingModel(df.filter("station_id < 5"), "z", MODEL, 30), KrigingModel(df.filter("station_id > 3"), "z", MODEL, 30)]
+    found = {r.station_id: r.kriged for r in shared_predictions(df, shared_points(fitted, df), [MODEL, MODEL], 30, 0.95).collect()}
+    own = {r.station_id: r.z for r in df.collect()}
+    assert found[2][0] == pytest.approx(own[2]) and found[7][1] == pytest.approx(own[7]) and found[4] == pytest.approx([own[4]] * 2)
+
+
 def test_member_reduction_uses_sorted_positions(spark):
     df = spark.createDataFrame([(5.0, 1.0, 4.0, 2.0, 3.0)], "a double, b double, c double, d double, e double")
     row = reduce_members(df, ["a", "b", "c", "d", "e"]).first()
