@@ -37,6 +37,7 @@ from stationgrid.operators.evaluate import (
     uncertainty_summary,
     with_trend_rows,
 )
+from stationgrid.operators.paircells import semivariogram_by_cells
 from stationgrid.operators.variogram import fit_variogram, semivariogram
 
 MODELS = {"base": "base", "new": "new"}
@@ -190,6 +191,15 @@ def variogram_lags(spark, sf):
     return semivariogram(metric_stations(spark, sf), "temp", 20, REACH).select("lag", "n_pairs", r("distance", 3), r("gamma"))
 
 
+@query("AGG16_cells", f"{WITH_METRIC}, {_lags_sql(20)} SELECT lag, n_pairs, true AS near_mean, round(gamma, 6) AS gamma FROM lags")
+def variogram_lags_by_cells(spark, sf):
+    """Pairs counted by pairs of cells; mean distances within a thousandth of a lag of those of single pairs."""
+    s = metric_stations(spark, sf)
+    exact = semivariogram(s, "temp", 20, REACH).select("lag", F.col("distance").alias("mean"))
+    near = F.abs(F.col("distance") - F.col("mean")) <= REACH / 20 / 1000
+    return semivariogram_by_cells(s, "temp", 20, REACH).join(exact, "lag").select("lag", "n_pairs", near.alias("near_mean"), r("gamma"))
+
+
 _SHAPE = {
     "exponential": "1 - exp(-3 * distance / reach)",
     "spherical": "CASE WHEN distance <= reach THEN 1.5E0 * distance / reach - 0.5E0 * power(distance / reach, 3) ELSE 1E0 END",
