@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.fixtures import SQL_BANDS, WITH_STATIONS, WITH_UNIQUE, bands, r, sql_metres, stations, table, unique_stations
-from stationgrid.operators.boundary import extent, map_aspect
+from stationgrid.operators.boundary import extent, map_aspect, mark_inside
 from stationgrid.operators.colors import classify
+from stationgrid.operators.dissolve import dissolve
 from stationgrid.session import scratch_path
 from stationgrid.sources.tables import boundary_edges, parse_color_lines, read_bands, read_color_scale
 
@@ -46,6 +47,34 @@ def ring_edge_table(spark, sf):
     return boundary_edges(nation_rings(spark, sf)).select("ring_id", "seq", *[r(c, 3) for c in ("x1", "y1", "x2", "y2")])
 
 
+#: Half widths of the shrunken boxes, as a share of the whole ones; units of a hundred-thousandth of a degree serve as metres.
+_SHRUNK, _UNIT = 0.155, 100_000.0
+
+
+def halved_boxes(spark, sf):
+    """Around the middle of each nation's box two boxes side by side; boxes of different nations overlap."""
+    corner = nation_rings(spark, sf).groupBy("ring_id").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    mid = corner.selectExpr("ring_id", "(w + e) / 2 AS x", "(s + n) / 2 AS y", f"(e - w) * {_SHRUNK}E0 AS dx", f"(n - s) * {_SHRUNK}E0 AS dy")
+    halves = mid.selectExpr("ring_id", "y - dy AS s", "y + dy AS n", "inline(array(struct(0 AS half, x - dx AS w, x AS e), struct(1 AS half, x AS w, x + dx AS e)))")
+    corners = [("w", "s"), ("e", "s"), ("e", "n"), ("w", "n"), ("w", "s")]
+    return halves.select((F.col("ring_id") * 2 + F.col("half")).alias("ring_id"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("seq"), (F.col(a) * _UNIT).alias("lon"), (F.col(b) * _UNIT).alias("lat")) for i, (a, b) in enumerate(corners)
+    ])))
+
+
+@query("SRC6_union", f"""{WITH_STATIONS}, box AS (SELECT c.c_nationkey AS ring_id, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n
+      FROM stations JOIN customer c ON c.c_custkey = stations.station_id GROUP BY 1),
+    small AS (SELECT ((w + e) / 2 - (e - w) * {_SHRUNK}E0) * {_UNIT} AS w, ((w + e) / 2 + (e - w) * {_SHRUNK}E0) * {_UNIT} AS e,
+      ((s + n) / 2 - (n - s) * {_SHRUNK}E0) * {_UNIT} AS s, ((s + n) / 2 + (n - s) * {_SHRUNK}E0) * {_UNIT} AS n FROM box)
+    SELECT station_id, EXISTS (SELECT 1 FROM small b WHERE b.w <= stations.lon * {_UNIT} AND stations.lon * {_UNIT} < b.e
+      AND b.s <= stations.lat * {_UNIT} AND stations.lat * {_UNIT} < b.n) AS inside FROM stations""")
+def union_of_boxes(spark, sf):
+    """Stations inside the dissolved border of overlapping and adjacent boxes."""
+    border = dissolve(boundary_edges(halved_boxes(spark, sf), projected=False))
+    points = stations(spark, sf).select("station_id", (F.col("lon") * _UNIT).alias("x"), (F.col("lat") * _UNIT).alias("y"))
+    return mark_inside(points, border, "x", "y").select("station_id", "inside")
+
+
 @query("SRC7", f"""{WITH_STATIONS} SELECT station || '|PL' AS cache_key, lat, lon FROM stations WHERE station_id % 5 <> 0""")
 def geocode_cache(spark, sf):
     from stationgrid.sinks.geocache import upsert_geocode_cache

@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stationgrid.operators.sizes import BROADCAST_ROWS, at_most
 
-MAX_BANDS = 4096
-
 
 def _crosses(x: Column, y: Column, e) -> Column:
     straddles = ((e("y1") <= y) & (y < e("y2"))) | ((e("y2") <= y) & (y < e("y1")))
@@ -47,7 +45,7 @@ def mark_inside(
     if span["n"] == 0:
         return points.withColumn("inside", F.lit(False))
     low = span["low"] - tolerance
-    bands = max(1, min(MAX_BANDS, span["n"] // 2))
+    bands = max(1, span["n"] // 2)
     step = max((span["high"] + tolerance - low) / bands, 1e-9)
     band_of = lambda v: F.floor((v - F.lit(low)) / F.lit(step))
     first = band_of(F.least("y1", "y2") - F.lit(tolerance))

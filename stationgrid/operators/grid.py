@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stationgrid.functions.crs import with_degrees
-from stationgrid.operators.boundary import mark_inside
 
 ROWS_PER_TASK = 2_000_000
 
@@ -47,9 +46,50 @@ def grid_cells(spark: SparkSession, spec: GridSpec) -> DataFrame:
     return with_degrees(metric)
 
 
+#: Cells of a row that one task makes at a time.
+RUN_CELLS = 100_000
+
+
+def mask_runs(spark: SparkSession, spec: GridSpec, edges: DataFrame) -> DataFrame:
+    """``(r, start, stop, inside)``: every grid row as runs of columns inside or outside the boundary.
+
+    Scanlines: an edge gives the place where it crosses each row it reaches; the crossings of a row are sorted once, and between two of
+    them all cells are alike. Only rows and crossings are shuffled.
+    """
+    spots = (F.col("y1") != F.col("y2"))
+    high, low = F.greatest("y1", "y2"), F.least("y1", "y2")
+    row_at = lambda y: (F.lit(spec.max_y) - y) / F.lit(spec.step)
+    first = F.greatest(F.floor(row_at(high)) - 1, F.lit(0))
+    last = F.least(F.ceil(row_at(low)) + 1, F.lit(spec.height - 1))
+    reached = edges.filter(spots & (first <= last)).select("x1", "y1", "x2", "y2", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("r"))
+    y = F.lit(spec.max_y) - F.col("r") * F.lit(spec.step)
+    straddles = ((F.col("y1") <= y) & (y < F.col("y2"))) | ((F.col("y2") <= y) & (y < F.col("y1")))
+    crossings = reached.filter(straddles).select("r", (F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))).alias("at"))
+    # first column that is not left of the crossing; the neighbours settle rounding
+    x_of = lambda c: F.lit(spec.min_x) + c * F.lit(spec.step)
+    near = F.ceil((F.col("at") - F.lit(spec.min_x)) / F.lit(spec.step))
+    column = F.when(x_of(near - 1) >= F.col("at"), near - 1).when(x_of(near) >= F.col("at"), near).otherwise(near + 1)
+    column = F.greatest(F.lit(0), F.least(F.lit(spec.width), column)).cast("int")
+    stops = crossings.groupBy("r").agg(F.array_sort(F.collect_list(column)).alias("stops"))  # as many as the row has crossings
+    rows = spark.range(spec.height).select(F.col("id").cast("int").alias("r")).join(stops, "r", "left")
+    ends = F.concat(F.array(F.lit(0)), F.coalesce("stops", F.array().cast("array<int>")), F.array(F.lit(spec.width)))
+    runs = rows.select("r", F.size(F.coalesce("stops", F.array().cast("array<int>"))).alias("n"), ends.alias("ends")).select("r", "n", "ends", F.posexplode("ends").alias("i", "start"))
+    # a cell is inside if an odd number of crossings lies right of it
+    return runs.filter(F.col("i") <= F.col("n")).select("r", "start", F.col("ends")[F.col("i") + 1].alias("stop"), ((F.col("n") - F.col("i")) % 2 == 1).alias("inside")).filter("start < stop")
+
+
 def prediction_grid(spark: SparkSession, spec: GridSpec, edges: DataFrame) -> DataFrame:
-    """Grid cells with the boundary mask ``inside``."""
-    return mark_inside(grid_cells(spark, spec), edges, "x", "y", ["r", "c"])
+    """Grid cells with the boundary mask ``inside``; cells are made from their runs and never shuffled."""
+    runs = mask_runs(spark, spec, edges)
+    blocks = runs.select("r", "stop", "inside", F.explode(F.sequence(F.col("start"), F.col("stop") - 1, F.lit(RUN_CELLS))).alias("start"))
+    blocks = blocks.withColumn("stop", F.least(F.col("stop"), F.col("start") + RUN_CELLS))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(spec.width * spec.height / ROWS_PER_TASK))
+    cells = blocks.repartition(tasks, "r", "start").select("r", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("c"), "inside")
+    metric = cells.withColumns({
+        "x": F.lit(spec.min_x) + F.col("c") * F.lit(spec.step),
+        "y": F.lit(spec.max_y) - F.col("r") * F.lit(spec.step),
+    })
+    return with_degrees(metric).select("r", "c", "x", "y", "lon", "lat", "inside")
 
 
 def scatter(cells: DataFrame, predictions: DataFrame, columns: Sequence[str]) -> DataFrame:
