@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.fixtures import (
+    ALL_BANDS,
+    SQL_ALL_BANDS,
     SQL_BANDS,
     SQL_EDGES,
     SQL_PIXEL,
@@ -187,24 +189,27 @@ def aligned(spark, sf):
 
 # ---------------------------------------------------------------- whole feature step
 def raster_set(spark, sf):
-    return RasterSet.prepare(bands(spark, sf), metas(spark, sf), AnalysisConfig(terrain_windows=(3, 9)))
+    """All seven bands, with the default terrain windows."""
+    return RasterSet.prepare(bands(spark, sf, ALL_BANDS), metas(spark, sf, ALL_BANDS), CONFIG)
 
 
-_TERRAIN_SQL = f"""{_GRADIENTS}, {_focal_sql(3)}, {_focal_sql(9)},
+_TERRAIN_SQL = f"""{_GRADIENTS}, {_focal_sql(3)}, {_focal_sql(9)}, {_focal_sql(27)},
     layer AS (SELECT g4.r, g4.c, CASE WHEN v IS NOT NULL THEN degrees(atan(sqrt(dx * dx + dy * dy))) END AS slope,
       CASE WHEN v IS NOT NULL THEN radians(fmod(degrees(atan2(-dx, dy)) + 360, 360)) END AS angle,
-      CASE WHEN v IS NOT NULL THEN dxx + dyy END AS curvature, v - mean3 AS tpi_3, std3 AS roughness_3, v - mean9 AS tpi_9, std9 AS roughness_9
-      FROM g4 JOIN f3 ON f3.r = g4.r AND f3.c = g4.c JOIN f9 ON f9.r = g4.r AND f9.c = g4.c)"""
-_FEA_COLUMNS = ["dem", "landscan", "water", "slope", "curvature", "tpi_3", "roughness_3", "tpi_9", "roughness_9", "aspect_sin", "aspect_cos",
-                "x_pl", "y_pl", "dist_coast", "dist_mountains", "dem_x_aspect_sin", "dem_x_aspect_cos", "dem_squared", "dem_x_slope", "dist_coast_x_dem"]
-_FEA_SQL = f"""{WITH_METRIC}, {_MOUNTAINS}, {_TERRAIN_SQL}, keyed AS (SELECT station_id, temp, x_pl, y_pl, {SQL_PIXEL} FROM proj),
-    raw AS (SELECT k.station_id, k.temp, k.x_pl, k.y_pl, d.value AS dem0, l.value AS landscan, w.value AS water, layer.* EXCLUDE (r, c, angle),
+      CASE WHEN v IS NOT NULL THEN dxx + dyy END AS curvature, v - mean3 AS tpi_3, std3 AS roughness_3, v - mean9 AS tpi_9, std9 AS roughness_9,
+      v - mean27 AS tpi_27, std27 AS roughness_27
+      FROM g4 JOIN f3 ON f3.r = g4.r AND f3.c = g4.c JOIN f9 ON f9.r = g4.r AND f9.c = g4.c JOIN f27 ON f27.r = g4.r AND f27.c = g4.c)"""
+_PLAIN_BANDS = [b for b in ALL_BANDS if b != "dem"]
+_FEA_COLUMNS = ["dem", *_PLAIN_BANDS, "slope", "curvature", "tpi_3", "roughness_3", "tpi_9", "roughness_9", "tpi_27", "roughness_27", "aspect_sin", "aspect_cos",
+                "x_pl", "y_pl", "dist_coast", "dist_mountains", "dem_x_aspect_sin", "dem_x_aspect_cos", "dem_squared", "dem_x_slope", "dist_coast_x_dem", "ecostress_x_settlement"]
+_FEA_SQL = f"""{WITH_METRIC}, {_MOUNTAINS.replace(SQL_BANDS, SQL_ALL_BANDS)}, {_TERRAIN_SQL}, keyed AS (SELECT station_id, temp, x_pl, y_pl, {SQL_PIXEL} FROM proj),
+    raw AS (SELECT k.station_id, k.temp, k.x_pl, k.y_pl, d.value AS dem0, {", ".join(f"b_{b}.value AS {b}" for b in _PLAIN_BANDS)}, layer.* EXCLUDE (r, c, angle),
       sin(angle) AS aspect_sin, cos(angle) AS aspect_cos, greatest(600000E0 - k.y_pl, 0) / 1000 AS dist_coast, {_MOUNTAIN_DIST.replace('p.', 'k.')} AS dist_mountains
       FROM keyed k LEFT JOIN bands d ON d.band = 'dem' AND d.r = pr AND d.c = pc AND d.value <> -9999E0
-      LEFT JOIN bands l ON l.band = 'landscan' AND l.r = pr AND l.c = pc LEFT JOIN bands w ON w.band = 'water' AND w.r = pr AND w.c = pc
+      {" ".join(f"LEFT JOIN bands b_{b} ON b_{b}.band = '{b}' AND b_{b}.r = pr AND b_{b}.c = pc AND b_{b}.value <> -9999E0" for b in _PLAIN_BANDS)}
       LEFT JOIN layer ON layer.r = pr AND layer.c = pc),
     fx AS (SELECT *, dem0 AS dem, dem0 * aspect_sin AS dem_x_aspect_sin, dem0 * aspect_cos AS dem_x_aspect_cos, dem0 * dem0 AS dem_squared,
-      dem0 * slope AS dem_x_slope, dist_coast * dem0 AS dist_coast_x_dem FROM raw),
+      dem0 * slope AS dem_x_slope, dist_coast * dem0 AS dist_coast_x_dem, ecostress * settlement AS ecostress_x_settlement FROM raw),
     fk AS (SELECT * FROM fx WHERE {" + ".join(f"CAST({c} IS NULL AS INT)" for c in _FEA_COLUMNS)} < {len(_FEA_COLUMNS)} * 0.5),
     fm AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in _FEA_COLUMNS)} FROM fk)"""
 
@@ -212,7 +217,7 @@ _FEA_SQL = f"""{WITH_METRIC}, {_MOUNTAINS}, {_TERRAIN_SQL}, keyed AS (SELECT sta
 @query("FEA1", f"""{_FEA_SQL} SELECT station_id, {", ".join(f"round(coalesce({c}, m_{c}), 5) AS {c}" for c in _FEA_COLUMNS)} FROM fk, fm""")
 def feature_step(spark, sf):
     s = metric_stations(spark, sf).drop("dem")
-    rows, model = engineer_features(s, raster_set(spark, sf), AnalysisConfig(terrain_windows=(3, 9)))
+    rows, model = engineer_features(s, raster_set(spark, sf), CONFIG)
     return rows.select("station_id", *[r(c, 5) for c in model.features])
 
 
@@ -264,22 +269,28 @@ def scattered(spark, sf):
     return scatter(cells, predicted, ["value"])
 
 
-_GRID_NEEDED = ["dem", "y_pl", "x_pl", "landscan", "water", "dist_coast", "dist_coast_x_dem", "forests"]
+_GRID_LAYERS = ["slope", "curvature", *(f"{k}_{w}" for w in (3, 9, 27) for k in ("tpi", "roughness"))]
+#: ``snow`` is a feature that training had and the grid has not.
+_GRID_NEEDED = ["dem", "y_pl", "x_pl", *_PLAIN_BANDS, *_GRID_LAYERS, "aspect_sin", "aspect_cos", "dist_coast", "dist_mountains", "dist_coast_x_dem", "snow"]
+_GRID_FILLS = {"landscan": 21.5, "snow": 7.0, "forests": 1.0}
 
 
-@query("GRD2", f"""{WITH_GRID}, {SQL_BANDS}, {SQL_EDGES}, med AS (SELECT median(dem) AS dem FROM uniq),
-    g AS (SELECT r AS gr, c AS gc, x, y, {SQL_PIXEL} FROM cells WHERE {sql_inside('cells', 'r', 'x', 'y')}),
-    f AS (SELECT gr, gc, x, y, coalesce(d.value, med.dem) AS dem, l.value AS landscan, w.value AS water FROM g, med
-      LEFT JOIN bands d ON d.band = 'dem' AND d.r = pr AND d.c = pc AND d.value <> -9999E0
-      LEFT JOIN bands l ON l.band = 'landscan' AND l.r = pr AND l.c = pc LEFT JOIN bands w ON w.band = 'water' AND w.r = pr AND w.c = pc)
-    SELECT gr AS r, gc AS c, dem, round(y, 3) AS y_pl, round(x, 3) AS x_pl, coalesce(landscan, 21.5E0) AS landscan, coalesce(water, 0E0) AS water,
-      round(greatest(600000E0 - y, 0) / 1000, 6) AS dist_coast, round(greatest(600000E0 - y, 0) / 1000 * dem, 3) AS dist_coast_x_dem, 7E0 AS forests FROM f""")
+@query("GRD2", f"""{WITH_GRID}, {_MOUNTAINS.replace(SQL_BANDS, SQL_ALL_BANDS)}, {SQL_EDGES}, {_TERRAIN_SQL}, med AS (SELECT median(dem) AS dem FROM uniq),
+    g AS (SELECT r AS gr, c AS gc, x AS x_pl, y AS y_pl, {SQL_PIXEL} FROM cells WHERE {sql_inside('cells', 'r', 'x', 'y')}),
+    f AS (SELECT gr, gc, x_pl, y_pl, coalesce(d.value, med.dem) AS dem, {", ".join(f"coalesce(b_{b}.value, {_GRID_FILLS.get(b, 0.0)}) AS {b}" for b in _PLAIN_BANDS)},
+      {", ".join(f"coalesce(layer.{c}, 0) AS {c}" for c in _GRID_LAYERS)}, coalesce(sin(angle), 0) AS aspect_sin, coalesce(cos(angle), 0) AS aspect_cos, {_MOUNTAIN_DIST.replace('p.', 'g.')} AS dist_mountains
+      FROM g, med LEFT JOIN bands d ON d.band = 'dem' AND d.r = pr AND d.c = pc AND d.value <> -9999E0
+      {" ".join(f"LEFT JOIN bands b_{b} ON b_{b}.band = '{b}' AND b_{b}.r = pr AND b_{b}.c = pc AND b_{b}.value <> -9999E0" for b in _PLAIN_BANDS)}
+      LEFT JOIN layer ON layer.r = pr AND layer.c = pc)
+    SELECT gr AS r, gc AS c, dem, round(y_pl, 3) AS y_pl, round(x_pl, 3) AS x_pl, {", ".join(f"round({c}, 5) AS {c}" for c in [*_PLAIN_BANDS, *_GRID_LAYERS, "aspect_sin", "aspect_cos", "dist_mountains"])},
+      round(greatest(600000E0 - y_pl, 0) / 1000, 6) AS dist_coast, round(greatest(600000E0 - y_pl, 0) / 1000 * dem, 3) AS dist_coast_x_dem, 7E0 AS snow FROM f""")
 def grid_feature_table(spark, sf):
+    """All station features at the cells inside the boundary: seven bands, terrain in three windows, mountains."""
     cells = prediction_grid(spark, grid_spec(spark, sf), ring_edges(spark)).filter("inside")
-    model = FeatureModel(tuple(_GRID_NEEDED), {"dem": medians(unique_stations(spark, sf), ["dem"])["dem"], "landscan": 21.5, "forests": 7.0})
-    plain = RasterSet(bands(spark, sf), tuple(metas(spark, sf)))
-    ready = grid_features(cells, plain, model, CONFIG)
-    return ready.select("r", "c", "dem", r("y_pl", 3), r("x_pl", 3), "landscan", "water", r("dist_coast"), r("dist_coast_x_dem", 3), "forests")
+    model = FeatureModel(tuple(_GRID_NEEDED), {"dem": medians(unique_stations(spark, sf), ["dem"])["dem"], **_GRID_FILLS})
+    ready = grid_features(cells, raster_set(spark, sf), model, CONFIG)
+    plain = [*_PLAIN_BANDS, *_GRID_LAYERS, "aspect_sin", "aspect_cos", "dist_mountains"]
+    return ready.select("r", "c", "dem", r("y_pl", 3), r("x_pl", 3), *[r(c, 5) for c in plain], r("dist_coast"), r("dist_coast_x_dem", 3), "snow")
 
 
 @query("AGG19", f"""{WITH_METRIC}, {SQL_EDGES} SELECT 'feeds' AS step, 'rows' AS metric, count(*) AS value FROM stations

@@ -114,12 +114,18 @@ BANDS = {
     "landscan": "CAST(p_size AS DOUBLE)",
     "water": "CAST(p_partkey % 7 AS DOUBLE)",
 }
+ALL_BANDS = BANDS | {
+    "land_cover": "CAST(p_partkey % 11 AS DOUBLE)",
+    "settlement": "CAST((p_partkey * 7) % 13 AS DOUBLE)",
+    "forests": "CASE WHEN p_partkey % 5 = 0 THEN -9999E0 ELSE CAST(p_partkey % 3 AS DOUBLE) END",
+    "ecostress": "280E0 + (p_partkey % 37) / 10E0",
+}
 _ROW, _COL = f"CAST(FLOOR(p_partkey / {WIDTH}E0) AS INT)", f"CAST(p_partkey % {WIDTH} AS INT)"
 
 
-def bands(spark: SparkSession, sf: str) -> DataFrame:
+def bands(spark: SparkSession, sf: str, kinds: dict[str, str] = BANDS) -> DataFrame:
     part = table(spark, sf, "part")
-    pairs = F.array(*[F.struct(F.lit(b).alias("band"), F.expr(v).alias("value")) for b, v in BANDS.items()])
+    pairs = F.array(*[F.struct(F.lit(b).alias("band"), F.expr(v).alias("value")) for b, v in kinds.items()])
     return part.select(F.expr(_ROW).alias("r"), F.expr(_COL).alias("c"), F.inline(pairs))
 
 
@@ -127,15 +133,17 @@ def dem_pixels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").selectExpr(f"{_ROW} AS r", f"{_COL} AS c", f"{BANDS['dem']} AS value")
 
 
-def metas(spark: SparkSession, sf: str) -> list[RasterMeta]:
+def metas(spark: SparkSession, sf: str, kinds: dict[str, str] = BANDS) -> list[RasterMeta]:
     rows = table(spark, sf, "part").agg(F.max(F.expr(_ROW))).first()[0] + 1
-    nodata = {"dem": -9999.0}
-    return [RasterMeta(b, 14.0, 55.0, 0.2, -0.15, rows, WIDTH, nodata.get(b)) for b in BANDS]
+    nodata = {"dem": -9999.0, "forests": -9999.0}
+    return [RasterMeta(b, 14.0, 55.0, 0.2, -0.15, rows, WIDTH, nodata.get(b)) for b in kinds]
+
+
+def _bands_sql(kinds: dict[str, str]) -> str:
+    return "bands AS (" + " UNION ALL ".join(f"SELECT '{b}' AS band, {_ROW} AS r, {_COL} AS c, {v} AS value FROM part" for b, v in kinds.items()) + ")"
 
 
-SQL_BANDS = "bands AS (" + " UNION ALL ".join(
-    f"SELECT '{b}' AS band, {_ROW} AS r, {_COL} AS c, {v} AS value FROM part" for b, v in BANDS.items()
-) + ")"
+SQL_BANDS, SQL_ALL_BANDS = _bands_sql(BANDS), _bands_sql(ALL_BANDS)
 SQL_DEM = f"""dem AS (SELECT r, c, CASE WHEN value <> -9999E0 THEN value END AS v
     FROM (SELECT {_ROW} AS r, {_COL} AS c, {BANDS['dem']} AS value FROM part) q)"""
 SQL_PIXEL = """CASE WHEN lon BETWEEN 14E0 AND 24E0 AND lat <= 55E0

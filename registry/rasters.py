@@ -108,17 +108,19 @@ def roughness(spark, sf):
     return _layers(spark, sf, focal_only=True).select("r", "c", *[r(f"roughness_{w}") for w in (3, 9, 27)])
 
 
-@query("WIN6", f"""{WITH_METRIC}, {SQL_BANDS}, {_GRADIENTS}, {_focal_sql(3)}, keyed AS (SELECT station_id, {SQL_PIXEL} FROM proj),
-    layer AS (SELECT g4.r, g4.c, CASE WHEN v IS NOT NULL THEN degrees(atan(sqrt(dx * dx + dy * dy))) END AS slope,
+_STACK = ("slope", "curvature", *(f"{layer}_{w}" for w in (3, 9, 27) for layer in ("tpi", "roughness")))
+
+
+@query("WIN6", f"""{WITH_METRIC}, {SQL_BANDS}, {_GRADIENTS}, {', '.join(_focal_sql(w) for w in (3, 9, 27))}, keyed AS (SELECT station_id, {SQL_PIXEL} FROM proj),
+    layer AS (SELECT g4.r, g4.c, CASE WHEN v IS NOT NULL THEN degrees(atan(sqrt(dx * dx + dy * dy))) END AS slope, CASE WHEN v IS NOT NULL THEN dxx + dyy END AS curvature,
       CASE WHEN v IS NOT NULL THEN radians(fmod(degrees(atan2(-dx, dy)) + 360, 360)) END AS angle,
-      v - mean3 AS tpi_3, std3 AS roughness_3 FROM g4 JOIN f3 ON f3.r = g4.r AND f3.c = g4.c)
-    SELECT station_id, round(slope, 6) AS slope, round(sin(angle), 6) AS aspect_sin, round(cos(angle), 6) AS aspect_cos,
-      round(tpi_3, 6) AS tpi_3, round(roughness_3, 6) AS roughness_3 FROM keyed LEFT JOIN layer ON layer.r = pr AND layer.c = pc""")
+      {', '.join(f'v - mean{w} AS tpi_{w}, std{w} AS roughness_{w}' for w in (3, 9, 27))}
+      FROM g4 {' '.join(f'JOIN f{w} ON f{w}.r = g4.r AND f{w}.c = g4.c' for w in (3, 9, 27))})
+    SELECT station_id, round(sin(angle), 6) AS aspect_sin, round(cos(angle), 6) AS aspect_cos, {', '.join(f'round({c}, {3 if c == "curvature" else 6}) AS {c}' for c in _STACK)}
+    FROM keyed LEFT JOIN layer ON layer.r = pr AND layer.c = pc""")
 def sampled_terrain(spark, sf):
-    names = ["slope", "aspect", "tpi_3", "roughness_3"]
-    layers = _layers(spark, sf, windows=(3,))
-    sampled = sample_layers(metric_stations(spark, sf), layers, metas(spark, sf)[0], names)
-    return encode_aspect(sampled).select("station_id", *[r(c) for c in ("slope", "aspect_sin", "aspect_cos", "tpi_3", "roughness_3")])
+    sampled = sample_layers(metric_stations(spark, sf), _layers(spark, sf), metas(spark, sf)[0], [*_STACK, "aspect"])
+    return encode_aspect(sampled).select("station_id", r("aspect_sin"), r("aspect_cos"), *[r(c, 3 if c == "curvature" else 6) for c in _STACK])
 
 
 @query("WIN7", f"""WITH {SQL_DEM} SELECT a.r, a.c, round(CASE WHEN any_value(a.v) IS NOT NULL THEN

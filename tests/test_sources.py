@@ -5,7 +5,7 @@ from stationgrid.config import AnalysisConfig, BoundingBox
 from stationgrid.functions.cleaning import ascii_fold, clean_station_name, clean_temperature, decode_entities
 from stationgrid.functions.crs import to_metres, with_degrees, with_metres
 from stationgrid.operators.boundary import mark_inside
-from stationgrid.operators.colors import class_bounds, color_index
+from stationgrid.operators.colors import bin_of, classify, color_index
 from stationgrid.operators.stations import dedupe_locations, order_by_priority
 from stationgrid.session import scratch_path
 from stationgrid.sinks.geocache import upsert_geocode_cache
@@ -94,10 +94,25 @@ def test_geocode_cache_versions(spark):
 
 def test_colour_classes_clip_and_spread(spark):
     scale = spark.createDataFrame([(-10, "#a"), (0, "#b"), (10, "#c"), (25, "#d")], "value int, color string")
-    bounds, _ = class_bounds(scale)
+    bounds = F.array(*map(F.lit, (-10.0, 0.0, 10.0, 25.0)))
     got = [one(spark, color_index(F.lit(v), bounds)) for v in (-99.0, -10.0, -0.1, 0.0, 12.0, 25.0, 99.0)]
     assert got == [0, 0, 0, 1, 3, 3, 3]
     assert read_color_scale(spark, "/tmp/stationgrid-no-such.csv").count() == 0
+    values = spark.createDataFrame([(v,) for v in (-99.0, 5.0, 30.0, None)], "temp double")
+    assert [(r.color_index, r.color) for r in classify(values, "temp", scale).collect()] == [(0, "#a"), (1, "#b"), (3, "#d"), (None, None)]
+    assert {r.color_index for r in classify(values, "temp", scale.limit(0)).collect()} == {None}
+    assert [r.color for r in classify(values, "temp", scale.limit(1)).collect()] == ["#a", "#a", "#a", None]
+
+
+def test_a_scale_of_ten_thousand_classes(spark):
+    scale = spark.range(10_000).selectExpr("CAST(id * 3 AS INT) AS value", "concat('#', id) AS color").repartition(7)
+    cells = spark.range(500).selectExpr("id * 67.3D - 1000 AS v")
+    for r in classify(cells, "v", scale).collect():
+        place = min(max(r.v, 0.0), 29_997.0)
+        want = 9_999 if place >= 29_997 else int(9_999 / 9_998 * (place // 3))
+        assert r.color_index == want and r.color == f"#{want}"
+    bounds = F.array(*map(F.lit, (1.0, 2.0, 4.0, 8.0, 16.0)))
+    assert [one(spark, bin_of(F.lit(v), bounds)) for v in (0.5, 1.0, 2.0, 3.9, 4.0, 15.9, 16.0, 99.0)] == [0, 0, 1, 1, 2, 3, 4, 4]
 
 
 def test_landing_stream_parses_new_files_once(spark):
