@@ -23,7 +23,7 @@ from stationgrid.operators.evaluate import (
 from stationgrid.operators.kriging import KrigingModel, clamp_residual, shared_points, shared_predictions
 from stationgrid.operators.sizes import sized_for_iteration
 from stationgrid.operators.split import bag
-from stationgrid.session import shared_dir
+from stationgrid.session import scratch_path, shared_dir
 
 _VECTOR = "_env_features"
 
@@ -96,10 +96,24 @@ class StackModel:
             total = total + clamp_residual(F.col("_k"), self.config.kriging_clamp)
         return scored.withColumn(name, total).drop("_t", "_k")
 
-    def importance(self) -> list[tuple[str, float]]:
-        """(feature, share of 100) of the tree stage, unsorted."""
+    def split_counts(self, spark) -> dict[str, int]:
+        """How many nodes of all trees split on each feature, from the stored table of nodes."""
+        if self.trees is None:
+            return {}
+        path = scratch_path(spark, "trees")
+        self.trees.save(path)
+        splits = spark.read.parquet(f"{path}/data").filter("nodeData.leftChild >= 0").groupBy(F.col("nodeData.split.featureIndex").alias("i")).count()
+        counted = {r["i"]: r["count"] for r in splits.collect()}  # one row per feature
+        return {f: counted.get(i, 0) for i, f in enumerate(self.env)}
+
+    def importance(self, kind: str = "gain", spark=None) -> list[tuple[str, float]]:
+        """(feature, share of 100) of the tree stage, unsorted: by ``gain`` of the splits, or by their number (``splits``)."""
         if self.trees is None:
             return []
+        if kind == "splits":
+            counts = self.split_counts(spark)
+            all_splits = sum(counts.values())
+            return [(f, 100.0 * c / all_splits if all_splits else 0.0) for f, c in counts.items()]
         weights = self.trees.featureImportances.toArray()
         total = weights.sum()
         return [(f, float(100.0 * w / total) if total > 0 else float(w)) for f, w in zip(self.env, weights)]
@@ -154,9 +168,9 @@ class Ensemble:
             scored = scored.withColumns({c: F.col(c) + clamp_residual(F.col("_k")[i], self.config.kriging_clamp) for i, c in enumerate(columns)}).drop("_k")
         return reduce_members(scored, columns, name, sigma).drop(*columns)
 
-    def importance(self, spark) -> DataFrame:
+    def importance(self, spark, kind: str = "gain") -> DataFrame:
         """``(feature, importance, importance_std)`` with the trend rows, best first."""
-        rows = [(f, w, i) for i, m in enumerate(self.members) for f, w in m.importance()]
+        rows = [(f, w, i) for i, m in enumerate(self.members) for f, w in m.importance(kind, spark)]
         table = spark.createDataFrame(rows, "feature string, importance double, member int")
         summary = summarise_importance(table)
         return with_trend_rows(summary, self.config.trend_features).orderBy(F.desc_nulls_last("importance"), "feature")
