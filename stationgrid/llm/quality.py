@@ -218,9 +218,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, se
 
     taught = map_batches(rows, teach, "doc_id string, keys binary, shares binary, label int")
     # repeated documents would make the sample unbounded: one row of each id
-    one = taught.groupBy("doc_id").agg(F.min(F.struct("label", "keys", "shares")).alias("row")).orderBy("doc_id").select("row.*")
-    parts = [(np.frombuffer(r["keys"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in one.toLocalIterator()]
-    return fit(parts, settings)
+    one = taught.groupBy("doc_id").agg(F.min(F.struct("label", "keys", "shares")).alias("row")).select("doc_id", "row.*")
+
+    def learn(batches):
+        import pyarrow as pa
+
+        parts = [
+            (np.frombuffer(k, np.int32), np.frombuffer(s, np.float32), label)
+            for b in batches for k, s, label in zip(b.column("keys").to_pylist(), b.column("shares").to_pylist(), b.column("label").to_pylist(), strict=True)
+        ]
+        model = fit(parts, settings)
+        yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias])], names=["scores", "bias"])
+
+    # the bounded sample meets in one task, in order of ids; the driver gets one number per bucket
+    found = one.repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "scores binary, bias double").collect()
+    if not found:
+        return fit([], settings)
+    return Model(np.frombuffer(found[0]["scores"], np.float64), found[0]["bias"], settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
