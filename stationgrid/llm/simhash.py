@@ -46,6 +46,8 @@ GROUPED_ROWS = 50_000
 HUB_GROWTH = 8
 #: Pairs of unlinked groups, counted in each group, that are looked at in one round.
 LAST_ROUND = 1_000_000
+#: Contracted links, 16 bytes each, that one task may label; more are contracted by joins until so many are left.
+FINISH_LINKS = 1 << 20
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -366,6 +368,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     shared = materialised(sent.mapInArrow(meet, "token long, id long, n int, pos int, m long"))
     often = shared.groupBy("id").agg(F.count("*").alias("_often"))
     groups = materialised(shared.join(often, "id").withColumn("share", F.col("_often") / (F.col("n") - F.ceil(F.col("n") * similarity) + 1)).drop("_often"))
+    common.destroy()  # the groups are written; nothing reads the counts again
     largest = int(groups.agg(F.max("m")).first()[0] or 0)
 
     def shingles(batch):
@@ -432,7 +435,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
             found = judged_alike(pairs)
             if not found.isEmpty():
                 alike = found if alike is None else alike.unionByName(found)
-                roots = materialised(connected_components(alike).withColumnRenamed("node", "id"))
+                roots = materialised(connected_components(alike, FINISH_LINKS).withColumnRenamed("node", "id"))
         low, high = high, high * HUB_GROWTH
     rooted = classes.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("id", "component_id")

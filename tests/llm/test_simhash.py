@@ -61,11 +61,12 @@ def test_places_follow_the_number_of_fingerprints(documents, monkeypatch):
     assert {tuple(r) for r in simhash.simhash_components(documents, prefix=2).collect()} == want
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("finish", [0, 5, 1000])
+def test_connected_components(spark, finish):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 70), (7, 7), (200, 200)] + [(500, 500 + k) for k in range(1, 60)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), finish).collect()}
     assert got == components({x for e in edges for x in e}, edges)
-    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert connected_components(spark.createDataFrame([], "a long, b long"), finish).collect() == []
 
 
 def test_odd_rows(odd, table):
