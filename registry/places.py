@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.fixtures import (
     SQL_BANDS,
+    SQL_DEM,
     SQL_EDGES,
     WITH_METRIC,
     WITH_SNAPSHOTS,
@@ -28,6 +31,7 @@ from stationgrid.config import AnalysisConfig
 from stationgrid.functions.crs import to_degrees, with_degrees, with_metres
 from stationgrid.operators.boundary import mark_inside
 from stationgrid.operators.geocode import locate_stations, lookup_cached, resolve_names
+from stationgrid.operators.distance import mountain_distance_layer
 from stationgrid.operators.features import coast_distance
 from stationgrid.operators.knn import nearest
 from stationgrid.operators.proximity import mountain_distance, mountain_pixels, remove_buffered, spatial_lag
@@ -173,6 +177,13 @@ def distance_to_mountains(spark, sf):
     return mountain_distance(metric_stations(spark, sf), peaks).select("station_id", r("dist_mountains"))
 
 
+@query("JN6_grid", f"""WITH {SQL_DEM} SELECT r, c, round(coalesce((SELECT min(sqrt(power((dem.r - h.r) * 8000E0, 2) + power((dem.c - h.c) * 10000E0, 2))) FROM dem h WHERE h.v > 800) / 1000, 0), 6)
+    AS dist_mountains FROM dem""")
+def mountain_layer(spark, sf):
+    meta = replace(metas(spark, sf)[0], origin_x=180_000.0, origin_y=700_000.0, step_x=10_000.0, step_y=-8_000.0, geographic=False)
+    return mountain_distance_layer(dem_pixels(spark, sf), meta, CONFIG.mountain_height).select("r", "c", r("dist_mountains"))
+
+
 @query("JN7", f"""{WITH_METRIC} SELECT station_id FROM proj a WHERE source <> 'IMGW' AND NOT EXISTS (SELECT 1 FROM proj b
     WHERE b.source = 'IMGW' AND sqrt(power(a.x_pl - b.x_pl, 2) + power(a.y_pl - b.y_pl, 2)) < 8000)""")
 def outside_buffer(spark, sf):
