@@ -8,7 +8,7 @@ from registry import query
 from registry.fixtures import SQL_DEM, dem_pixels, r
 from stationgrid.functions.cleaning import mask_nodata
 from stationgrid.session import scratch_path
-from stationgrid.sinks.products import TEMPERATURE, UNCERTAINTY, product_tags, write_product, write_product_set
+from stationgrid.sinks.products import TEMPERATURE, UNCERTAINTY, product_tags, read_product_set, write_product, write_product_set
 
 _CELLS = "CAST(r // 256 AS INT) AS tile_row, CAST(c // 256 AS INT) AS tile_col, r, c"
 
@@ -41,7 +41,7 @@ def product_set(spark, sf):
     field = _field(spark, sf).persist()
     wanted = {(p, k): (field, s) for p in (TEMPERATURE, UNCERTAINTY) for k, s in (("EPSG2180", 5000.0), ("EPSG4326", 0.05))}
     write_product_set(wanted, root, "r1", {"test_rmse": "0.700"})
-    back = spark.read.parquet(f"{root}/data")
+    back = read_product_set(spark, root, "r1")
     return back.groupBy("product", "crs", "run").agg(
         F.count("*").alias("n_cells"), F.count_if(F.col("value") == -9999.0).alias("n_nodata"),
         F.round(F.max("value"), 2).cast("double").alias("max_value"),

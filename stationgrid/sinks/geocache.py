@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationgrid.sources.tables import newest_version, read_geocode_cache
+from stationgrid.sinks.publish import newest_version, publish_version
+from stationgrid.sources.tables import read_geocode_cache
 
 
 def merge_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -20,9 +21,8 @@ def upsert_geocode_cache(spark: SparkSession, path: str, fresh: DataFrame) -> in
 
     Readers keep using the previous version until the new one is committed, so a
     lost executor or a failed job leaves the cache as it was. Of two writers that
-    start from the same version one fails, and nothing is overwritten.
+    start from the same version one gets ``FileExistsError`` and may merge again; nothing is overwritten.
     """
     version = newest_version(spark, path) + 1
-    merged = merge_cache(read_geocode_cache(spark, path), fresh)
-    merged.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    publish_version(merge_cache(read_geocode_cache(spark, path, version - 1), fresh), path, version)
     return version

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stationgrid.config import GRID_NODATA, TILE_PIXELS
 from stationgrid.operators.evaluate import field_stats
+from stationgrid.sinks.publish import newest_version, publish_version
 
 # --- fixed values: tag texts ---------------------------------------------------
 UNITS = "degrees_celsius"
@@ -55,19 +57,57 @@ def write_tags(tags: DataFrame, path: str) -> None:
     tags.withColumn("created", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(path)
 
 
+MANIFEST_COLUMNS = ("product", "crs", "run", "data", "tags")
+MANIFEST_SCHEMA = ", ".join(f"{name} STRING" for name in MANIFEST_COLUMNS)
+
+
 def write_product_set(products: Mapping[tuple[str, str], tuple[DataFrame, float]], root: str, run: str,
                       extra: Mapping[str, str] | None = None) -> list[str]:
-    """Write every ``(product, crs) -> (cells, resolution)`` under its partition path.
+    """Write every ``(product, crs) -> (cells, resolution)``, then publish them together in one manifest.
 
-    The layout ``product=/crs=/run=`` is read back as partition columns.
+    Files go under ``product=/crs=/run=/attempt=``. Readers follow manifests, so they see all products of a run or none,
+    and a run that is written again replaces the earlier one when its own manifest appears.
     """
-    paths = []
+    root, attempt, listed = root.rstrip("/"), uuid.uuid4().hex, []
     for (product, crs), (cells, resolution) in products.items():
-        where = f"{root.rstrip('/')}/data/product={product}/crs={crs}/run={run}"
+        place = f"product={product}/crs={crs}/run={run}/attempt={attempt}"
+        where, tagged = f"{root}/data/{place}", f"{root}/tags/{place}"
         cells = cells.persist()  # read for the files and again for their tags
-        write_product(cells, "value", where)
-        tags = product_tags(cells, "value", product, resolution, crs, extra)
-        write_tags(tags, f"{root.rstrip('/')}/tags/product={product}/crs={crs}/run={run}")
-        cells.unpersist()
-        paths.append(where)
-    return paths
+        try:
+            write_product(cells, "value", where)
+            write_tags(product_tags(cells, "value", product, resolution, crs, extra), tagged)
+        finally:
+            cells.unpersist()
+        listed.append((product, crs, run, where, tagged))
+    if listed:
+        spark = cells.sparkSession
+        _publish_manifest(spark.createDataFrame(listed, MANIFEST_SCHEMA).coalesce(1), f"{root}/manifests")
+    return [data for *_, data, _ in listed]
+
+
+def _publish_manifest(manifest: DataFrame, path: str) -> None:
+    """Append a manifest; where another writer took the number, the next one does as well."""
+    while True:
+        try:
+            return publish_version(manifest, path, newest_version(manifest.sparkSession, path) + 1)
+        except FileExistsError:
+            continue
+
+
+def published_products(spark: SparkSession, root: str) -> DataFrame:
+    """``(product, crs, run, data, tags)`` of the newest manifest of every run; empty before the first one."""
+    path = f"{root.rstrip('/')}/manifests"
+    if not newest_version(spark, path):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    manifests = spark.read.schema(f"{MANIFEST_SCHEMA}, version INT").parquet(path)
+    newest = manifests.groupBy("run").agg(F.max("version").alias("version"))
+    return manifests.join(newest, ["run", "version"]).select(*MANIFEST_COLUMNS)
+
+
+def read_product_set(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """Cells of all products of a published run, with ``product``, ``crs``, ``run``; ``FileNotFoundError`` if it has no manifest."""
+    listed = published_products(spark, root).filter(F.col("run") == run).collect()  # one row per product
+    if not listed:
+        raise FileNotFoundError(f"no published run {run} below {root}")
+    base = f"{root.rstrip('/')}/data"
+    return spark.read.option("basePath", base).parquet(*[row["data"] for row in listed]).drop("attempt")

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stationgrid.functions.crs import to_metres
+from stationgrid.sinks.publish import newest_version
 
 RASTER_SCHEMA = "r INT, c INT, value DOUBLE, band STRING"
 CACHE_SCHEMA = "cache_key STRING, lat DOUBLE, lon DOUBLE"
@@ -66,18 +67,9 @@ def boundary_edges(vertices: DataFrame, projected: bool = True) -> DataFrame:
     return points.withColumnsRenamed({"x": "x1", "y": "y1"}).join(following, ["ring_id", "seq"])
 
 
-def newest_version(spark: SparkSession, path: str) -> int:
-    """Highest written version of the cache, 0 before the first write."""
-    try:
-        versions = spark.read.schema(f"{CACHE_SCHEMA}, version INT").parquet(path)
-    except AnalysisException:
-        return 0
-    return versions.agg(F.max("version")).first()[0] or 0
-
-
-def read_geocode_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the cache; an empty table before the first write."""
-    version = newest_version(spark, path)
+def read_geocode_cache(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest, or the given, version of the cache; an empty table before the first write."""
+    version = newest_version(spark, path) if version is None else version
     if version == 0:
         return spark.createDataFrame([], CACHE_SCHEMA)
     return spark.read.schema(CACHE_SCHEMA).parquet(f"{path}/version={version}")
