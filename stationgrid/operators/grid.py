@@ -6,9 +6,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stationgrid.functions.crs import with_degrees
+from stationgrid.operators.tiles import SPAN, own_cells, with_halo
 
 ROWS_PER_TASK = 2_000_000
 
@@ -113,11 +114,11 @@ def complete_rectangle(cells: DataFrame) -> DataFrame:
     return every.join(cells.withColumn("present", F.lit(True)), ["r", "c"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
-def smooth(cells: DataFrame, columns: Sequence[str], sigma: float) -> DataFrame:
+def smooth(cells: DataFrame, columns: Sequence[str], sigma: float, span: int = SPAN) -> DataFrame:
     """Gaussian smoothing that ignores NULL cells and keeps them NULL.
 
     Two passes of weighted sums, by row then by column; values and weights of all columns share
-    the two shuffles. Cells that are missing or beyond the rectangle weigh nothing.
+    the two shuffles, and lines are cut into spans with a halo. Cells that are missing or beyond the rectangle weigh nothing.
     """
     if sigma <= 0:
         return cells
@@ -130,7 +131,7 @@ def smooth(cells: DataFrame, columns: Sequence[str], sigma: float) -> DataFrame:
     )
     parts = [f"{p}{c}" for c in columns for p in ("_num_", "_den_")]
     for axis, order in (("r", "c"), ("c", "r")):
-        line = Window.partitionBy(axis).orderBy(order)
+        work, line = with_halo(work, axis, order, radius, span)
         spread = {}
         for name in parts:
             total = None
@@ -138,6 +139,6 @@ def smooth(cells: DataFrame, columns: Sequence[str], sigma: float) -> DataFrame:
                 term = F.coalesce(F.sum(name).over(line.rangeBetween(-k, -k)), zero) * F.lit(weight)
                 total = term if total is None else total + term
             spread[name] = total
-        work = work.withColumns(spread)
+        work = own_cells(work.withColumns(spread), order, span)
     smoothed = {c: F.when(F.col(c).isNotNull(), F.try_divide(F.col(f"_num_{c}"), F.col(f"_den_{c}"))) for c in columns}
     return work.withColumns(smoothed).filter("present").drop(*parts, "present")

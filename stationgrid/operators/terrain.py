@@ -2,17 +2,18 @@
 
 Everything along a raster row needs one shuffle by row, everything along a column
 one shuffle by column: gradients, second gradients and the focal sums of every
-window size share those two. A window partition is one raster row or column, so
-its size is fixed by the raster's shape and not by the number of pixels.
+window size share those two. A window partition is a span of a row or column with a
+halo, so its size is fixed by ``span`` and not by the raster's shape.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from stationgrid.functions.cleaning import mask_nodata, null_if_nan
 from stationgrid.functions.stats import medians
 from stationgrid.operators.grid import complete_rectangle
+from stationgrid.operators.tiles import SPAN, own_cells, with_halo
 from stationgrid.sources.tables import RasterMeta
 
 
@@ -34,6 +35,7 @@ def terrain_layers(
     mask: bool = True,
     focal_only: bool = False,
     gradient_only: bool = False,
+    span: int = SPAN,
 ) -> DataFrame:
     """``(r, c, dem, slope, aspect, curvature, tpi_w..., roughness_w...)``.
 
@@ -47,11 +49,12 @@ def terrain_layers(
     middle = medians(pixels, ["dem"])["dem"]
     # a missing pixel is no neighbour; one without a height counts as a middling one
     pixels = pixels.withColumns({"_z": F.when(F.col("present"), F.coalesce("dem", F.lit(middle))), "_d": F.col("dem") - F.lit(middle)})
-    along_row = Window.partitionBy("r").orderBy("c")
-    along_col = Window.partitionBy("c").orderBy("r")
     sizes = () if gradient_only else windows
     slopes = not focal_only
+    # a second gradient looks two cells away
+    reach = max([2 * slopes, *(w // 2 for w in sizes)])
 
+    pixels, along_row = with_halo(pixels, "r", "c", reach, span)
     if slopes:
         pixels = pixels.withColumn("_dx", _gradient(F.col("_z"), along_row, step))
         pixels = pixels.withColumn("_dxx", _gradient(F.col("_dx"), along_row, step))
@@ -63,8 +66,9 @@ def terrain_layers(
             f"_q{w}": F.sum(F.col("_d") * F.col("_d")).over(frame),
             f"_n{w}": F.count("_d").over(frame),
         }
-    pixels = pixels.withColumns(sums) if sums else pixels
+    pixels = own_cells(pixels.withColumns(sums) if sums else pixels, "c", span)
 
+    pixels, along_col = with_halo(pixels, "c", "r", reach, span)
     if slopes:
         pixels = pixels.withColumn("_dy", _gradient(F.col("_z"), along_col, step))
         pixels = pixels.withColumn("_dyy", _gradient(F.col("_dy"), along_col, step))
@@ -72,7 +76,7 @@ def terrain_layers(
     for w in sizes:
         frame = along_col.rangeBetween(-(w // 2), w // 2)
         totals |= {f"_{k}{w}": F.sum(f"_{k}{w}").over(frame) for k in "sqn"}
-    pixels = pixels.withColumns(totals) if totals else pixels
+    pixels = own_cells(pixels.withColumns(totals) if totals else pixels, "r", span)
 
     valid = F.col("dem").isNotNull()
     layers: dict[str, Column] = {}

@@ -130,3 +130,19 @@ def test_smoothing_of_a_sparse_table_equals_one_with_nulls(spark):
     shape = field.shape
     sparse = as_array(smooth(full.filter("value IS NOT NULL"), ["value"], 1.0), "value", shape)
     assert np.allclose(sparse, as_array(smooth(full, ["value"], 1.0), "value", shape), equal_nan=True)
+
+
+@pytest.mark.parametrize("span", [1, 4, 7])
+def test_spans_with_halo_equal_whole_lines(spark, span):
+    rng = np.random.default_rng(9)
+    dem = rng.uniform(0, 500, (11, 16))
+    dem[rng.uniform(size=dem.shape) < 0.1] = np.nan
+    whole = pixels(spark, dem).selectExpr("r - 5 AS r", "c - 6 AS c", "value")
+    key = lambda row: (row["r"], row["c"])
+    for table in (whole, whole.filter("NOT (r = 0 OR c = -2)")):
+        for make in (lambda s: terrain_layers(table, meta(dem.shape), (3, 9), pixel_size=30.0, span=s), lambda s: smooth(table, ["value"], 1.0, s)):
+            want, got = (sorted(make(s).collect(), key=key) for s in (4096, span))
+            assert [key(row) for row in got] == [key(row) for row in want]
+            for name in want[0].asDict():
+                a, b = (np.array([np.nan if row[name] is None else row[name] for row in rows], dtype=float) for rows in (got, want))
+                assert np.allclose(a, b, rtol=1e-9, atol=1e-7, equal_nan=True), name
