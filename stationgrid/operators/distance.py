@@ -48,9 +48,11 @@ def distance_transform(cells: DataFrame, marked: str, step_x: float, step_y: flo
     mark = F.coalesce(F.col(marked), F.lit(False)).alias("_mark")
     full = complete_rectangle(cells.select("r", "c", mark))
     spot = F.when(F.col("_mark"), F.col("r"))
-    column = Window.partitionBy("c").orderBy("r")
-    above = F.last(spot, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(spot, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    column = Window.partitionBy("c")
+    so_far = (Window.unboundedPreceding, 0)
+    above = F.last(spot, ignorenulls=True).over(column.orderBy("r").rowsBetween(*so_far))
+    # from the other end: a frame that reaches to the end of the column is read anew for every row of it
+    below = F.last(spot, ignorenulls=True).over(column.orderBy(F.desc("r")).rowsBetween(*so_far))
     gap = F.least(F.col("r") - above, below - F.col("r"))
     lines = full.select("r", "c", "present", (gap * F.lit(step_y)).cast("double").alias("gap"))
 

@@ -58,3 +58,11 @@ def test_layer_equals_neighbour_join(spark):
     assert {row.dist_mountains for row in mountain_distance_layer(dem, meta, 9000.0).collect()} == {0.0}
     with pytest.raises(ValueError):
         mountain_distance_layer(dem, RasterMeta("dem", 14.0, 55.0, 0.2, -0.15, 18, 25, -9999.0), 800.0)
+
+
+def test_columns_are_read_once_from_each_end(spark):
+    """A frame to the end of the column would be read anew for each of its rows."""
+    cells = spark.range(40).selectExpr("CAST(id AS INT) AS r", "0 AS c", "id = 7 AS m")
+    found = distance_transform(cells, "m", 1.0, 1.0)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.r: r.distance for r in found.collect()} == {i: float(abs(i - 7)) for i in range(40)}

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stationgrid.operators.grid import GridSpec, grid_cells, scatter, smooth
-from stationgrid.operators.raster import geographic_target, regrid_to_degrees, sample_bands
+from stationgrid.operators.raster import geographic_target, regrid_to_degrees, sample_bands, sample_layers
 from stationgrid.operators.terrain import terrain_layers
 from stationgrid.sources.tables import RasterMeta
 
@@ -146,3 +147,16 @@ def test_spans_with_halo_equal_whole_lines(spark, span):
             for name in want[0].asDict():
                 a, b = (np.array([np.nan if row[name] is None else row[name] for row in rows], dtype=float) for rows in (got, want))
                 assert np.allclose(a, b, rtol=1e-9, atol=1e-7, equal_nan=True), name
+
+
+def test_pixels_are_never_broadcast(spark):
+    """Compressed files look small to the optimizer, whatever number of pixels they hold."""
+    meta = RasterMeta("dem", 0.0, 10.0, 1.0, -1.0, 10, 10, None)
+    grid = pixels(spark, np.arange(100.0).reshape(10, 10))
+    points = spark.createDataFrame([(i, 0.5 + i, 9.5) for i in range(12)], "station_id long, lon double, lat double")
+    plain = sample_bands(points, grid.withColumn("band", F.lit("dem")), [meta])
+    layered = sample_layers(points, grid, meta, ["value"])
+    for found, name in ((plain, "dem"), (layered, "value")):
+        right = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner" if name == "dem" else "Join LeftOuter")[1].split("\n")[0]
+        assert "strategy=merge" in right
+        assert {r.station_id: r[name] for r in found.collect()} == {i: float(i) if i < 10 else None for i in range(12)}
