@@ -85,3 +85,27 @@ def test_buffer_keeps_only_distant_candidates(spark):
     assert {r["station_id"] for r in left.collect()} == expected
     same = frame(spark, candidates)
     assert remove_buffered(frame(spark, keep), same, 0.0) is same
+
+
+def test_lists_equal_brute_force_with_ties_crowds_and_keys(spark, monkeypatch):
+    from stationgrid.operators import knn
+
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 16)
+    base = clustered(400, 7) + [(900 + i, i % 4, 0.0) for i in range(40)]
+    queries = [(i, x + 3.0, y) for i, x, y in clustered(300, 8)] + [(700 + i, 1.0, 0.5) for i in range(60)]
+    both = [frame(spark, rows).selectExpr("station_id % 2 AS k", "*", "array(x_pl, y_pl) AS place", "station_id AS own") for rows in (queries, base)]
+    got = nearest(*both, 9, by=("k",), payload=("own", "place"), leaf_rows=16, lists=True).collect()
+    assert len(got) == len(queries)
+    for k in (0, 1):
+        want = brute([q for q in queries if q[0] % 2 == k], [p for p in base if p[0] % 2 == k], 9, False)
+        found = {r.station_id: r for r in got if r.k == k}
+        assert {i: r.nbr_own for i, r in found.items()} == {i: [b for b, _ in near] for i, near in want.items()}
+        for r in found.values():
+            assert [round(float(np.hypot(r.qx - x, r.qy - y)), 6) for x, y in r.nbr_place] == [d for _, d in want[r.station_id]]
+
+
+def test_lists_move_points_by_groups_and_take_empty_tables(spark):
+    df = frame(spark, clustered(200, 9))
+    plan = nearest(df, df, 40, payload=("x_pl",), lists=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("FlatMapCoGroupsInArrow")
+    assert nearest(df, df.limit(0), 3, payload=("x_pl",), lists=True).count() == 0
