@@ -10,7 +10,9 @@ differ in the rest only, so the fingerprint itself is sent there once instead of
 instead of 2,081 at 64 bits and a radius of 4), and the variants are made where they meet. They are
 sorted as numbers whose low bits hold the fingerprint's index. A place that gets crowded is split by further bits.
 
-``near_duplicates`` is an exact join by the Jaccard similarity of whole shingle sets. Similar sets share one of their first
+``near_duplicates`` links texts by the Jaccard similarity of whole shingle sets. The fingerprints that ball hashing links propose the first
+pairs, and their shingle sets decide. SimHash alone would miss similar texts whose fingerprints are farther apart, so an exact join follows
+that judges what is not linked yet: similar sets share one of their first
 shingles in any common order, so pairs meet there, rarest first; every pair that could pass is judged unless its
 two texts are linked already.
 """
@@ -282,10 +284,26 @@ def hub_pairs(key: np.ndarray, ids: np.ndarray, size: np.ndarray, pos: np.ndarra
             yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
 
 
+def simhash_pairs(docs: DataFrame, words: int, radius: int = 4, prefix: int = 12) -> DataFrame:
+    """Pairs (a, b), a < b, of shingle sets whose fingerprints link: what connects all sets that links of at most ``radius`` bits connect."""
+
+    def run(batch):
+        found = [h for h in (shingle_hashes(t, words) for t in batch.column("text").to_pylist()) if len(h)]
+        return {"id": [class_of(np.unique(h)) for h in found], "fp": np.array([fingerprint(h) for h in found], dtype=np.uint64).view(np.int64)}
+
+    fps = materialised(map_batches(docs, run, "id long, fp long").groupBy("id").agg(F.min("fp").alias("fp")))
+    groups = materialised(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    edges = ball_links(groups.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), 64, radius, prefix)
+    apart = edges.join(groups.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(groups.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    equal = fps.join(groups, "fp").where("id <> least").select(F.col("least").alias("x"), F.col("id").alias("y"))
+    return apart.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of at least ``similarity`` of their shingle sets.
 
-    Texts without words are no near-duplicates of anything. Equal shingle sets are one class with the smallest id. The links are exact: all
+    Texts without words are no near-duplicates of anything. Equal shingle sets are one class with the smallest id. SimHash proposes the first
+    links, which the shingle sets confirm; the rest is exact: all
     pairs that share one of their first shingles are judged, but for pairs that other links connect. In a large group a growing number of
     members, those with most shared shingles first, is compared with all others, and links contract the groups in between.
     """
@@ -417,6 +435,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
 
     alike = judged = None
     roots = spark.createDataFrame([], "id long, root long")
+    pairs = materialised(simhash_pairs(one, words))
+    if not pairs.isEmpty():
+        judged, found = pairs, judged_alike(pairs)
+        if not found.isEmpty():
+            alike, roots = found, materialised(connected_components(found, FINISH_LINKS).withColumnRenamed("node", "id"))
     low, high = 0, 1
     while low < largest - 1:
         rows = groups.where(F.col("m") > low + 1).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

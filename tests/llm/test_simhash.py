@@ -138,3 +138,19 @@ def test_short_near_copies_are_found(table):
         more = [*base, "more"] if k % 2 else ["more", *base]
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(more))]
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(table(rows)).collect()} == jaccard_components(rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_keep_one_takes_its_first_links_from_fingerprints(table, monkeypatch):
+    """The pairs that ball hashing links are proposed, judged and kept apart from the pairs of the exact join."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in rng.permutation(400)]
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join([*base, "more"])), (3 * g + 2, " ".join([*base, base[0]]))]
+    proposed = []
+    pairs = simhash.simhash_pairs
+    monkeypatch.setattr(simhash, "simhash_pairs", lambda docs, words: (proposed.append(pairs(docs, words)), proposed[-1])[1])
+    assert sorted(r.doc_id for r in simhash.keep_one(table(rows)).collect()) == [3 * g for g in range(6)]
+    class_ids = [{simhash.class_of(np.unique(simhash.shingle_hashes(t, 5))) for i, t in rows if i // 3 == g} for g in range(6)]
+    found = {(r.a, r.b) for r in proposed[0].collect()}
+    assert found and all(any({a, b} <= ids for ids in class_ids) for a, b in found)
