@@ -243,3 +243,14 @@ def test_split_keeps_distance_and_fails_when_a_part_is_empty(spark):
         assert d.min() >= 3000
     with pytest.raises(ValueError, match="split left no rows"):
         split_stations(df, AnalysisConfig(buffer_km=500.0))
+
+
+def test_stack_without_a_screened_out_trend_feature(spark):
+    """A raster that covers few stations leaves no height to fit; the other features still give a trend."""
+    df, _ = points(spark, 80, 6)
+    rows = df.selectExpr("station_id", "x_pl", "y_pl", "0.1 * x_pl - 0.05 * y_pl AS temp", "x_pl * y_pl AS wave")
+    config = AnalysisConfig(trees=TreeConfig(rounds=1, min_leaf_rows=5), residual_kriging=False)
+    model = StackModel.fit(rows, ["wave"], config, 1)
+    assert model.trend.coefficients[0] == 0.0
+    got = rows.withColumn("trend", model.trend.column(rows)).toPandas()
+    assert np.allclose(got["trend"], got["temp"], atol=0.05)
