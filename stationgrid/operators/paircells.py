@@ -3,19 +3,28 @@
 Points fall into a tree of square cells that stores counts and moments. Two cells whose nearest and farthest distance lie in one lag add all
 their pairs at once: the count is a product, the sum of squared differences follows from sums and sums of squares, and both
 are exact. Only pairs of cells that straddle a border of a lag are opened into their children, level by level, down to cells of a few points. So the
-work follows the borders between lags, which grows more slowly than the number of pairs.
+work follows the borders between lags, which grows more slowly than the number of pairs. Cells of up to ``BLOCK_POINTS`` points are opened where
+a pair of them meets, in memory: only points and sums are shuffled, never the small cells' pairs.
 
 The sum of distances of two whole cells comes from their second moments. Its error per pair is below ``tolerance`` metres, or the cells are opened.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stationgrid.session import cut_lineage
 
 LEAF_POINTS = 6
 MAX_DEPTH = 24
+#: Points of a cell that is opened in memory.
+BLOCK_POINTS = 1500
+#: Pairs of points or cells that are held at a time.
+HELD_PAIRS = 500_000
 #: Metres by which a distance may be off before a pair of cells counts as touching the border of a lag.
 SLACK = 1e-6
 _MOMENTS = ("n", "mx", "my", "vxx", "vyy", "vxy", "x0", "x1", "y0", "y1", "sz", "szz")
@@ -64,18 +73,132 @@ def _judged(pairs: DataFrame, reach: float, lags: int, tolerance: float) -> Data
     })
 
 
-def _opened(points: DataFrame, pairs: DataFrame, by: list[str], level: int, reach: float, lags: int) -> DataFrame:
-    """Sums of the pairs of points of small cells, formed one by one."""
-    side, width = reach / 2**level, reach / lags
-    held = points.groupBy(*by, F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).agg(F.collect_list(F.struct("id", "x", "y", "z")).alias("p"))
-    left = held.select(*by, F.col("cx").alias("acx"), F.col("cy").alias("acy"), F.col("p").alias("a"))
-    right = held.select(*by, F.col("cx").alias("bcx"), F.col("cy").alias("bcy"), F.col("p").alias("b"))
+def _small_cells(points: np.ndarray, parent: np.ndarray, side: float) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """``points`` (x, y, z) and their ``parent`` cells' cells of that side: the points in order of cells, the cell of each, and the cells."""
+    cx, cy = (np.floor(points[:, i] / side).astype(np.int64) for i in (0, 1))
+    order = np.lexsort((cy, cx, parent))
+    points, parent, cx, cy = points[order], parent[order], cx[order], cy[order]
+    new = np.concatenate([[True], (parent[1:] != parent[:-1]) | (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])])
+    first = np.flatnonzero(new)
+    n = np.diff([*first, len(points)])
+    cell = np.repeat(np.arange(len(first)), n)
+    x, y, z = points.T
+    mean = lambda v: np.add.reduceat(v, first) / n
+    mx, my = mean(x), mean(y)
+    dx, dy = x - mx[cell], y - my[cell]
+    cells = {
+        "parent": parent[first], "first": first, "n": n, "mx": mx, "my": my, "vxx": mean(dx * dx), "vyy": mean(dy * dy), "vxy": mean(dx * dy),
+        "x0": np.minimum.reduceat(x, first), "x1": np.maximum.reduceat(x, first), "y0": np.minimum.reduceat(y, first), "y1": np.maximum.reduceat(y, first),
+        "sz": np.add.reduceat(z, first), "szz": np.add.reduceat(z * z, first),
+    }
+    return points, cell, cells
+
+
+def _judged_small(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: np.ndarray, reach: float, lags: int, tolerance: float) -> tuple[np.ndarray, ...]:
+    """What ``_judged`` says of pairs of cells: within reach, whole, lag, pairs, sum_d, sum_g."""
+    width = reach / lags
+    near = np.hypot(*(np.maximum(0.0, np.maximum(b[f"{c}0"] - a[f"{c}1"], a[f"{c}0"] - b[f"{c}1"])) for c in "xy"))
+    far = np.hypot(*(np.maximum(a[f"{c}1"] - b[f"{c}0"], b[f"{c}1"] - a[f"{c}0"]) for c in "xy"))
+    near_lag, far_lag = (np.floor(v / width).astype(np.int64) for v in (near - SLACK, far + SLACK))
+    spread = sum(np.hypot(v["x1"] - v["x0"], v["y1"] - v["y0"]) for v in (a, b))
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    d = np.hypot(dx, dy)
+    vxx, vyy, vxy = (a[v] + b[v] for v in ("vxx", "vyy", "vxy"))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        third = np.where(near > 0, 0.2 * spread**3 / near**2, np.inf)
+        expanded = d + (vxx * dy * dy + vyy * dx * dx - 2 * vxy * dx * dy) / (2 * d**3)
+    half = (far - near) / 2
+    mean = np.where(~same & (third <= half) & (d > 0), expanded, (near + far) / 2)
+    count = np.where(same, a["n"] * (a["n"] - 1) // 2, a["n"] * b["n"])
+    gamma = np.where(same, a["n"] * a["szz"] - a["sz"] ** 2, b["n"] * a["szz"] + a["n"] * b["szz"] - 2 * a["sz"] * b["sz"]) / 2
+    whole = (np.maximum(near_lag, 0) == far_lag) & (far + SLACK <= reach) & ((half <= tolerance) | (~same & (third <= tolerance)))
+    return near <= reach, whole, far_lag, count, count * mean, gamma
+
+
+def _descended(one: np.ndarray, other: np.ndarray, alone: bool, level: int, reach: float, lags: int, tolerance: float, leaf_points: int) -> np.ndarray:
+    """Sums ``(pairs, sum_d, sum_g, formed)`` by lag of two cells' points, opened level by level in memory."""
+    width, total = reach / lags, np.zeros((4, lags))
+
+    def add(lag: np.ndarray, pairs: np.ndarray | None, d: np.ndarray, g: np.ndarray) -> None:
+        n = np.bincount(lag, pairs, lags)[:lags]
+        total[:] += [n, np.bincount(lag, d, lags)[:lags], np.bincount(lag, g, lags)[:lags], n if pairs is None else np.zeros(lags)]
+
+    def formed(p: np.ndarray, q: np.ndarray, a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: np.ndarray) -> None:
+        many = a["n"] * b["n"]
+        which = np.repeat(np.arange(len(many)), many)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        i, j = at // b["n"][which], at % b["n"][which]
+        once = ~same[which] | (i < j)
+        i, j = (a["first"][which] + i)[once], (b["first"][which] + j)[once]
+        dx, dy, dz = (p[i] - q[j]).T
+        d = np.sqrt(dx * dx + dy * dy)
+        near = d <= reach
+        add(np.minimum((d[near] / width).astype(np.int64), lags - 1), None, d[near], dz[near] ** 2 / 2)
+
+    def chunks(weight: np.ndarray) -> list[np.ndarray]:
+        """Positions in runs whose weights add up to about HELD_PAIRS."""
+        run = (np.cumsum(weight) - weight) // HELD_PAIRS
+        return np.split(np.arange(len(weight)), np.flatnonzero(np.diff(run)) + 1) if len(weight) else []
+
+    p, pc, a = _small_cells(one, np.zeros(len(one), np.int64), reach / 2**level)
+    q, qc, b = (p, pc, a) if alone else _small_cells(other, np.zeros(len(other), np.int64), reach / 2**level)
+    i = j = np.zeros(1, np.int64)
+    while len(i):
+        left = []
+        for part in chunks(np.ones(len(i), np.int64)):
+            x, y = i[part], j[part]
+            same = (x == y) & alone
+            va, vb = ({k: v[z] for k, v in cells.items()} for cells, z in ((a, x), (b, y)))
+            near, whole, lag, pairs, sum_d, sum_g = _judged_small(va, vb, same, reach, lags, tolerance)
+            done = near & whole
+            add(lag[done], pairs[done], sum_d[done], sum_g[done])
+            small = (va["n"] <= leaf_points) & (vb["n"] <= leaf_points) if level < MAX_DEPTH else np.ones(len(x), dtype=bool)
+            leaf = np.flatnonzero(near & ~whole & small)
+            for run in chunks(va["n"][leaf] * vb["n"][leaf]):
+                at = leaf[run]
+                formed(p, q, *({k: v[at] for k, v in cells.items()} for cells in (va, vb)), same[at])
+            left.append(part[near & ~whole & ~small])
+        rest = np.concatenate(left)
+        i, j, level = i[rest], j[rest], level + 1
+        if not len(i):
+            break
+        p, pc, a = _small_cells(p, pc, reach / 2**level)
+        q, qc, b = (p, pc, a) if alone else _small_cells(q, qc, reach / 2**level)
+        # the children of a cell stand together, in order of their parents
+        (ai, an), (bi, bn) = ((np.searchsorted(c["parent"], v), np.searchsorted(c["parent"], v, "right") - np.searchsorted(c["parent"], v)) for c, v in ((a, i), (b, j)))
+        many = an * bn
+        which = np.repeat(np.arange(len(many)), many)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        own = ((i == j) & alone)[which]
+        i, j = ai[which] + at // bn[which], bi[which] + at % bn[which]
+        once = ~own | (i <= j)
+        i, j = i[once], j[once]
+    return total
+
+
+def _opened(points: DataFrame, pairs: DataFrame, by: list[str], level: int, reach: float, lags: int, tolerance: float, leaf_points: int) -> DataFrame:
+    """Sums of the pairs of points of two cells that fit into memory."""
+    side = reach / 2**level
+    held = points.groupBy(*by, F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).agg(F.collect_list(F.struct("x", "y", "z")).alias("p"))
+    left, right = (held.select(*by, F.col("cx").alias(f"{n}cx"), F.col("cy").alias(f"{n}cy"), *(F.col(f"p.{c}").alias(f"{n}{c}") for c in "xyz")) for n in "ab")
     met = pairs.select(*by, "acx", "acy", "bcx", "bcy", "same").join(left, [*by, "acx", "acy"]).join(right, [*by, "bcx", "bcy"])
-    single = met.select(*by, "same", F.explode("a").alias("a"), "b").select(*by, "same", "a", F.explode("b").alias("b")).filter(~F.col("same") | (F.col("a.id") < F.col("b.id")))
-    dz = F.col("a.z") - F.col("b.z")
-    sized = single.select(*by, F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("d"), (dz * dz / 2).alias("g")).filter(F.col("d") <= reach)
-    lag = F.least(F.floor(F.col("d") / width), F.lit(lags - 1)).cast("int")
-    return sized.groupBy(*by, lag.alias("lag")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("d").alias("sum_d"), F.sum("g").alias("sum_g"), F.count(F.lit(1)).alias("formed"))
+    names = ["lag", "pairs", "sum_d", "sum_g", "formed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one, other = (np.stack([np.asarray(batch.column(f"{n}{c}")[at].values) for c in "xyz"], axis=1) for n in "ab")
+                found = _descended(one, other, batch.column("same")[at].as_py(), level, reach, lags, tolerance, leaf_points)
+                lag = np.flatnonzero(found[0])
+                keys = [pa.array([batch.column(k)[at].as_py()] * len(lag), batch.schema.field(k).type) for k in by]
+                counts, sums = found[[0, 3]][:, lag].astype(np.int64), found[1:3, lag]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(lag.astype(np.int32)), pa.array(counts[0]), pa.array(sums[0]), pa.array(sums[1]), pa.array(counts[1])], names=[*by, *names])
+
+    # few rows with much work each: dealt evenly, whatever their keys and bytes
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.sparkSession.sparkContext.defaultParallelism)
+    types = "".join(f"`{k}` {points.schema[k].dataType.simpleString()}, " for k in by)
+    one = met.select(*by, "same", "ax", "ay", "az", "bx", "by", "bz").repartition(tasks).mapInArrow(run, f"{types}lag int, pairs bigint, sum_d double, sum_g double, formed bigint")
+    return one.groupBy(*by, "lag").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
 def semivariogram_by_cells(points: DataFrame, value: str, lags: int, reach: float, id_col: str = "station_id", by: tuple[str, ...] = (),
@@ -98,9 +221,10 @@ def semivariogram_by_cells(points: DataFrame, value: str, lags: int, reach: floa
     columns = [*keys, "lag", "pairs", "sum_d", "sum_g", "formed"]
     for level in range(MAX_DEPTH + 1):
         judged = cut_lineage(_judged(pairs, reach, lags, tolerance))
-        small = (F.col("an") <= leaf_points) & (F.col("bn") <= leaf_points) if level < MAX_DEPTH else F.lit(True)
+        block = max(BLOCK_POINTS, leaf_points)
+        small = (F.col("an") <= block) & (F.col("bn") <= block) if level < MAX_DEPTH else F.lit(True)
         done = judged.filter("whole").groupBy(*keys, "lag").agg(F.sum("pairs").alias("pairs"), F.sum("sum_d").alias("sum_d"), F.sum("sum_g").alias("sum_g")).withColumn("formed", F.lit(0).cast("long"))
-        opened = _opened(rows, judged.filter(~F.col("whole") & small), keys, level, reach, lags)
+        opened = _opened(rows, judged.filter(~F.col("whole") & small), keys, level, reach, lags, tolerance, leaf_points)
         found = done.unionByName(opened.select(*columns))
         total = found if total is None else total.unionByName(found)
         rest = judged.filter(~F.col("whole") & ~small).select(*keys, F.struct("acx", "acy").alias("a"), F.struct("bcx", "bcy").alias("b"), "same")

@@ -61,3 +61,21 @@ def test_keys_missing_values_and_empty_tables(spark):
     assert semivariogram_by_cells(df.limit(0), "z", LAGS, REACH).collect() == []
     one = {r.lag: r.n_pairs for r in semivariogram(df.filter("k = 1"), "z", LAGS, REACH).collect()}
     assert one == {r.lag: r.n_pairs for r in found if r.k == 1}
+
+
+def test_cells_are_opened_in_memory_and_where_spark_splits_them(spark, monkeypatch):
+    """The sums do not depend on the level from which a task opens the cells; the pairs of small cells are never a table."""
+    from stationgrid.operators import paircells
+
+    frame = scattered(1200, 6)
+    df = spark.createDataFrame(frame)
+    tables = []
+    cut = paircells.cut_lineage
+    monkeypatch.setattr(paircells, "cut_lineage", lambda d: (tables.append(cut(d)), tables[-1])[1])
+    found = semivariogram_by_cells(df, "z", LAGS, REACH).collect()
+    check(found, plain(frame))
+    assert max(t.count() for t in tables) < 200
+    monkeypatch.setattr(paircells, "BLOCK_POINTS", 100)
+    split = {r.lag: r for r in semivariogram_by_cells(df, "z", LAGS, REACH).collect()}
+    assert [(r.lag, r.n_pairs, r.formed) for r in found] == [(r.lag, split[r.lag].n_pairs, split[r.lag].formed) for r in found]
+    check(list(split.values()), plain(frame))
