@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stationgrid.operators.grid import GridSpec, grid_cells, scatter, smooth
+from stationgrid.operators.grid import GridSpec, complete_rectangle, grid_cells, scatter, smooth
 from stationgrid.operators.raster import geographic_target, regrid_to_degrees, sample_bands, sample_layers
 from stationgrid.operators.terrain import terrain_layers
 from stationgrid.sources.tables import RasterMeta
@@ -160,3 +160,11 @@ def test_pixels_are_never_broadcast(spark):
         right = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner" if name == "dem" else "Join LeftOuter")[1].split("\n")[0]
         assert "strategy=merge" in right
         assert {r.station_id: r[name] for r in found.collect()} == {i: float(i) if i < 10 else None for i in range(12)}
+
+
+def test_missing_pixels_come_back_without_a_broadcast(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 2, 2.0), (1, 1, 3.0)], "r int, c int, value double")
+    full = complete_rectangle(cells)
+    assert "strategy=merge" in full._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].split("\n")[0]
+    got = {(row.r, row.c): (row.value, row.present) for row in full.collect()}
+    assert got == {(0, 0): (1.0, True), (0, 1): (None, False), (0, 2): (2.0, True), (1, 0): (None, False), (1, 1): (3.0, True), (1, 2): (None, False)}
