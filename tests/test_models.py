@@ -10,7 +10,7 @@ from stationgrid.operators.evaluate import METRICS, compare_models, evaluate, re
 from stationgrid.operators.kriging import KrigingBaseline, KrigingModel, local_predictions, neighbours_to_search, shared_points, shared_predictions
 from stationgrid.operators.qc import dynamic_lapse_rate, judge_stations
 from stationgrid.operators.split import split_stations
-from stationgrid.operators.variogram import Variogram, fit_variogram, fitted_variogram, semivariogram
+from stationgrid.operators.variogram import PAIRS_PER_TASK, Variogram, _paired_blocks, fit_variogram, fitted_variogram, semivariogram
 
 MODEL = Variogram("exponential", 2.0, 40.0, 0.3)
 
@@ -254,3 +254,20 @@ def test_stack_without_a_screened_out_trend_feature(spark):
     assert model.trend.coefficients[0] == 0.0
     got = rows.withColumn("trend", model.trend.column(rows)).toPandas()
     assert np.allclose(got["trend"], got["temp"], atol=0.05)
+
+
+def test_pairs_of_blocks_are_spread_and_read_written_points(spark):
+    """Positions that are costly expressions are computed once, and pairs of blocks go to tasks by their number, not by their bytes."""
+    df = spark.range(400).selectExpr("id AS station_id", "sin(id) * 1e4 AS x_pl", "cos(id * 3) * 1e4 AS y_pl", "CAST(id % 17 AS DOUBLE) AS z")
+    blocks = _paired_blocks(df, "z", 5e3, "station_id", 10)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "SIN(" not in plan.upper() and "Range (0, 400" not in plan
+    pairs = blocks.select("_cx", "_cy", "_block", "_ox", "_oy", "_other").distinct().count()
+    assert pairs > 5 * PAIRS_PER_TASK and blocks.rdd.getNumPartitions() >= pairs // PAIRS_PER_TASK
+    assert "FlatMapGroupsInArrow" in semivariogram(df, "z", 8, 5e3)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_at_the_reach_count_in_the_last_lag(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 300.0, 0.0, 3.0), (3, 300.001, 400.0, 9.0)], "station_id long, x_pl double, y_pl double, z double")
+    got = {row.lag: (row.n_pairs, row.gamma) for row in semivariogram(df, "z", 3, 300.0).collect()}
+    assert got == {2: (1, 2.0)}
