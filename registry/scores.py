@@ -39,6 +39,7 @@ from stationgrid.operators.evaluate import (
 )
 from stationgrid.operators.paircells import semivariogram_by_cells
 from stationgrid.operators.variogram import fit_variogram, semivariogram
+from stationgrid.session import cut_lineage
 
 MODELS = {"base": "base", "new": "new"}
 
@@ -255,7 +256,7 @@ def variogram_lags_of_snapshots(spark, sf):
 @query("KRG3_snapshots", f"{WITH_SNAPSHOTS} SELECT DISTINCT snapshot, true AS as_alone FROM snaps")
 def variogram_fits_of_snapshots(spark, sf):
     """All snapshots' variograms fitted in one job, each beside a fit of its rows alone."""
-    rows = snapshots(spark, sf)
+    rows = cut_lineage(snapshots(spark, sf))
     together = fit_variogram(semivariogram(rows, "temp", 20, REACH, by=("snapshot",)), "exponential", by=("snapshot",))
     alone = None
     for (snapshot,) in rows.select("snapshot").distinct().collect():
